@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchlake.llm import bpe, jaccard_join, line_dedup, mixing, quality_rules
+from pitchlake.llm import bpe, html_text, jaccard_join, line_dedup, mixing, quality_rules, sharding
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +16,10 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": sharding.op1_sharding,
     "op2_mixing": mixing.op2_mixing,
     "op4_divergence": quality_rules.op4_divergence,
+    "op5_html_text": html_text.op5_html_text,
     "op6_jaccard": jaccard_join.op6_jaccard,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_bpe": bpe.op10_bpe,
