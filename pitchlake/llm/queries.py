@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchlake.llm import bpe, html_text, jaccard_join, line_dedup, mixing, quality_rules, sharding
+from pitchlake.llm import bm25_search, bpe, html_text, jaccard_join, line_dedup, mixing, mixing_lm, quality_model, quality_rules, sharding
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,12 +18,15 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
     "op2_mixing": mixing.op2_mixing,
+    "op3_quality_model": quality_model.op3_quality_model,
     "op4_divergence": quality_rules.op4_divergence,
     "op5_html_text": html_text.op5_html_text,
     "op6_jaccard": jaccard_join.op6_jaccard,
+    "op7_bm25": bm25_search.op7_bm25,
+    "op8_mixing_lm": mixing_lm.op8_mixing_lm,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_bpe": bpe.op10_bpe,
     "pipeline": _pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_jaccard": jaccard_join.SQL, "op9_line_dedup": line_dedup.SQL}
+ORACLE_SQL: dict[str, str] = {"op6_jaccard": jaccard_join.SQL, "op7_bm25": bm25_search.SQL, "op9_line_dedup": line_dedup.SQL}
