@@ -10,14 +10,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlake.llm.common import discard, small_batches, stash, table
+from pitchlake.llm.common import discard, small_batches, stash, table, unit_hash
 
 WORDS, PERCENT = 5, 75
 #: Bytes of inverted lists that one task of the first search holds.
 LIST_BYTES = 8 << 20
 #: Rounds in which a list's documents are held against one centre before all pairs between components are.
 STAR_ROUNDS = 3
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _known: dict[bytes, int] = {}
@@ -178,29 +178,41 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), "a long, b long")
 
 
+def _may_link(percent: int):
+    """Whether sets of n and n2 shingles, k and k2 of them in other sets, can be alike enough."""
+    sizes = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+    return sizes & ((100 + percent) * F.least("k", "k2") >= percent * (F.col("n") + F.col("n2")))
+
+
 def _linked_classes(sets: DataFrame, percent: int) -> DataFrame | None:
     """(key, root) of the sets that link with another one; None if none does."""
     entries = sets.select("key", "n", F.explode("shingles").alias("h"))
     often = entries.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     lists = entries.join(often, "h").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("by_df"))
     need = F.ceil(F.col("n") * percent / 100).cast("int")
-    # The need - 1 longest lists of a document are only probed: it meets each partner in one of the shorter ones.
-    short = lists.where(F.size("by_df") >= need).select("key", "n", F.explode(F.slice("by_df", 1, F.size("by_df") - need + 1)).alias("e"))
-    short = stash(short.select(F.col("e.h").alias("h"), "key", "n"), "lists")
+    need_of_longer = F.ceil(2 * F.col("n") * percent / (100 + percent)).cast("int")
+    # The need - 1 longest lists of a document are only probed: it meets each partner in one of the shorter ones. A partner
+    # that isn't shorter shares more, so that fewer lists (those that lead) hold all of them.
+    lists = lists.where(F.size("by_df") >= need).withColumn("k", F.size("by_df"))
+    lists = lists.withColumn("hub", F.aggregate("by_df", F.lit(0.0), lambda a, e: a + e["df"]) / F.col("n"))
+    short = lists.select("key", "n", "k", "hub", F.posexplode(F.slice("by_df", 1, F.col("k") - need + 1)).alias("at", "e"))
+    short = stash(short.select(F.col("e.h").alias("h"), "key", "n", "k", "hub", (F.col("at") <= F.col("k") - need_of_longer).alias("lead")), "lists")
     links: DataFrame | None = None
     roots: DataFrame | None = None
     tested: DataFrame | None = None
     for turn in range(STAR_ROUNDS + 1):
         at = short.withColumn("root", F.col("key")) if roots is None else short.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        pick = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("r"), "key", "n", "root")).alias("c")
+        # A hub, most of whose shingles many have, links with copies that don't link with each other.
+        rank = F.col("hub") * (1 + 0.1 * turn * unit_hash(F.col("key"), F.lit(turn)))
+        pick = F.max(F.struct(rank.alias("r"), "key", "n", "k", "root", "lead")).alias("c")
         mixed = at.groupBy("h").agg(pick, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
         if turn < STAR_ROUNDS:
-            both = at.join(mixed, "h").select("key", "n", "root", F.col("c.key").alias("key2"), F.col("c.n").alias("n2"), F.col("c.root").alias("root2"))
+            both = at.join(mixed.select("h", *[F.col(f"c.{c}").alias(f"{c}2") for c in ("key", "n", "k", "root", "lead")]), "h").where("key <> key2")
         else:
             left = at.join(mixed.select("h"), "h")
-            right = left.select("h", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-            both = left.join(right, "h").where("key < key2")
-        near = both.where((F.col("root") != F.col("root2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
+            right = left.where("lead").select("h", *[F.col(c).alias(f"{c}2") for c in ("key", "n", "k", "root", "lead")])
+            both = left.join(right, (left["h"] == right["h"]) & (F.col("root") != F.col("root2")) & ((F.col("n2") < F.col("n")) | ((F.col("n2") == F.col("n")) & F.col("lead") & (F.col("key2") < F.col("key")))) & _may_link(percent))
+        near = both.where((F.col("root") != F.col("root2")) & _may_link(percent) & F.when(F.col("n2") < F.col("n"), F.col("lead2")).when(F.col("n2") > F.col("n"), F.col("lead")).otherwise(F.col("lead") & F.col("lead2")))
         pairs = near.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
         pairs = stash(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
