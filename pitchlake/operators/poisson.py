@@ -67,7 +67,8 @@ def markets(rates: DataFrame) -> DataFrame:
     rows = rows.withColumns({"home_win": home_win, "draw": draw, "_none": none})
     rows = rows.withColumn("away_win", 1 - F.col("home_win") - F.col("draw"))
     for line in GOAL_LINES:
-        under = _sum(F.transform(goals, lambda i, m=int(line): home[i] * _sum(F.slice("pa", 1, F.greatest(F.lit(0), m + 1 - i)))))
+        most = F.lit(int(line) + 1)
+        under = _sum(F.transform(goals, lambda i: home[i] * less(F.greatest(F.lit(0), most - i))))  # noqa: B023
         rows = rows.withColumn(f"over_{str(line).replace('.', '_')}", 1 - under)
     share = F.when(F.col("lambda_home") + F.col("lambda_away") > 0, F.col("lambda_home") / (F.col("lambda_home") + F.col("lambda_away"))).otherwise(0.0)
     rows = rows.withColumns({
@@ -79,7 +80,7 @@ def markets(rates: DataFrame) -> DataFrame:
         "first_goal_home": (1 - F.col("_none")) * share,
         "no_goal": F.col("_none"),
     }).drop("_none")
-    return rows
+    return rows.withColumns({m: F.round(m, 12) for m in MARKETS})  # equal chances tie
 
 
 MARKETS = ("home_win", "draw", "away_win", "over_0_5", "over_1_5", "over_2_5", "over_3_5", "over_4_5", "both_teams_score", "home_clean_sheet", "away_clean_sheet", "either_clean_sheet", "first_goal_home", "no_goal")
@@ -115,7 +116,7 @@ cells AS (
     exp(-lambda_home) * power(lambda_home, h.range) / factorial(CAST(h.range AS INT)) * exp(-lambda_away) * power(lambda_away, a.range) / factorial(CAST(a.range AS INT)) AS raw
   FROM lambdas, range(9) h, range(9) a),
 matrix AS (SELECT *, raw / sum(raw) OVER (PARTITION BY match_id) AS p FROM cells),
-markets AS (
+markets0 AS (
   SELECT match_id, any_value(lambda_home) AS lambda_home, any_value(lambda_away) AS lambda_away,
     sum(p) FILTER (WHERE home_goals > away_goals) AS home_win, sum(p) FILTER (WHERE home_goals = away_goals) AS draw, sum(p) FILTER (WHERE home_goals < away_goals) AS away_win,
     sum(p) FILTER (WHERE home_goals + away_goals > 0) AS over_0_5, sum(p) FILTER (WHERE home_goals + away_goals > 1) AS over_1_5, sum(p) FILTER (WHERE home_goals + away_goals > 2) AS over_2_5,
@@ -124,4 +125,5 @@ markets AS (
     sum(p) FILTER (WHERE home_goals = 0 OR away_goals = 0) AS either_clean_sheet,
     sum(p) FILTER (WHERE home_goals + away_goals > 0) * any_value(lambda_home) / nullif(any_value(lambda_home) + any_value(lambda_away), 0) AS first_goal_home,
     sum(p) FILTER (WHERE home_goals + away_goals = 0) AS no_goal
-  FROM matrix GROUP BY match_id)"""
+  FROM matrix GROUP BY match_id),
+markets AS (SELECT match_id, lambda_home, lambda_away, """ + ", ".join(f"round({m}, 12) AS {m}" for m in MARKETS) + " FROM markets0)"
