@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pitchlake.plans import match_queries
+from pitchlake.plans import data_queries, match_queries
 
-QUERIES = {**match_queries.QUERIES}
-ORACLE_SQL = {**match_queries.ORACLE_SQL}
+QUERIES = {**match_queries.QUERIES, **data_queries.QUERIES}
+ORACLE_SQL = {**match_queries.ORACLE_SQL, **data_queries.ORACLE_SQL}
