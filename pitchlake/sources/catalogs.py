@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from datetime import date
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pitchlake.sources.landing import text_of
@@ -85,12 +85,12 @@ def parse(kind: str, text: str) -> list[dict]:
 
 def records(found: DataFrame) -> DataFrame:
     """Records of catalog files (path, kind, content) of kind leagues, clubs or players; other kinds are skipped."""
-    names = [x.split()[0] for x in COLUMNS.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string()), "double": pa.float64(), "date": pa.date32()}
+    columns = [(x.split()[0], kinds[x.split()[1]]) for x in COLUMNS.split(", ")]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [{"path": p, "kind": k, **r} for p, k, c in zip(frame.path, frame.kind, frame.content, strict=True) for r in parse(k, text_of(c))]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"line": "Int32", "division": "Int32", "founded_year": "Int32", "height_m": "float64"}).astype({"birth_date": object})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [{"path": f["path"], "kind": f["kind"], **r} for f in batch.to_pylist() for r in parse(f["kind"], text_of(f["content"]))]
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in columns], [c for c, _ in columns])
 
-    return found.where("kind in ('leagues', 'clubs', 'players')").select("path", "kind", "content").mapInPandas(run, COLUMNS)
+    return found.where("kind in ('leagues', 'clubs', 'players')").select("path", "kind", "content").mapInArrow(run, COLUMNS)

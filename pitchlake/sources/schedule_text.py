@@ -21,7 +21,7 @@ TIME = re.compile(r"^(\d{1,2})[:.](\d{2})(?:\s*h)?(?:\s*(UTC\s*[+-]\s*\d{1,2}(?:
 GOALS = r"\d{1,2}\s*[-–]\s*\d{1,2}"
 SCORE = re.compile(rf"(?<![\d-])({GOALS})(?![\d-])\s*((?:pen|pso|p|aet|a\.e\.t|agg|gg|ft)\.?(?:/\w+)?)?", re.I)
 PARENS = re.compile(rf"\(\s*({GOALS}(?:\s*,\s*{GOALS})*)\s*\)")
-LABELLED = re.compile(rf"\b(HT|FT|ET|AET|PEN)\s*:?\s*({GOALS})|\b({GOALS})\s*(HT)\b", re.I)
+LABELLED = re.compile(rf"\b(HT|FT|ET)\s*:?\s*({GOALS})|\b({GOALS})\s*(HT)\b", re.I)
 STATUS = re.compile(r"\[?\b(postponed|cancelled|canceled|abandoned|awarded|suspended)\b\.?\]?", re.I)
 PLACE = re.compile(r"\s@\s*(.+?)(?:\s+att(?:endance)?\.?:?\s*([\d.,]+))?\s*$", re.I)
 ROUND = re.compile(r"^(?:[▪»*#-]+\s*)?((?:matchday|round|week|spieltag|jornada|group|final|semi-?finals?|quarter-?finals?|play-?offs?|\d+\.\s*(?:spieltag|runde|round))\b.*|.*\b(?:round of \d+|finals?)\b.*)$", re.I)
