@@ -16,7 +16,7 @@ WORDS, PERCENT = 5, 75
 #: Bytes of inverted lists that one task of the first search holds.
 LIST_BYTES = 8 << 20
 #: Rounds in which a list's documents are held against one centre before all pairs between components are.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 FLUSH = 1_000_000
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -153,23 +153,25 @@ def _linked(percent: int):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(key, root): for each end of a link (a, b) the smallest key that it reaches. Large and small stars take turns."""
-    edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
+    """(key, root): for each end of a link (a, b) the smallest key that it reaches.
+
+    Large and small stars take turns: each node's larger neighbours, then its lesser ones, are tied to the least of them.
+    Done when each node has one link, to a node that has none.
+    """
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     while True:
         both = edges.union(edges.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         after = stash(small, "edges")
         discard(edges)
         edges = after
-        state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before:
-            break
-        before = state
-    return edges.select(F.col("u").alias("key"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v")).distinct())
+        parents = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+        open_ = parents.select("u", (F.col("n") > 1).alias("several")).join(edges.select(F.col("v").alias("u")), "u", "left_semi").union(parents.where("n > 1").select("u", F.lit(True)))
+        if open_.isEmpty():
+            return edges.select(F.col("u").alias("key"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v")).distinct())
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -247,9 +249,10 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = min(20, max(0, int(np.ceil(np.log2(max(1, chars * 0.4 / list_bytes))))))
     found = stash(docs.mapInArrow(_indexed(size, percent, bits), "doc_id long, n long, key long, bucket int, keys binary, counts binary, lows binary"), "index")
-    rows = found.where("bucket is null").select("doc_id", "n", "key")
     lists = found.where("bucket is not null").select("bucket", "keys", "counts", "lows")
-    hits = lists.groupBy("bucket").applyInArrow(_shared, "key long, hits long").groupBy("key").agg(F.sum("hits").alias("hits"))
+    hits = stash(lists.groupBy("bucket").applyInArrow(_shared, "key long, hits long").groupBy("key").agg(F.sum("hits").alias("hits")), "hits")
+    rows = stash(found.where("bucket is null").select("doc_id", "n", "key"), "rows")
+    discard(found)
     classes = stash(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
     need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 4))
     left = classes.join(hits, "key").where(F.col("hits") >= need).select("key", F.col("rep").alias("_rep"))
