@@ -28,9 +28,9 @@ def label_propagation(docs: DataFrame, n_shards: int, link: Column, rounds: int
 
     Rows with equal, not null `link` are neighbours of each other. Each starts in a shard by hash. In each round a group
     counts its members by shard, takes the shard with most of those that have room, and its other members move there if
-    the quota admits the group; when more ask than fit, a hash of group and round decides. Groups of more than nine tenths
-    of a shard, or of group_rows, are cut by a hash of doc_id first. In the end rows beyond a shard's quota, those without
-    neighbours first, go to shards that are short. Only n_shards sums a round come to the driver. Equal rows tie: which of
+    the quota, with what is about to leave, admits the group; when more ask than fit, a hash of group and round decides. Groups of more than nine tenths
+    of a shard, or of group_rows, are cut by a hash of doc_id first; what is still large starts whole. In the end rows beyond a shard's quota, those without
+    neighbours first, go to shards that are short. Only sums by shard, and large groups, come to the driver. Equal rows tie: which of
     them goes where is open, the counts are not.
     """
     rows = stash(docs.withColumn("_link", link), "shard")
@@ -41,15 +41,15 @@ def label_propagation(docs: DataFrame, n_shards: int, link: Column, rounds: int
     rows = rows.join(groups, "_link", "left")
     chunk = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.ceil(F.col("_size") / most))
     labels = rows.withColumn("_group", F.when(F.col("_size").isNotNull(), F.xxhash64("_link", chunk))).drop("_link", "_size")
-    labels = stash(labels.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.col("_group")), F.lit(n_shards)).cast("int")), "labels")
+    start = F.pmod(F.xxhash64("doc_id", F.col("_group")), F.lit(n_shards)).cast("int")
+    labels = _large_first(labels, n_shards, total).withColumn("shard", F.coalesce("_at", start)).drop("_at")
+    labels = stash(labels, "labels")
     for turn in range(rounds):
         linked = labels.where("_group is not null")
         room = [q - n for q, n in zip(quota, _loads(linked, n_shards), strict=True)]
-        open_shards = [s for s in range(n_shards) if room[s] > 0]
-        if not open_shards:
-            break
+        open_shards = [s for s in range(n_shards) if room[s] >= 0] or list(range(n_shards))
         cells = linked.groupBy("_group", "shard").agg(F.count(F.lit(1)).alias("n"))
-        here = F.when(_of(room, F.col("shard")) > 0, F.struct("n", F.xxhash64("_group", "shard", F.lit(turn)).alias("r"), "shard"))
+        here = F.when(_of([float(s in open_shards) for s in range(n_shards)], F.col("shard")) > 0, F.struct("n", F.xxhash64("_group", "shard", F.lit(turn)).alias("r"), "shard"))
         votes = cells.groupBy("_group").agg(F.max(here).alias("best"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("spread")).where("spread > 1")
         any_open = _of(open_shards, F.pmod(F.xxhash64("_group", F.lit(turn)), F.lit(len(open_shards))))
         votes = votes.select("_group", F.coalesce("best.shard", any_open).cast("int").alias("shard"), (F.col("size") - F.coalesce("best.n", F.lit(0))).alias("inflow"))
@@ -57,7 +57,9 @@ def label_propagation(docs: DataFrame, n_shards: int, link: Column, rounds: int
         asked = _loads(votes, n_shards, F.col("inflow"))
         if not any(asked):
             break
-        admit = [1.1 if a <= r else 0.95 * max(r, 0) / a for a, r in zip(asked, room, strict=True)]
+        leaving = cells.join(votes.select("_group", F.col("shard").alias("_to")), "_group").where(F.col("shard") != F.col("_to"))
+        room = [r + int(0.9 * n) for r, n in zip(room, _loads(leaving, n_shards, F.col("n")), strict=True)]
+        admit = [1.1 if a <= max(r, 0) else 0.95 * max(r, 0) / a for a, r in zip(asked, room, strict=True)]
         moves = votes.where(unit_hash(F.col("_group"), F.lit(turn + 100)) < _of(admit, F.col("shard"))).select(F.col("_group").alias("_g"), F.col("shard").alias("_to"))
         after = labels.join(moves, F.col("_group") == F.col("_g"), "left").withColumn("shard", F.coalesce("_to", "shard")).drop("_g", "_to")
         after = stash(after, "labels")
@@ -66,6 +68,24 @@ def label_propagation(docs: DataFrame, n_shards: int, link: Column, rounds: int
     return _even_out(labels, quota, n_shards).drop("_group")
 
 
+def _large_first(labels: DataFrame, n_shards: int, total: int) -> DataFrame:
+    """labels with _at, the shard where a group of more than a tenth of a shard starts whole, the largest group first.
+
+    At most 10 * n_shards groups can be so large; those come to the driver.
+    """
+    sizes = labels.where("_group is not null").groupBy("_group").agg(F.count(F.lit(1)).alias("n"))
+    large = sorted(((r.n, r._group) for r in sizes.where(F.col("n") * 10 * n_shards > total).where("n > 2").limit(10 * n_shards).collect()), reverse=True)
+    loads, chosen = [0] * n_shards, []
+    for n, group in large:
+        least = min(range(n_shards), key=lambda s: (loads[s], s))
+        loads[least] += n
+        chosen.append((group, least))
+    if not chosen:
+        return labels.withColumn("_at", F.lit(None).cast("int"))
+    places = labels.sparkSession.createDataFrame(chosen, "_large long, _at int")
+    return labels.join(F.broadcast(places), F.col("_group") == F.col("_large"), "left").drop("_large")
+
+
 def _even_out(labels: DataFrame, quota: list[int], n_shards: int) -> DataFrame:
     """Move the rows beyond each shard's quota to shards that are short of it."""
     linked = _loads(labels.where("_group is not null"), n_shards)
