@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitchlake.llm.common import small_batches, table
+from pitchlake.llm.common import fresh, small_batches, table
 
 #: A pre-token never runs from a character that is no white space into a space or line end, so text may be cut there.
 PIECE = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*\Z)?|\s+")
@@ -120,12 +120,12 @@ def _lists(ids: list[list[int]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def _encoded(path: str, leaf: int):
+def _encoded(path: str, leaf: int, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = codec(path)
         for batch in batches:
-            ids = [encode_whole(tok, t.as_py() or "", leaf) for t in batch.column("_text")]
-            yield batch.select([n for n in batch.schema.names if n != "_text"]).append_column("token_ids", _lists(ids))
+            ids = [encode_whole(tok, t.as_py() or "", leaf) for t in batch.column(column)]
+            yield batch.select([n for n in batch.schema.names if n != column]).append_column("token_ids", _lists(ids))
 
     return run
 
@@ -140,11 +140,11 @@ def _decoded(path: str):
     return run
 
 
-def _joined(path: str, names: list[str]):
+def _joined(path: str, names: list[str], at: str, text: str):
     def run(rows: pa.Table) -> pa.Table:
         tok = codec(path)
-        rows = rows.sort_by("_leaf")
-        level = [(i.as_py(), t.as_py()) for i, t in zip(rows.column("token_ids"), rows.column("_leaf_text"), strict=True)]
+        rows = rows.sort_by(at)
+        level = [(i.as_py(), t.as_py()) for i, t in zip(rows.column("token_ids"), rows.column(text), strict=True)]
         while len(level) > 1:
             level = [join_encoded(tok, *level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
         return rows.slice(0, 1).select(names).append_column("token_ids", pa.array([level[0][0]], pa.list_(pa.int32())))
@@ -162,15 +162,16 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", leaf: int = LEAF,
     small_batches(docs.sparkSession)
     docs = docs.drop("token_ids")
     keep = docs.columns
-    rows = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+    text, row, at, leaf_text = fresh(docs, "_text", "_row", "_leaf", "_leaf_text")
+    rows = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
     schema = docs.schema.add("token_ids", T.ArrayType(T.IntegerType()))
-    near = rows.where(F.length("_text") <= spread).mapInArrow(_encoded(path, leaf), schema)
-    far = rows.where(F.length("_text") > spread).withColumn("_row", F.monotonically_increasing_id())
-    slices = F.transform(F.sequence(F.lit(0), F.floor((F.length("_text") - 1) / spread).cast("int")), lambda i: F.substring(F.col("_text"), i * spread + 1, F.lit(spread)))
-    leaves = far.select(*keep, "_row", F.posexplode(slices).alias("_leaf", "_leaf_text")).repartition("_row", "_leaf")
-    leaves = leaves.withColumn("_text", F.col("_leaf_text"))
-    done = leaves.mapInArrow(_encoded(path, leaf), leaves.drop("_text").schema.add("token_ids", T.ArrayType(T.IntegerType())))
-    return near.unionByName(done.groupBy("_row").applyInArrow(_joined(path, keep), schema))
+    near = rows.where(F.length(text) <= spread).mapInArrow(_encoded(path, leaf, text), schema)
+    far = rows.where(F.length(text) > spread).withColumn(row, F.monotonically_increasing_id())
+    slices = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / spread).cast("int")), lambda i: F.substring(F.col(text), i * spread + 1, F.lit(spread)))
+    leaves = far.select(*keep, row, F.posexplode(slices).alias(at, leaf_text)).repartition(row, at)
+    leaves = leaves.withColumn(text, F.col(leaf_text))
+    done = leaves.mapInArrow(_encoded(path, leaf, text), leaves.drop(text).schema.add("token_ids", T.ArrayType(T.IntegerType())))
+    return near.unionByName(done.groupBy(row).applyInArrow(_joined(path, keep, at, leaf_text), schema))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlake.llm.common import small_batches, table
+from pitchlake.llm.common import fresh, small_batches, table
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -223,18 +223,22 @@ def main_text(page: str | None) -> str:
     return " ".join(t for t in map(_text, picked) if t)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [main_text(x.as_py()) for x in batch.column("_html")]
-        yield batch.select([n for n in batch.schema.names if n != "_html"]).append_column("text", pa.array(texts, pa.string()))
+def _texts(column: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [main_text(x.as_py()) for x in batch.column(column)]
+            yield batch.select([n for n in batch.schema.names if n != column]).append_column("text", pa.array(texts, pa.string()))
+
+    return run
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages without html_col, with text, the main text of each row; a column text is replaced, repeated rows stay."""
     small_batches(pages.sparkSession)
     rest = pages.drop("text").drop(html_col)
-    rows = pages.select(*rest.columns, F.col(html_col).alias("_html"))
-    return rows.mapInArrow(_texts, rest.schema.add("text", "string"))
+    (page,) = fresh(pages, "_html")
+    rows = pages.select(*rest.columns, F.col(html_col).alias(page))
+    return rows.mapInArrow(_texts(page), rest.schema.add("text", "string"))
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

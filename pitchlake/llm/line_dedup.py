@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlake.llm.common import small_batches, stash, table
+from pitchlake.llm.common import fresh, small_batches, stash, table
 
 #: Shorter units are no evidence of copying and stay.
 MIN_WORDS = 10
@@ -54,11 +54,11 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "lin
     return found.select("doc_id", "start", "end", "n_words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
 
 
-def _cut(at: int, gap: str):
+def _cut(at: int, gap: str, marks: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column(at), batch.column("_spans"), strict=True):
+            for text, spans in zip(batch.column(at), batch.column(marks), strict=True):
                 text, gone = text.as_py(), set(spans.as_py() or ())
                 if gone:
                     kept, begin = [], 0
@@ -68,7 +68,7 @@ def _cut(at: int, gap: str):
                         begin += len(unit) + len(gap)
                     text = gap.join(kept)
                 texts.append(text)
-            out = batch.select([n for n in batch.schema.names if n != "_spans"])
+            out = batch.select([n for n in batch.schema.names if n != marks])
             yield out.set_column(at, pa.field("text", pa.string()), pa.array(texts, pa.string()))
 
     return run
@@ -80,9 +80,10 @@ def without_repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, unit: st
     Columns and their order are those of docs; no row goes, and rows without a repeated unit are unchanged, null and
     empty texts too.
     """
-    spans = repeated_units(docs, min_words, unit).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("start").alias("_spans"))
-    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
-    return joined.mapInArrow(_cut(docs.columns.index("text"), BREAKS[unit]), docs.schema)
+    marks, key = fresh(docs, "_spans", "_id")
+    spans = repeated_units(docs, min_words, unit).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("start").alias(marks))
+    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left").drop(key)
+    return joined.mapInArrow(_cut(docs.columns.index("text"), BREAKS[unit], marks), docs.schema)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitchlake.llm.common import WORD, stash, table, unit_hash
+from pitchlake.llm.common import WORD, fresh, stash, table, unit_hash
 
 #: Relative weights of the sources in code point order, repeating; all sizes together times SHARE are asked for.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
@@ -57,10 +57,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     sums over key ranges say where its target falls, and only that range is sorted.
     """
     weight = text_quality(F.col("text")) if quality is None else F.greatest(F.coalesce(quality.cast("double"), F.lit(0.05)), F.lit(1e-6))
-    docs = docs.drop("size", "source_size", "target", "epochs", "copies")
+    docs = docs.select("doc_id", "text", "source", *([] if quality is None else [weight.alias("_weight")]))
     key = F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit("")))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    draw = -F.log(unit_hash(F.lit(seed), F.col("doc_id"), F.xxhash64("text")) + F.lit(2.0**-54)) / weight
+    draw = -F.log(unit_hash(F.lit(seed), F.col("doc_id"), F.xxhash64("text")) + F.lit(2.0**-54)) / (weight if quality is None else F.col("_weight"))
     rows = stash(docs.select("doc_id", F.xxhash64("text").alias("_text"), key.alias("source_key"), size.alias("size"), draw.alias("_draw")), "mix")
     targets = source_targets(rows.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows")), weights, share, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
@@ -83,12 +83,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of docs as often as mix() takes it, with the columns of docs."""
-    keyed = docs.withColumn("_text", F.xxhash64("text")).withColumn("_id", F.col("doc_id"))
-    picked = mix(docs, **options).groupBy("doc_id", "_text", F.col("source_key").alias("_source")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    key = F.concat(F.when(keyed.source.isNull(), "1").otherwise("0"), F.coalesce(keyed.source, F.lit("")))
-    same = keyed._id.eqNullSafe(picked.doc_id) & (keyed._text == picked._text) & (key == picked._source)
-    rows = keyed.join(picked, same).select(*[keyed[c] for c in docs.columns], picked["_copies"])
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    digest, source, nth = fresh(docs, "_digest", "_source", "_copy")
+    key = F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit("")))
+    picked = mix(docs, **options).groupBy(F.col("doc_id").alias("_picked"), F.col("_text").alias("_picked_text"), F.col("source_key").alias("_picked_source")).agg(F.max("copies").alias("_n")).where("_n > 0")
+    picked = picked.toDF(*fresh(docs, "_picked", "_picked_text", "_picked_source", "_n"))
+    p_id, p_text, p_source, p_n = picked.columns
+    keyed = docs.withColumns({digest: F.xxhash64("text"), source: key})
+    same = F.col("doc_id").eqNullSafe(F.col(p_id)) & (F.col(digest) == F.col(p_text)) & (F.col(source) == F.col(p_source))
+    rows = keyed.join(picked, same).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(p_n))))
+    return rows.select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitchlake.llm.common import small_batches, stash, table
+from pitchlake.llm.common import fresh, small_batches, stash, table
 
 # Function words that are common in English, German, French and Spanish.
 COMMON = (
@@ -159,8 +159,10 @@ def judge(docs: DataFrame, id_cols: tuple[str, ...] = ("doc_id",), max_char: flo
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """docs without the rows that judge() rejects; rows and columns are otherwise unchanged, repeated rows stay."""
-    good = judge(docs.withColumn("_key", F.xxhash64("doc_id", "lang", "text")), ("_key",)).where("kept").select("_key").distinct()
-    return docs.withColumn("_key", F.xxhash64("doc_id", "lang", "text")).join(good, "_key", "left_semi").select(*docs.columns)
+    (key,) = fresh(docs, "_key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "lang", "text"))
+    good = judge(keyed, (key,)).where("kept").select(key).distinct()
+    return keyed.join(good, key, "left_semi").select(*docs.columns)
 
 
 def op4_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
