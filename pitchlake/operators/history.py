@@ -37,25 +37,23 @@ def last_before(rows: DataFrame, keys: list[str], n: int, values: list[str]) ->
 
 def mean_of_last(n: int, metric: str, history: str = "history") -> Column:
     """Mean of the known values among the last n; null if none is known."""
-    last = F.slice(history, F.greatest(F.lit(1), F.size(history) - n + 1), n)
-    known = F.filter(F.transform(last, lambda x: x[metric].cast("double")), lambda v: v.isNotNull())
-    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / F.size(known))
+    last = f"slice({history}, greatest(1, size({history}) - {n} + 1), {n})"
+    step = f"(a, x) -> if(x.{metric} is null, a, named_struct('s', a.s + x.{metric}, 'n', a.n + 1))"
+    return F.expr(f"aggregate({last}, named_struct('s', 0D, 'n', 0), {step}, a -> a.s / nullif(a.n, 0))")
 
 
 def decayed_mean(metric: str, history: str = "history", decay: float = DECAY) -> Column:
     """Mean weighted by decay ** distance from the newest; unknown values keep their place and weigh nothing."""
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
-    weight = F.lit(decay)
-    pairs = F.transform(history, lambda x, i: F.struct(x[metric].cast("double").alias("v"), F.pow(weight, F.size(history) - 1 - i).alias("w")))
-    known = F.filter(pairs, lambda p: p["v"].isNotNull())
-    total = F.aggregate(known, start, lambda a, p: F.struct((a["s"] + p["v"] * p["w"]).alias("s"), (a["w"] + p["w"]).alias("w")))
-    return F.when(F.size(known) > 0, total["s"] / total["w"])
+    # From the oldest on, all weights so far shrink by one step with each match.
+    step = f"(a, x) -> named_struct('s', a.s * {decay}D + coalesce(x.{metric}, 0), 'w', a.w * {decay}D + if(x.{metric} is null, 0, 1))"
+    return F.expr(f"aggregate({history}, named_struct('s', 0D, 'w', 0D), {step}, a -> a.s / nullif(a.w, 0D))")
 
 
 def known_share(history: str = "history") -> Column:
     """Share of the five statistics that are known in the history; 0 without one."""
-    known = F.aggregate(history, F.lit(0), lambda a, x: a + sum((x[m].isNotNull().cast("int") for m in COMPLETENESS), F.lit(0)))
-    return F.when(F.size(history) > 0, known / (F.size(history) * len(COMPLETENESS))).otherwise(0.0)
+    known = " + ".join(f"if(x.{m} is null, 0, 1)" for m in COMPLETENESS)
+    total = f"aggregate({history}, 0, (a, x) -> a + {known})"
+    return F.expr(f"if(size({history}) > 0, {total} / (size({history}) * {len(COMPLETENESS)}), 0D)")
 
 
 def team_history(sides: DataFrame) -> DataFrame:
@@ -87,19 +85,30 @@ def league_priors(matches: DataFrame) -> DataFrame:
     }).drop("_home", "_away")
 
 
-def side_features(sides: DataFrame) -> DataFrame:
-    """Per match and side: history_matches, days_rest, known share, means of the last 3, 5 and 10, decayed means."""
+def side_features(sides: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
+    """Per match and side: history_matches, days_rest, known share, means of the last 3, 5 and 10, decayed means.
+
+    only: the names of the means wanted, all by default; what isn't asked for isn't planned.
+    """
     rows = team_history(sides)
-    means = [mean_of_last(n, m).alias(f"{m}_avg_{n}") for m in METRICS for n in (3, 5, 10)]
-    decayed = [decayed_mean(m).alias(f"{m}_recency_weighted_10") for m in DECAYED]
+    wanted = lambda name: only is None or name in only
+    means = [mean_of_last(n, m).alias(f"{m}_avg_{n}") for m in METRICS for n in (3, 5, 10) if wanted(f"{m}_avg_{n}")]
+    decayed = [decayed_mean(m).alias(f"{m}_recency_weighted_10") for m in DECAYED if wanted(f"{m}_recency_weighted_10")]
     newest = F.element_at("history", -1)["match_date"]
     latest = F.when(F.size("history") > 0, newest).alias("history_max_date")
     return rows.select("match_id", "competition_id", "match_date", "venue", "team_id", F.col("n_before").alias("history_matches"), days_rest().alias("days_rest"), latest, known_share().alias("data_completeness"), *means, *decayed)
 
 
-def match_features(matches: DataFrame, sides: DataFrame) -> DataFrame:
-    """One row per match: home_ and away_ features, league priors, strengths, weaknesses and the feature quality."""
-    features = side_features(sides)
+#: The means that strengths, rates and tails are made of.
+CORE = ("goals_for_avg_5", "goals_against_avg_5", "goals_for_recency_weighted_10", "goals_against_recency_weighted_10", "cards_avg_10", "corners_avg_10")
+
+
+def match_features(matches: DataFrame, sides: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per match: home_ and away_ features, league priors, strengths, weaknesses and the feature quality.
+
+    only: as in side_features(), CORE at least.
+    """
+    features = side_features(sides, None if only is None else tuple({*CORE, *only}))
     names = [c for c in features.columns if c not in ("match_id", "competition_id", "match_date", "venue", "team_id")]
     pick = [F.max(F.when(F.col("venue") == v, F.col(c))).alias(f"{v}_{c}") for v in ("home", "away") for c in names]
     wide = league_priors(matches).join(features.groupBy("match_id").agg(*pick), "match_id")

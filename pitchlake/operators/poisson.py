@@ -96,7 +96,7 @@ def score_matrix(rates: DataFrame, shown: int = 6) -> DataFrame:
 def top_scorelines(rates: DataFrame, n: int = 5) -> DataFrame:
     """The n likeliest scores of each match: match_id, rank, home_goals, away_goals, probability."""
     goals = F.sequence(F.lit(0), F.lit(MAX_GOALS))
-    cells = F.flatten(F.transform(goals, lambda i: F.transform(goals, lambda j: F.struct((-F.col("ph")[i] * F.col("pa")[j]).alias("p"), i.alias("h"), j.alias("a")))))
+    cells = F.flatten(F.transform(goals, lambda i: F.transform(goals, lambda j: F.struct(F.round(-F.col("ph")[i] * F.col("pa")[j], 12).alias("p"), i.alias("h"), j.alias("a")))))
     rows = with_pmfs(rates).select("match_id", F.posexplode(F.slice(F.array_sort(cells), 1, n)).alias("rank", "c"))
     return rows.select("match_id", (F.col("rank") + 1).alias("rank"), F.col("c.h").alias("home_goals"), F.col("c.a").alias("away_goals"), (-F.col("c.p")).alias("probability"))
 

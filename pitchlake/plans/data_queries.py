@@ -162,11 +162,11 @@ def player_form(spark, d):
     return _form(spark, d)
 
 
-@query("""SELECT match_id, kind, rank, player_id, round(probability, 6) AS probability FROM (SELECT *, row_number() OVER (PARTITION BY match_id, kind ORDER BY probability DESC, player_id) AS rank FROM (
+@query("""SELECT match_id, kind, rank, player_id, probability FROM (SELECT *, row_number() OVER (PARTITION BY match_id, kind ORDER BY probability DESC, player_id) AS rank FROM (
   SELECT l.match_id, kind, l.player_id, round((1 - exp(-(n / minutes * 75))) * CASE WHEN confirmed THEN 1.0 ELSE start_probability END, 9) AS probability
   FROM lineups l JOIN (SELECT player_id, minutes, 'scorer' AS kind, goals AS n FROM form UNION ALL SELECT player_id, minutes, 'card', cards FROM form) f ON f.player_id = l.player_id WHERE minutes > 0)) WHERE rank <= 10""", FORMS)
 def player_probs(spark, d):
-    return players.chances(_lineups(spark, d), _form(spark, d)).withColumn("probability", F.round("probability", 6))
+    return players.chances(_lineups(spark, d), _form(spark, d))
 
 
 NOISY = "CASE c_custkey % 4 WHEN 0 THEN upper(c_name) WHEN 1 THEN replace(c_name, 'a', 'á') WHEN 2 THEN ' ' || c_name || ' FC' ELSE replace(c_name, '#', ' - ') END"
@@ -272,7 +272,8 @@ def league_fallback(spark, d):
 def glm_goals(spark, d):
     from pitchlake.operators import models
 
-    return models.goal_model_report(base._features(spark, d))
+    wanted = tuple(f"{m}_avg_{n}" for m in ("goals_for", "goals_against", "shots") for n in (5, 10))
+    return models.goal_model_report(base._features(spark, d, wanted))
 
 
 @query()

@@ -39,9 +39,9 @@ def _full(spark: SparkSession, d: str) -> DataFrame:
     return side_rows.with_statistics(adapter.matches(spark, d), adapter.team_statistics(spark, d))
 
 
-def _features(spark: SparkSession, d: str) -> DataFrame:
+def _features(spark: SparkSession, d: str, only: tuple[str, ...] | None = history.CORE) -> DataFrame:
     full = _full(spark, d)
-    return history.match_features(full, side_rows.sides(full))
+    return history.match_features(full, side_rows.sides(full), only)
 
 
 def _rates(spark: SparkSession, d: str) -> DataFrame:
@@ -96,12 +96,12 @@ WEIGHTED = [f"{m}_recency_weighted_10" for m in history.DECAYED]
 
 @query(f"SELECT match_id, venue, {_round_sql(MEANS)} FROM side_features", FORM)
 def rolling_form(spark, d):
-    return _rounded(history.side_features(side_rows.sides(_full(spark, d))), ["match_id", "venue"], MEANS)
+    return _rounded(history.side_features(side_rows.sides(_full(spark, d)), tuple(MEANS)), ["match_id", "venue"], MEANS)
 
 
 @query(f"SELECT match_id, venue, {_round_sql(WEIGHTED)} FROM side_features", FORM)
 def recency_weighted(spark, d):
-    return _rounded(history.side_features(side_rows.sides(_full(spark, d))), ["match_id", "venue"], WEIGHTED)
+    return _rounded(history.side_features(side_rows.sides(_full(spark, d)), tuple(WEIGHTED)), ["match_id", "venue"], WEIGHTED)
 
 
 @query("""SELECT v.match_id, v.venue, round(avg(p.goals_for), 6) AS venue_goals_for_avg_5, round(avg(p.goals_against), 6) AS venue_goals_against_avg_5
@@ -115,7 +115,7 @@ def venue_form(spark, d):
 
 @query("SELECT match_id, venue, history_matches, round(days_rest, 6) AS days_rest, round(CAST(data_completeness AS DOUBLE), 6) AS data_completeness, strftime(history_max_date, '%Y-%m-%d') AS last_day FROM side_features", FORM)
 def history_state(spark, d):
-    rows = history.side_features(side_rows.sides(_full(spark, d)))
+    rows = history.side_features(side_rows.sides(_full(spark, d)), ())
     return rows.select("match_id", "venue", "history_matches", F.round("days_rest", 6).alias("days_rest"), F.round("data_completeness", 6).alias("data_completeness"), F.date_format("history_max_date", "yyyy-MM-dd").alias("last_day"))
 
 
