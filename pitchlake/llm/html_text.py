@@ -29,10 +29,12 @@ FORMATS = frozenset("a b big code em font i s small strike strong tt u".split())
 CONTENT = frozenset(("article", "main"))
 #: Words of class, id and role that mark what is no part of an article.
 UNWANTED = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|sidebar|side-?bar|side|nav\w*|menus?|breadcrumbs?|footer|foot|masthead|page-?header|site-?header|topbar|toolbar|"
+    r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|sidebar|side-?bar|nav\w*|menus?|breadcrumbs?|footer|masthead|page-?header|site-?header|topbar|toolbar|"
     r"comments?|comment-?\w*|disqus|replies|reply|respond|discussion|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|"
-    r"share|sharing|social|related|recommend\w*|widget|pagination|pager|skip|hidden|search|complementary|navigation|contentinfo|form)(?:$|[^a-z])"
+    r"share|sharing|social|related|recommend\w*|widget|pagination|pager|skip|hidden|search|complementary|navigation|contentinfo)(?:$|[^a-z])"
 )
+#: Words that say what a wrapper has or lacks, not what it is.
+ABOUT = re.compile(r"\b(?:no|has|with|without|hide|show)-[\w-]+")
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 SPACE = re.compile(r"\s+")
@@ -51,18 +53,16 @@ class Node:
 def _unwanted(name: str, attributes: str, inside: Node) -> bool:
     if name in NEVER:
         return True
+    outside = not any(n.name in CONTENT for n in _path(inside))
     if name == "header":
-        node: Node | None = inside
-        while node and node.name not in CONTENT:
-            node = node.parent
-        return node is None
+        return outside
     if not attributes or name in ("html", "body", "article", "main"):
         return False
     for m in ATTRIBUTE.finditer(attributes):
         kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if kind == "hidden" or (kind == "aria-hidden" and value == "true") or (kind == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return True
-        if kind in ("class", "id", "role") and UNWANTED.search(value):
+        if kind in ("class", "id", "role") and (UNWANTED.search(ABOUT.sub(" ", value)) or (outside and "header" in value.split())):
             return True
     return False
 

@@ -227,6 +227,8 @@ def test_html(spark):
     assert html_text.main_text(PAGE) == "A & B First bold text <here>. Second line — end. One Two"
     plain = "<body><div><a href=1>x</a><a href=2>y</a></div><div>" + "<p>Long sentence number one of the text.</p>" * 5 + "</div></body>"
     assert html_text.main_text(plain) == " ".join(["Long sentence number one of the text."] * 5)
+    assert html_text.main_text('<body><div class="header">S</div><div class="with-sidebar"><h1>T</h1><p>Text.</p><div id="sidebar">no</div></div></body>') == "T Text."
+    assert html_text.main_text('<body><main><h1>T</h1><p>One.</p><section id="comments"><p>c</p></section></main><p>A long paragraph outside</p></body>') == "T One."
     for odd in (None, "", "<", "<p", "<!-- open", "<script>x", "</p></div>", "text only", "<table><tr><td>a<td>b<tr><td>c</table>", "<a" * 50, "<p>" * 3000 + "x"):
         assert isinstance(html_text.main_text(odd), str)
     assert html_text.main_text("text only") == "text only"
