@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pitchlake.functions import names, values
 from pitchlake.functions import scores
-from pitchlake.operators import consolidate, grading, players, quality, resolve, validate
+from pitchlake.operators import consolidate, enrich, evaluation, grading, players, poisson, quality, resolve, validate
 from pitchlake.operators import sides as side_rows
 from pitchlake.plans import match_queries as base
 from pitchlake.sources import adapter
@@ -281,3 +281,65 @@ def stream_upsert(spark, d):
     from pitchlake.streaming import live
 
     return live.replayed(spark, adapter.table(spark, d, "events"))
+
+
+@query("SELECT match_id, round(1 - exp(-0.45 * (lambda_home + lambda_away)), 6) AS first_half_goal, round(0.45 * lambda_home, 6) AS first_half_home, round(0.45 * lambda_away, 6) AS first_half_away FROM lambdas", base.RATES)
+def first_half(spark, d):
+    rows = base._rates(spark, d)
+    share = {v: 0.45 * F.col(f"lambda_{v}") for v in ("home", "away")}
+    return rows.select("match_id", F.round(1 - F.exp(-(share["home"] + share["away"])), 6).alias("first_half_goal"), *[F.round(share[v], 6).alias(f"first_half_{v}") for v in share])
+
+
+@query("""SELECT match_id, coalesce(bool_or(match_id % 97 = 0 AND status = 'finished') OVER (PARTITION BY competition_id ORDER BY match_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING), false) AS history_contains_demo FROM matches""")
+def demo_in_history(spark, d):
+    return enrich.demo_in_history(adapter.matches(spark, d).withColumn("is_demo", F.col("match_id") % 97 == 0))
+
+
+@query("""SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END, n_name) AS segment, coalesce(CASE WHEN c_custkey % 5 <> 0 THEN n_name END, n_name) AS country,
+  CASE WHEN c_custkey % 3 <> 0 AND c_mktsegment <> n_name THEN 'segment' ELSE '' END AS kept FROM customer JOIN nation ON n_nationkey = c_nationkey""", None)
+def catalog_fill(spark, d):
+    both = adapter.table(spark, d, "customer").join(adapter.table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    k = F.col("c_custkey")
+    stored = both.select("c_custkey", F.when(k % 3 != 0, F.col("c_mktsegment")).alias("segment"), F.when(k % 5 != 0, F.col("n_name")).alias("country"))
+    catalog = both.select("c_custkey", F.col("n_name").alias("segment"), F.col("n_name").alias("country"))
+    return enrich.filled_from(stored, catalog, "c_custkey", ["segment", "country"]).withColumn("kept", F.array_join("kept", ","))
+
+
+@query("""SELECT record_id, CASE WHEN n_same = 1 THEN 'matched' WHEN n_same > 1 THEN 'ambiguous' WHEN n_blank = 1 THEN 'matched' WHEN n_blank > 1 THEN 'ambiguous' ELSE 'new' END AS resolution,
+  CASE WHEN n_same = 1 THEN id_same WHEN n_same = 0 AND n_blank = 1 THEN id_blank END AS player_id FROM (
+  SELECT a.p_partkey AS record_id, count(*) FILTER (WHERE a.b = k.b) AS n_same, count(*) FILTER (WHERE k.p_partkey IS NOT NULL AND (k.b IS NULL OR a.b IS NULL)) AS n_blank, min(k.p_partkey) FILTER (WHERE a.b = k.b) AS id_same,
+    min(k.p_partkey) FILTER (WHERE k.p_partkey IS NOT NULL AND (k.b IS NULL OR a.b IS NULL)) AS id_blank
+  FROM (SELECT p_partkey, p_brand || p_type AS name, CASE WHEN p_size % 7 <> 0 THEN p_size END AS b FROM part WHERE p_partkey % 4 = 0) a
+  LEFT JOIN (SELECT p_partkey, p_brand || p_type AS name, CASE WHEN p_size % 5 <> 0 THEN p_size END AS b FROM part WHERE p_partkey % 4 = 1) k ON a.name = k.name GROUP BY a.p_partkey)""", None)
+def homonym_players(spark, d):
+    part = adapter.table(spark, d, "part").withColumn("name", F.concat("p_brand", "p_type"))
+    asked = part.where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("record_id"), "name", F.when(F.col("p_size") % 7 != 0, F.col("p_size")).alias("birth_date"))
+    known = part.where("p_partkey % 4 = 1").select(F.col("p_partkey").alias("player_id"), "name", F.when(F.col("p_size") % 5 != 0, F.col("p_size")).alias("birth_date"))
+    return enrich.homonyms(asked, known)
+
+
+@query("SELECT match_id, array_to_string(list_filter([CASE WHEN ag IS NOT NULL THEN 'ag' END, CASE WHEN hg IS NOT NULL THEN 'hg' END, CASE WHEN hht IS NOT NULL THEN 'hht' END], lambda x: x IS NOT NULL), ',') AS known FROM second", SECOND)
+def field_provenance(spark, d):
+    rows = _second_source(spark, d)
+    told = enrich.provenance(["ag", "hg", "hht"], F.lit("second"))
+    return rows.select("match_id", F.array_join(F.array_sort(F.map_keys(told)), ",").alias("known"))
+
+
+@query("SELECT user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM events GROUP BY ALL", None)
+def request_windows(spark, d):
+    rows = rate.tumbling(adapter.table(spark, d, "events"), "user_id", seconds=3600)
+    return rows.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n")
+
+
+@query("SELECT CAST(least(floor(home_win * 10), 9) AS BIGINT) AS bin, count(*) AS n, round(avg(home_win), 6) AS confidence, round(avg(CAST(hg > ag AS INT)), 6) AS frequency FROM markets JOIN matches USING (match_id) WHERE hg IS NOT NULL GROUP BY 1", base.RATES)
+def calibration_bins(spark, d):
+    rows = poisson.markets(base._rates(spark, d)).where("hg is not null")
+    out = evaluation.calibration(rows, "home_win", F.col("hg") > F.col("ag"))
+    return out.select("bin", "n", F.round("confidence", 6).alias("confidence"), F.round("frequency", 6).alias("frequency"))
+
+
+@query("SELECT match_id, event_type, status FROM outcomes WHERE match_id % 2 = 1 OR event_type <> 'match_result'", base.GRADES)
+def grading_retry(spark, d):
+    graded = adapter.matches(spark, d).where("match_id % 2 = 0").select("match_id", F.lit("match_result").alias("event_type"))
+    rows = grading.outcomes(base._predictions(spark, d), adapter.matches(spark, d), adapter.team_statistics(spark, d), graded)
+    return rows.select("match_id", "event_type", "status")
