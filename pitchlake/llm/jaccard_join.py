@@ -14,10 +14,10 @@ from pitchlake.llm.common import discard, small_batches, stash, table, unit_hash
 
 WORDS, PERCENT = 5, 75
 #: Bytes of inverted lists that one task of the first search holds.
-LIST_BYTES = 8 << 20
+LIST_BYTES = 6 << 20
 #: Rounds in which a list's documents are held against one centre before all pairs between components are.
 STAR_ROUNDS = 2
-FLUSH = 1_000_000
+FLUSH = 500_000
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _known: dict[bytes, int] = {}
@@ -31,7 +31,7 @@ def shingle_set(text: str | None, size: int = WORDS) -> np.ndarray:
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(_known) > 400_000:
+    if len(_known) > 100_000:
         _known.clear()
     known = _known
     for w in words:
@@ -104,21 +104,39 @@ def _indexed(size: int, percent: int, bits: int):
             yield batch_of(docs, lists)
         if sets:
             yield batch_of(([], [], []), flush(sets))
+        _known.clear()
+
+    return run
+
+
+def _shared(parts: int):
+    """Of one bucket: how many of each document's shingles another document has too, as lists by key modulo parts."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in rows.column("keys")])
+        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in rows.column("counts")])
+        lows = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in rows.column("lows")])
+        names, place = np.unique(keys, return_inverse=True)
+        both = np.unique((lows.astype(np.uint64) << np.uint64(32)) | np.repeat(place, counts).astype(np.uint64))
+        runs = np.flatnonzero(np.diff(both >> np.uint64(32), prepend=np.uint64(1 << 33)))
+        lens = np.diff(runs, append=len(both))
+        hits = np.bincount((both[np.repeat(lens > 1, lens)] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(names))
+        names, hits = names[hits > 0], hits[hits > 0]
+        order = np.argsort(names % parts, kind="stable")
+        names, hits = names[order], hits[order]
+        edges = np.searchsorted(names % parts, np.arange(parts + 1))
+        found = [(p, names[a:b].tobytes(), hits[a:b].astype(np.int64).tobytes()) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+        cols = list(zip(*found, strict=True)) or [(), (), ()]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("part", "keys", "hits"), cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)})
 
     return run
 
 
-def _shared(pairs: pa.Table) -> pa.Table:
-    """Of one bucket: how many of each document's shingles another document has too."""
-    keys = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in pairs.column("keys")])
-    counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in pairs.column("counts")])
-    lows = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in pairs.column("lows")])
+def _added(rows: pa.Table) -> pa.Table:
+    """Of one part: each key with its hits in all buckets."""
+    keys, hits = (np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in rows.column(c)]) for c in ("keys", "hits"))
     names, place = np.unique(keys, return_inverse=True)
-    both = np.unique((lows.astype(np.uint64) << np.uint64(32)) | np.repeat(place, counts).astype(np.uint64))
-    runs = np.flatnonzero(np.diff(both >> np.uint64(32), prepend=np.uint64(1 << 33)))
-    lens = np.diff(runs, append=len(both))
-    hits = np.bincount((both[np.repeat(lens > 1, lens)] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(names))
-    return pa.table({"key": names[hits > 0], "hits": hits[hits > 0]})
+    return pa.table({"key": names, "hits": np.bincount(place, hits, len(names)).astype(np.int64)})
 
 
 def _sets(size: int):
@@ -250,7 +268,7 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     bits = min(20, max(0, int(np.ceil(np.log2(max(1, chars * 0.4 / list_bytes))))))
     found = stash(docs.mapInArrow(_indexed(size, percent, bits), "doc_id long, n long, key long, bucket int, keys binary, counts binary, lows binary"), "index")
     lists = found.where("bucket is not null").select("bucket", "keys", "counts", "lows")
-    hits = stash(lists.groupBy("bucket").applyInArrow(_shared, "key long, hits long").groupBy("key").agg(F.sum("hits").alias("hits")), "hits")
+    hits = stash(lists.groupBy("bucket").applyInArrow(_shared(1 << bits), "part long, keys binary, hits binary").groupBy("part").applyInArrow(_added, "key long, hits long"), "hits")
     rows = stash(found.where("bucket is null").select("doc_id", "n", "key"), "rows")
     discard(found)
     classes = stash(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
