@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlake.llm.bpe import decode, encode, vocabulary
+from pitchlake.llm.bpe import encode, vocabulary
 from pitchlake.llm.common import stash, table
 from pitchlake.llm.jaccard_join import one_of_each
 from pitchlake.llm.line_dedup import without_repeated_units
@@ -37,7 +37,7 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def byte_pairs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """documents' columns with token_ids, n_tokens, and whether decoding gives the text back."""
     path = vocabulary()
-    rows = decode(encode(docs, path), path)
+    rows = encode(docs, path, decoded=True)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return rows.select(*docs.columns, "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 

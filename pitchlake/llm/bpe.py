@@ -120,12 +120,13 @@ def _lists(ids: list[list[int]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def _encoded(path: str, leaf: int, column: str):
+def _encoded(path: str, leaf: int, column: str, decoded: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = codec(path)
         for batch in batches:
             ids = [encode_whole(tok, t.as_py() or "", leaf) for t in batch.column(column)]
-            yield batch.select([n for n in batch.schema.names if n != column]).append_column("token_ids", _lists(ids))
+            out = batch.select([n for n in batch.schema.names if n != column]).append_column("token_ids", _lists(ids))
+            yield out.append_column("decoded", pa.array(map(tok.decode, ids), pa.string())) if decoded else out
 
     return run
 
@@ -140,38 +141,41 @@ def _decoded(path: str):
     return run
 
 
-def _joined(path: str, names: list[str], at: str, text: str):
+def _joined(path: str, names: list[str], at: str, text: str, decoded: bool):
     def run(rows: pa.Table) -> pa.Table:
         tok = codec(path)
         rows = rows.sort_by(at)
         level = [(i.as_py(), t.as_py()) for i, t in zip(rows.column("token_ids"), rows.column(text), strict=True)]
         while len(level) > 1:
             level = [join_encoded(tok, *level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
-        return rows.slice(0, 1).select(names).append_column("token_ids", pa.array([level[0][0]], pa.list_(pa.int32())))
+        out = rows.slice(0, 1).select(names).append_column("token_ids", pa.array([level[0][0]], pa.list_(pa.int32())))
+        return out.append_column("decoded", pa.array([tok.decode(level[0][0])], pa.string())) if decoded else out
 
     return run
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", leaf: int = LEAF, spread: int = SPREAD) -> DataFrame:
-    """docs with token_ids, an array of int, as tokenizers' encode(text, add_special_tokens=False) gives them.
+def encode(docs: DataFrame, path: str, text_col: str = "text", leaf: int = LEAF, spread: int = SPREAD, decoded: bool = False) -> DataFrame:
+    """docs with token_ids, an array of int, as tokenizers' encode(text, add_special_tokens=False) gives them; with
+    `decoded` also what decode(token_ids, skip_special_tokens=False) makes of them, by the same workers.
 
     A null text counts as empty and gets an empty array. Texts up to `spread` code points are encoded where they lie.
     Longer ones are dealt out in slices of that size, encoded in parallel and joined as a tree, one text per group. A
-    column named token_ids is replaced; all other columns and all rows stay, repeated rows too.
+    column named token_ids (or decoded) is replaced; all other columns and all rows stay, repeated rows too.
     """
     small_batches(docs.sparkSession)
-    docs = docs.drop("token_ids")
+    docs = docs.drop("token_ids", *(["decoded"] if decoded else []))
     keep = docs.columns
     text, row, at, leaf_text = fresh(docs, "_text", "_row", "_leaf", "_leaf_text")
     rows = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
     schema = docs.schema.add("token_ids", T.ArrayType(T.IntegerType()))
-    near = rows.where(F.length(text) <= spread).mapInArrow(_encoded(path, leaf, text), schema)
+    schema = schema.add("decoded", "string") if decoded else schema
+    near = rows.where(F.length(text) <= spread).mapInArrow(_encoded(path, leaf, text, decoded), schema)
     far = rows.where(F.length(text) > spread).withColumn(row, F.monotonically_increasing_id())
     slices = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / spread).cast("int")), lambda i: F.substring(F.col(text), i * spread + 1, F.lit(spread)))
     leaves = far.select(*keep, row, F.posexplode(slices).alias(at, leaf_text)).repartition(row, at)
     leaves = leaves.withColumn(text, F.col(leaf_text))
     done = leaves.mapInArrow(_encoded(path, leaf, text), leaves.drop(text).schema.add("token_ids", T.ArrayType(T.IntegerType())))
-    return near.unionByName(done.groupBy(row).applyInArrow(_joined(path, keep, at, leaf_text), schema))
+    return near.unionByName(done.groupBy(row).applyInArrow(_joined(path, keep, at, leaf_text, decoded), schema))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -188,7 +192,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = decode(encode(docs, path).drop("text"), path)
+    rows = encode(docs, path, decoded=True)
     ids = F.array_join(F.transform("token_ids", lambda i: i.cast("string")), ",")
     return rows.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 

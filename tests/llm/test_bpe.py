@@ -40,6 +40,9 @@ def test_long_texts_are_dealt_out_and_joined(spark, whole):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _note string, token_ids array<int>")
     out = bpe.decode(bpe.encode(docs, PATH, spread=100), PATH).collect()
     assert len(out) == len(rows)
+    both = bpe.encode(docs, PATH, spread=100, decoded=True)
+    assert both.columns == [*docs.drop("token_ids").columns, "token_ids", "decoded"]
+    assert sorted(map(repr, both.collect())) == sorted(map(repr, out))
     for row in out:
         assert row.token_ids == whole(row.text or "")
         assert row.decoded == (row.text or "")
