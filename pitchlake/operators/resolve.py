@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -28,17 +28,29 @@ def exact(names: DataFrame, aliases: DataFrame) -> DataFrame:
     return rows.withColumn("resolution", kind).withColumn("entity_id", F.when(F.col("n_ids") == 1, F.col("entity_id"))).drop("n_ids")
 
 
-def fuzzy(names: DataFrame, candidates: DataFrame, auto: float = AUTO, margin: float = MARGIN, review: float = REVIEW, block: int = 1, keep: int = 5) -> DataFrame:
-    """key, resolution, entity_id, best, second, candidates: each distinct key against the candidates of its block.
+def _letters(key: Column) -> Column:
+    """The letters of a key, each with its number among equal ones, so that what two arrays share counts repeated letters."""
+    letters = F.split(key, "")
+    return F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, 1, i + 1), lambda x: x == c)).cast("string")))
 
-    A block is the first letters of a key; within it a pair is compared if the lengths alone allow the review level
-    (2 * shorter / sum of both). best = 1: exact; best >= auto and margin over the second entity: fuzzy_approved; best >=
-    review: manual_review; else unmatched. The `keep` best entities are listed.
+
+def fuzzy(names: DataFrame, candidates: DataFrame, auto: float = AUTO, margin: float = MARGIN, review: float = REVIEW, keep: int = 5) -> DataFrame:
+    """key, resolution, entity_id, best, second, candidates: each distinct key against all candidates that can reach review.
+
+    Matching blocks have no more letters than both keys share, so pairs with 2 * shared letters below review * (sum of
+    lengths) are left out without loss; the lengths that can reach it are a join by equality. best and second are null
+    below review. best = 1: exact; best >= auto and margin over the second entity: fuzzy_approved; best >= review:
+    manual_review; else unmatched. The `keep` best entities are listed.
     """
-    left = names.select("key").where("key is not null").distinct().withColumn("_block", F.substring("key", 1, block))
-    right = candidates.select(F.col("key").alias("_other"), "entity_id").where("key is not null").distinct().withColumn("_block", F.substring("_other", 1, block))
+    left = names.select("key").where("key is not null").distinct()
+    right = candidates.select(F.col("key").alias("_other"), "entity_id").where("key is not null").distinct()
     a, b = F.length("key"), F.length("_other")
-    pairs = left.join(right, "_block").where(2 * F.least(a, b) >= review * (a + b))
+    ratio = review / (2 - review)
+    lengths = F.sequence(F.ceil(a * ratio - 1e-6).cast("int"), F.floor(a / ratio + 1e-6).cast("int"))
+    asked = left.withColumn("_letters", _letters(F.col("key"))).withColumn("_length", F.explode(lengths))
+    known = right.withColumns({"_others": _letters(F.col("_other")), "_length": b})
+    shared = F.size(F.array_intersect("_letters", "_others"))
+    pairs = asked.join(known, "_length").where(2 * shared >= review * (a + b) - 1e-6).select("key", "_other", "entity_id")
     scored = pairs.withColumn("score", likeness("key", "_other")).groupBy("key", "entity_id").agg(F.max("score").alias("score")).where(F.col("score") >= review)
     order = Window.partitionBy("key").orderBy(F.desc("score"), "entity_id")
     top = scored.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= keep)

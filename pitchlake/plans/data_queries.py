@@ -204,7 +204,7 @@ def fuzzy_resolution(spark, d):
     part = adapter.table(spark, d, "part").select("p_partkey", "p_name")
     known = part.groupBy("p_name").agg(F.min("p_partkey").alias("entity_id")).select(F.col("p_name").alias("key"), "entity_id")
     asked = part.select(F.expr("CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN substring(p_name, 1, length(p_name) - 1) ELSE replace(p_name, 'e', 'a') END").alias("key"))
-    return resolve.fuzzy(asked, known, block=2).select("key", "resolution", "entity_id", F.round("best", 6).alias("best"), F.round("second", 6).alias("second"))
+    return resolve.fuzzy(asked, known).select("key", "resolution", "entity_id", F.round("best", 6).alias("best"), F.round("second", 6).alias("second"))
 
 
 @query("""SELECT match_id, hg, ag, hht, aht FROM matches WHERE hg IS NOT NULL""")
