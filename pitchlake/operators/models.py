@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pitchlake.operators.evaluation import count_metrics, holdout
 
 MIN_ROWS = 30
+#: Boosted trees and the share of each that is added.
+ROUNDS, STEP = 200, 0.05
 #: Parts of names that no feature may have: they tell the result.
 FORBIDDEN = ("target_", "actual_", "outcome", "_result_")
 
@@ -36,11 +38,11 @@ def _stages(names: list[str], target: str, kind: str, rounds: int) -> list:
     if kind == "poisson":
         learner = GeneralizedLinearRegression(family="poisson", link="log", regParam=0.1, labelCol=target, predictionCol=f"predicted_{target}", maxIter=25)
     else:
-        learner = GBTRegressor(maxIter=rounds, maxDepth=4, stepSize=0.1, subsamplingRate=0.8, seed=42, labelCol=target, predictionCol=f"predicted_{target}")
+        learner = GBTRegressor(maxIter=rounds, maxDepth=4, stepSize=STEP, subsamplingRate=0.8, seed=42, labelCol=target, predictionCol=f"predicted_{target}")
     return [imputer, assembler, learner]
 
 
-def train(rows: DataFrame, names: list[str], kind: str = "poisson", rounds: int = 20) -> dict[str, PipelineModel]:
+def train(rows: DataFrame, names: list[str], kind: str = "poisson", rounds: int = ROUNDS) -> dict[str, PipelineModel]:
     """One pipeline for each side's goals (hg, ag): median imputation, then the learner."""
     rows = rows.select(*[F.col(c).cast("double").alias(c) for c in (*names, "hg", "ag")]).where("hg is not null and ag is not null")
     return {t: Pipeline(stages=_stages(names, t, kind, rounds)).fit(rows) for t in ("hg", "ag")}
@@ -78,10 +80,10 @@ def promoted(metrics: DataFrame, n_rows: int, baseline: str = "poisson") -> Data
 def goal_model_report(features: DataFrame) -> DataFrame:
     """model, scope, n, mae, rmse, deviance, bias, active on the last fifth of timestamps, for both learners."""
     wanted = [f"{v}_{m}_avg_{n}" for v in ("home", "away") for m in ("goals_for", "goals_against", "shots") for n in (5, 10)] + ["league_home_goals_avg", "league_away_goals_avg"]
-    rows = holdout(features.where("hg is not null and ag is not null").select("match_date", "hg", "ag", *wanted)).coalesce(8).cache()
+    rows = holdout(features.where("hg is not null and ag is not null").select("match_date", "hg", "ag", *wanted)).cache()
     names = feature_names(rows, wanted)
     learn, held = rows.where("split = 'train'"), rows.where("split = 'validation'")
-    reports = [count_metrics(predict(train(learn, names, kind, rounds=4), held, names).where("lambda_home is not null and lambda_away is not null")).withColumn("model", F.lit(kind)) for kind in ("poisson", "trees")]
+    reports = [count_metrics(predict(train(learn, names, kind), held, names).where("lambda_home is not null and lambda_away is not null")).withColumn("model", F.lit(kind)) for kind in ("poisson", "trees")]
     report = reduce(DataFrame.unionByName, reports)
     combined = promoted(report.where("scope = 'combined'").select("model", "mae"), learn.count())
     out = report.join(combined.select("model", "active"), "model")
