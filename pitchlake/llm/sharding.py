@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pitchlake.llm.common import discard, gapless, stash, table, unit_hash
 
 ROUNDS = 4
-#: Rows that one task numbers; rows of a link group that are moved as one.
-PIECE_ROWS, GROUP_ROWS = 20_000, 50_000
+#: Rows that one task numbers.
+PIECE_ROWS = 20_000
 
 
 def _of(values: list[float], at: Column) -> Column:
@@ -23,20 +23,20 @@ def _loads(rows: DataFrame, n_shards: int, what: Column | None = None) -> list[i
     return [found.get(s, 0) for s in range(n_shards)]
 
 
-def label_propagation(docs: DataFrame, n_shards: int, link: Column, rounds: int = ROUNDS, group_rows: int = GROUP_ROWS) -> DataFrame:
+def label_propagation(docs: DataFrame, n_shards: int, link: Column, rounds: int = ROUNDS) -> DataFrame:
     """docs (doc_id and any others) with shard: row counts differ by one at most and few link groups are cut.
 
     Rows with equal, not null `link` are neighbours of each other. Each starts in a shard by hash. In each round a group
     counts its members by shard, takes the shard with most of those that have room, and its other members move there if
     the quota, with what is about to leave, admits the group; when more ask than fit, a hash of group and round decides. Groups of more than nine tenths
-    of a shard, or of group_rows, are cut by a hash of doc_id first; what is still large starts whole. In the end rows beyond a shard's quota, those without
-    neighbours first, go to shards that are short. Only sums by shard, and large groups, come to the driver. Equal rows tie: which of
+    of a shard are cut by a hash of doc_id first; what is still large starts whole. In the end rows beyond a shard's quota, those without
+    neighbours first and those of large groups last, go to shards that are short. Only sums by shard, and large groups, come to the driver. Equal rows tie: which of
     them goes where is open, the counts are not.
     """
     rows = stash(docs.withColumn("_link", link), "shard")
     total = rows.count()
     quota = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
-    most = max(1, min(group_rows, int(0.9 * max(1, total // n_shards))))
+    most = max(1, int(0.9 * max(1, total // n_shards)))
     groups = rows.where("_link is not null").groupBy("_link").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
     rows = rows.join(groups, "_link", "left")
     chunk = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.ceil(F.col("_size") / most))
@@ -87,31 +87,46 @@ def _large_first(labels: DataFrame, n_shards: int, total: int) -> DataFrame:
 
 
 def _even_out(labels: DataFrame, quota: list[int], n_shards: int) -> DataFrame:
-    """Move the rows beyond each shard's quota to shards that are short of it."""
-    linked = _loads(labels.where("_group is not null"), n_shards)
-    free = _loads(labels.where("_group is null"), n_shards)
-    over = [max(0, a + b - q) for a, b, q in zip(linked, free, quota, strict=True)]
-    if not any(over):
+    """Move the rows beyond each shard's quota to shards that are short of it.
+
+    Of a shard, rows without neighbours go first (class 0), then those of groups that one task numbers (1), then those of
+    larger groups, the smallest first (a class each, of which there are no more than rows / PIECE_ROWS): those are numbered
+    in pieces by doc_id.
+    """
+    spark = labels.sparkSession
+    if not any(n > q for n, q in zip(_loads(labels, n_shards), quota, strict=True)):
         return labels
-    from_free = [min(o, f) for o, f in zip(over, free, strict=True)]
-    from_linked = [o - f for o, f in zip(over, from_free, strict=True)]
-    salts = max(8, max(free + linked) // PIECE_ROWS + 1)
-    rows = gapless(labels.withColumn("_free", F.col("_group").isNull()), ["shard", "_free"], [F.xxhash64("_group"), F.col("doc_id")], F.coalesce("_group", "doc_id"), salts, "_at")
-    go = F.col("_at") < F.when(F.col("_free"), _of(from_free, F.col("shard"))).otherwise(_of(from_linked, F.col("shard")))
-    starts, at = [], 0
-    for s in range(n_shards):  # those that go are numbered through: a shard's free rows, then its linked ones
-        starts.append((at, at + from_free[s]))
-        at += over[s]
-    place = F.when(F.col("_free"), _of([a for a, _ in starts], F.col("shard"))).otherwise(_of([b for _, b in starts], F.col("shard"))) + F.col("_at")
-    ends, to, at = [], [], 0
+    sizes = labels.where("_group is not null").groupBy("_group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PIECE_ROWS)
+    large = [(r._group, k + 2) for k, r in enumerate(sorted(sizes.collect(), key=lambda r: (r.n, r._group)))]
+    known = spark.createDataFrame(large, "_large long, _class int")
+    labels = labels.join(F.broadcast(known), F.col("_group") == F.col("_large"), "left").drop("_large")
+    labels = labels.withColumn("_class", F.when(F.col("_group").isNull(), 0).otherwise(F.coalesce("_class", F.lit(1))))
+    held = sorted((r.shard, r._class, r.n) for r in labels.groupBy("shard", "_class").agg(F.count(F.lit(1)).alias("n")).collect())
+    over = [-q for q in quota]
+    for s, _, n in held:
+        over[s] += n
+    cells, ends, to, at, room = [], [], [], 0, 0
+    left = [max(0, o) for o in over]
+    for s, kind, n in held:  # those that go are numbered through
+        go = min(left[s], n)
+        left[s] -= go
+        if go:
+            cells.append((s, kind, go, at))
+        at += go
     for s in range(n_shards):
-        short = quota[s] - linked[s] - free[s]
-        if short > 0:
-            at += short
-            ends.append(at)
+        if over[s] < 0:
+            room -= over[s]
+            ends.append(room)
             to.append(s)
+    salts = max(8, max(n for *_, n in held) // PIECE_ROWS + 1)
+    salt = F.when(F.col("_class") == 1, F.col("_group")).otherwise(F.col("doc_id"))
+    rows = gapless(labels, ["shard", "_class"], [F.xxhash64("_group"), F.col("doc_id")], salt, salts, "_at")
+    leaving = spark.createDataFrame(cells, "_s int, _c int, _go long, _from long")
+    rows = rows.join(F.broadcast(leaving), (F.col("shard") == F.col("_s")) & (F.col("_class") == F.col("_c")), "left")
+    place = F.col("_from") + F.col("_at")
     target = F.element_at(F.array(*[F.lit(s) for s in to]), (F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= place)) + 1).cast("int"))
-    return rows.withColumn("shard", F.when(go, target).otherwise(F.col("shard")).cast("int")).drop("_free", "_at")
+    go = F.coalesce(F.col("_at") < F.col("_go"), F.lit(False))
+    return rows.withColumn("shard", F.when(go, target).otherwise(F.col("shard")).cast("int")).drop("_class", "_at", "_s", "_c", "_go", "_from")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 40, rounds: int = ROUNDS) -> DataFrame:
