@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlake.llm.common import discard, small_batches, stash, table, unit_hash
+from pitchlake.llm.common import fresh, discard, small_batches, stash, table, unit_hash
 
 WORDS, PERCENT = 5, 75
 #: Bytes of inverted lists that one task of the first search holds.
@@ -60,7 +60,7 @@ def least_overlap(n, percent: int = PERCENT):
 
 
 def _indexed(size: int, percent: int, bits: int):
-    """Rows of documents (doc_id, n, key) and rows of lists (bucket, keys, counts, lows)."""
+    """Rows of documents (doc_id, n, key, text_hash) and rows of lists (bucket, keys, counts, lows)."""
 
     def flush(sets: dict[int, np.ndarray]) -> list[tuple]:
         keys = np.fromiter(sets, np.int64, len(sets))
@@ -78,21 +78,21 @@ def _indexed(size: int, percent: int, bits: int):
             rows.append((int(bucket[a]), keys[here].tobytes(), counts.astype(np.uint32).tobytes(), low[a:b].tobytes()))
         return rows
 
-    def batch_of(docs: tuple[list, list, list], lists: list[tuple]) -> pa.RecordBatch:
+    def batch_of(docs: tuple[list, ...], lists: list[tuple]) -> pa.RecordBatch:
         m, k = len(docs[0]), len(lists)
         cols = list(zip(*lists, strict=True)) or [(), (), (), ()]
         kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([*x, *[None] * k], pa.int64()) for x in docs] + [pa.array([*[None] * m, *c], t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "n", "key", "bucket", "keys", "counts", "lows"])
+        return pa.RecordBatch.from_arrays([pa.array([*x, *[None] * k], pa.int64()) for x in docs] + [pa.array([*[None] * m, *c], t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "n", "key", "text_hash", "bucket", "keys", "counts", "lows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
         held = 0
         for batch in batches:
-            docs: tuple[list, list, list] = ([], [], [])
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            docs: tuple[list, ...] = ([], [], [], [])
+            for doc_id, text, text_hash in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 s = shingle_set(text.as_py(), size)
                 key = set_key(s) if len(s) else None
-                for x, v in zip(docs, (doc_id.as_py(), len(s), key), strict=True):
+                for x, v in zip(docs, (doc_id.as_py(), len(s), key, text_hash.as_py()), strict=True):
                     x.append(v)
                 if key is not None and key not in sets:
                     need = least_overlap(len(s), percent)
@@ -103,7 +103,7 @@ def _indexed(size: int, percent: int, bits: int):
                 lists, sets, held = flush(sets), {}, 0
             yield batch_of(docs, lists)
         if sets:
-            yield batch_of(([], [], []), flush(sets))
+            yield batch_of(([], [], [], []), flush(sets))
         _known.clear()
 
     return run
@@ -261,37 +261,46 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     3. Lists yield pairs with one centre each, whose sets are probed; links join classes into components, and a list
        whose documents are in one component is done. The last round takes all pairs between components.
     """
+    found = _components(docs, size, percent, list_bytes)
+    own = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def _components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, list_bytes: int = LIST_BYTES) -> DataFrame:
+    """Per row of docs: doc_id, text_hash, n, key (null without shingles), and first, the smallest document of its
+    component: without_id, doc_id, text_hash. A document is a doc_id, null too, and its text."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = min(20, max(0, int(np.ceil(np.log2(max(1, chars * 0.4 / list_bytes))))))
-    found = stash(docs.mapInArrow(_indexed(size, percent, bits), "doc_id long, n long, key long, bucket int, keys binary, counts binary, lows binary"), "index")
+    found = stash(docs.mapInArrow(_indexed(size, percent, bits), "doc_id long, n long, key long, text_hash long, bucket int, keys binary, counts binary, lows binary"), "index")
     lists = found.where("bucket is not null").select("bucket", "keys", "counts", "lows")
     hits = stash(lists.groupBy("bucket").applyInArrow(_shared(1 << bits), "part long, keys binary, hits binary").groupBy("part").applyInArrow(_added, "key long, hits long"), "hits")
-    rows = stash(found.where("bucket is null").select("doc_id", "n", "key"), "rows")
+    rows = stash(found.where("bucket is null").select("doc_id", "n", "key", "text_hash"), "rows")
     discard(found)
-    classes = stash(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
+    classes = stash(rows.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without_id"), "doc_id", "text_hash")).alias("rep"), F.max("n").alias("n")), "classes")
     need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 4))
     left = classes.join(hits, "key").where(F.col("hits") >= need).select("key", F.col("rep").alias("_rep"))
-    texts = docs.join(left, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("key", "text")
+    texts = docs.join(left, F.col("doc_id").eqNullSafe(F.col("_rep.doc_id")) & (F.col("text_hash") == F.col("_rep.text_hash"))).select("key", "text")
     sets = stash(texts.mapInArrow(_sets(size), "key long, n long, shingles array<long>").dropDuplicates(["key"]), "sets")
     roots = _linked_classes(sets, percent)
     if roots is None:
-        named = classes.select("key", F.col("rep").alias("component_id"))
+        named = classes.select("key", F.col("rep").alias("first"))
     else:
         with_root = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        least = with_root.groupBy("root").agg(F.min("rep").alias("component_id"))
-        named = with_root.join(least, "root").select("key", "component_id")
-    joined = rows.join(named, "key", "left")
-    own = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+        least = with_root.groupBy("root").agg(F.min("rep").alias("first"))
+        named = with_root.join(least, "root").select("key", "first")
+    return rows.join(named, "key", "left")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each component, that of the smallest doc_id; rows that repeat its doc_id stay with it."""
-    gone = jaccard_components(docs, **options).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    """docs with one document of each component, that of the smallest doc_id, a null one last, and of its texts the one
+    with the smallest hash; rows that repeat its doc_id and text stay with it. Texts without shingles stay."""
+    key, text = fresh(docs, "_gone_id", "_gone_hash")
+    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    gone = _components(docs, **options).where(F.col("key").isNotNull() & ~first).select(F.col("doc_id").alias(key), F.col("text_hash").alias(text)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(text)), "left_anti")
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

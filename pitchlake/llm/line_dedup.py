@@ -19,39 +19,46 @@ BREAKS = {"line": "\n", "paragraph": "\n\n"}
 def _units(min_words: int, gap: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, starts, ends, words, digests = [], [], [], [], []
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            ids, rows, starts, ends, words, digests = [], [], [], [], [], []
+            for doc_id, text, row in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 at = 0
                 for unit in (text.as_py() or "").split(gap):
                     found = unit.encode("utf-8", "replace").lower().split()
                     if len(found) >= min_words:
                         ids.append(doc_id.as_py())
+                        rows.append(row.as_py())
                         starts.append(at)
                         ends.append(at + len(unit))
                         words.append(len(found))
                         digests.append(hashlib.md5(b" ".join(found)).digest())
                     at += len(unit) + len(gap)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(words, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "start", "end", "n_words", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(words, pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "text_hash", "start", "end", "n_words", "digest"])
 
     return run
 
 
+def _repeated(docs: DataFrame, min_words: int, unit: str) -> DataFrame:
+    """repeated_units with text_hash: a document is a doc_id, null too, and its text."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(_units(min_words, BREAKS[unit]), "doc_id long, text_hash long, start long, end long, n_words long, digest binary")
+    rows = stash(rows, "units")
+    firsts = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "start", "text_hash")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start")) & (F.col("text_hash") == F.col("first.text_hash")))
+    found = rows.join(firsts, "digest").where(again)
+    return found.select("doc_id", "text_hash", "start", "end", "n_words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
+
+
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "line") -> DataFrame:
     """One row per unit to remove: doc_id, start, end (code points of the original text), n_words, kept_doc_id, kept_start.
 
     Units are the text between line (or paragraph) breaks; A-Z counts as a-z and a run of white space as one space. Of
     equal units of at least min_words words the one with the smallest (doc_id, start) stays. A null or empty text has no
     units; rows that repeat a doc_id and its text are one document, so none of them loses its units to the other; a null
-    doc_id ranks first. The number of copies of a unit is not bounded: counts are summed before the shuffle and the join
-    back carries 40 bytes a unit.
+    doc_id ranks first, and other texts under one doc_id, or without one, are documents of their own, by a hash of the
+    text where (doc_id, start) ties. The number of copies of a unit is not bounded: counts are summed before the shuffle
+    and the join back carries 48 bytes a unit.
     """
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_units(min_words, BREAKS[unit]), "doc_id long, start long, end long, n_words long, digest binary")
-    rows = stash(rows, "units")
-    firsts = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start")))
-    found = rows.join(firsts, "digest").where(again)
-    return found.select("doc_id", "start", "end", "n_words", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
+    return _repeated(docs, min_words, unit).drop("text_hash")
 
 
 def _cut(at: int, gap: str, marks: str):
@@ -80,9 +87,9 @@ def without_repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, unit: st
     Columns and their order are those of docs; no row goes, and rows without a repeated unit are unchanged, null and
     empty texts too.
     """
-    marks, key = fresh(docs, "_spans", "_id")
-    spans = repeated_units(docs, min_words, unit).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("start").alias(marks))
-    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left").drop(key)
+    marks, key, text = fresh(docs, "_spans", "_id", "_hash")
+    spans = _repeated(docs, min_words, unit).groupBy(F.col("doc_id").alias(key), F.col("text_hash").alias(text)).agg(F.collect_set("start").alias(marks))
+    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(text)), "left").drop(key, text)
     return joined.mapInArrow(_cut(docs.columns.index("text"), BREAKS[unit], marks), docs.schema)
 
 
