@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitchlake.llm.common import small_batches, stash, table
+from pitchlake.llm.common import byte_batches, stash, table
 
 K, K1, B = 10, 1.2, 0.75
 #: Characters of documents that one shard indexes; neighbouring documents that share one bound per term.
@@ -186,18 +186,17 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, shard_chars: int = S
     rows that repeat a doc_id are documents of their own. Every shard's index meets every query as it streams by.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
     queries = queries.select(F.col("query_id").cast("long"), "text").where("query_id is not null")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shards, parts = int(chars // shard_chars) + 1, int(chars // (16 << 20)) + 1
-    counts = stash(docs.select("text").mapInArrow(_counted(parts), "part long, terms binary, dfs binary"), "dfs")
+    counts = stash(byte_batches(docs.select("text"), _counted(parts), "part long, terms binary, dfs binary"), "dfs")
     n = words = 0
     for row in counts.where("part = -1").select("terms").toLocalIterator():  # two numbers a task
         a = np.frombuffer(row.terms, np.int64)
         n, words = n + int(a[0]), words + int(a[1])
     mean_words = words / n if n else 1.0
-    terms = queries.mapInArrow(_query_terms, "query_id long, term long, tf long").withColumn("part", F.pmod("term", F.lit(parts)))
+    terms = byte_batches(queries, _query_terms, "query_id long, term long, tf long").withColumn("part", F.pmod("term", F.lit(parts)))
     with_df = counts.where("part >= 0").groupBy("part").cogroup(terms.groupBy("part")).applyInArrow(_with_df, "query_id long, term long, tf long, df long")
     weight = F.col("tf") * F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     ready = with_df.where("df > 0").withColumn("w", weight).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("w")).alias("m"), "term"))).alias("t"))
@@ -206,7 +205,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, shard_chars: int = S
     left = left.withColumns({"query_id": F.lit(None).cast("long"), "terms": F.lit(None).cast("array<long>"), "weights": F.lit(None).cast("array<double>")})
     right = ready.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "query_id", "terms", "weights")
     stream = left.unionByName(right).repartition(shards, "shard").sortWithinPartitions("shard", F.col("query_id").isNotNull())
-    hits = stream.mapInArrow(_searched(mean_words, k), "query_id long, doc_id long, score double")
+    hits = byte_batches(stream, _searched(mean_words, k), "query_id long, doc_id long, score double")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))
     return hits.withColumn("rank", best.cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"))
 

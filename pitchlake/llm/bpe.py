@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitchlake.llm.common import fresh, small_batches, table
+from pitchlake.llm.common import byte_batches, fresh, table
 
 #: A pre-token never runs from a character that is no white space into a space or line end, so text may be cut there.
 PIECE = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*\Z)?|\s+")
@@ -162,25 +162,24 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", leaf: int = LEAF,
     Longer ones are dealt out in slices of that size, encoded in parallel and joined as a tree, one text per group. A
     column named token_ids (or decoded) is replaced; all other columns and all rows stay, repeated rows too.
     """
-    small_batches(docs.sparkSession)
     docs = docs.drop("token_ids", *(["decoded"] if decoded else []))
     keep = docs.columns
     text, row, at, leaf_text = fresh(docs, "_text", "_row", "_leaf", "_leaf_text")
     rows = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
     schema = docs.schema.add("token_ids", T.ArrayType(T.IntegerType()))
     schema = schema.add("decoded", "string") if decoded else schema
-    near = rows.where(F.length(text) <= spread).mapInArrow(_encoded(path, leaf, text, decoded), schema)
+    near = byte_batches(rows.where(F.length(text) <= spread), _encoded(path, leaf, text, decoded), schema)
     far = rows.where(F.length(text) > spread).withColumn(row, F.monotonically_increasing_id())
     slices = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / spread).cast("int")), lambda i: F.substring(F.col(text), i * spread + 1, F.lit(spread)))
     leaves = far.select(*keep, row, F.posexplode(slices).alias(at, leaf_text)).repartition(row, at)
     leaves = leaves.withColumn(text, F.col(leaf_text))
-    done = leaves.mapInArrow(_encoded(path, leaf, text), leaves.drop(text).schema.add("token_ids", T.ArrayType(T.IntegerType())))
+    done = byte_batches(leaves, _encoded(path, leaf, text), leaves.drop(text).schema.add("token_ids", T.ArrayType(T.IntegerType())))
     return near.unionByName(done.groupBy(row).applyInArrow(_joined(path, keep, at, leaf_text, decoded), schema))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded with decoded, the text of token_ids; special tokens are spelled out. An empty array gives an empty text."""
-    return encoded.drop("decoded").mapInArrow(_decoded(path), encoded.drop("decoded").schema.add("decoded", "string"))
+    return byte_batches(encoded.drop("decoded"), _decoded(path), encoded.drop("decoded").schema.add("decoded", "string"))
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:

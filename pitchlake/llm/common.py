@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark.errors import PySparkRuntimeError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,15 +37,42 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch holds: rows here may be whole documents."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: What a function of Arrow batches gets at once: rows, and bytes of texts beyond one long row.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+
+
+def in_bounds(run: Callable, most: int = BATCH_BYTES) -> Callable:
+    """run with its batches cut to `most` bytes; a row that is larger comes alone."""
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, min(BATCH_ROWS, batch.num_rows * most // max(1, batch.nbytes)))
+            at = 0
+            while at < batch.num_rows:
+                n = min(step, batch.num_rows - at)
+                while n > 1 and batch.slice(at, n).nbytes > 2 * most:
+                    n = -(-n // 2)
+                yield batch.slice(at, n)
+                at += n
+
+    return lambda batches: run(slices(batches))
+
+
+def byte_batches(rows: DataFrame, run: Callable, schema) -> DataFrame:
+    """rows.mapInArrow(run, schema), where run gets few rows and bytes at a time: rows here may be whole documents.
+
+    Spark bounds what it hands over by its own settings (maxRecordsPerBatch and maxBytesPerBatch); those stay as they are.
+    """
+    return rows.mapInArrow(in_bounds(run), schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where a session of one process names none, as in
+    tests, a temporary folder of it; a cluster has to name one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise PySparkRuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(named)
     return named

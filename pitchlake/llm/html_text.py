@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlake.llm.common import fresh, small_batches, table
+from pitchlake.llm.common import byte_batches, fresh, table
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -234,11 +234,10 @@ def _texts(column: str):
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages without html_col, with text, the main text of each row; a column text is replaced, repeated rows stay."""
-    small_batches(pages.sparkSession)
     rest = pages.drop("text").drop(html_col)
     (page,) = fresh(pages, "_html")
     rows = pages.select(*rest.columns, F.col(html_col).alias(page))
-    return rows.mapInArrow(_texts(page), rest.schema.add("text", "string"))
+    return byte_batches(rows, _texts(page), rest.schema.add("text", "string"))
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

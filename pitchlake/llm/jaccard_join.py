@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlake.llm.common import fresh, discard, small_batches, stash, table, unit_hash
+from pitchlake.llm.common import byte_batches, discard, fresh, stash, table, unit_hash
 
 WORDS, PERCENT = 5, 75
 #: Bytes of inverted lists that one task of the first search holds.
@@ -195,7 +195,7 @@ def components(links: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a = sets.select(F.col("key").alias("a"), F.col("shingles").alias("set_a"))
     b = sets.select(F.col("key").alias("b"), F.col("shingles").alias("set_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), "a long, b long")
+    return byte_batches(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b"), _linked(percent), "a long, b long")
 
 
 def _may_link(percent: int):
@@ -270,11 +270,10 @@ def _components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, list
     """Per row of docs: doc_id, text_hash, n, key (null without shingles), and first, the smallest document of its
     component: without_id, doc_id, text_hash. A document is a doc_id, null too, and its text."""
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = min(20, max(0, int(np.ceil(np.log2(max(1, chars * 0.4 / list_bytes))))))
-    found = stash(docs.mapInArrow(_indexed(size, percent, bits), "doc_id long, n long, key long, text_hash long, bucket int, keys binary, counts binary, lows binary"), "index")
+    found = stash(byte_batches(docs, _indexed(size, percent, bits), "doc_id long, n long, key long, text_hash long, bucket int, keys binary, counts binary, lows binary"), "index")
     lists = found.where("bucket is not null").select("bucket", "keys", "counts", "lows")
     hits = stash(lists.groupBy("bucket").applyInArrow(_shared(1 << bits), "part long, keys binary, hits binary").groupBy("part").applyInArrow(_added, "key long, hits long"), "hits")
     rows = stash(found.where("bucket is null").select("doc_id", "n", "key", "text_hash"), "rows")
@@ -283,7 +282,7 @@ def _components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, list
     need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 4))
     left = classes.join(hits, "key").where(F.col("hits") >= need).select("key", F.col("rep").alias("_rep"))
     texts = docs.join(left, F.col("doc_id").eqNullSafe(F.col("_rep.doc_id")) & (F.col("text_hash") == F.col("_rep.text_hash"))).select("key", "text")
-    sets = stash(texts.mapInArrow(_sets(size), "key long, n long, shingles array<long>").dropDuplicates(["key"]), "sets")
+    sets = stash(byte_batches(texts, _sets(size), "key long, n long, shingles array<long>").dropDuplicates(["key"]), "sets")
     roots = _linked_classes(sets, percent)
     if roots is None:
         named = classes.select("key", F.col("rep").alias("first"))

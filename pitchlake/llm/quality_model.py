@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlake.llm.common import small_batches, table, tokens
+from pitchlake.llm.common import byte_batches, table, tokens
 
 BITS = 18
 #: The fit takes so many labelled rows at most, those with the smallest hashes of doc_id.
@@ -89,11 +89,10 @@ def fit_ordinal(grades: np.ndarray, slots: list[np.ndarray], n_grades: int = GRA
 
 def fit(docs: DataFrame, graded: DataFrame, most: int = MOST_LABELLED) -> tuple[np.ndarray, np.ndarray]:
     """fit_ordinal() on the documents (doc_id, text) that graded (doc_id, grade) has; at most `most` graded rows count."""
-    small_batches(docs.sparkSession)
     few = graded.where("doc_id is not null and grade is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select(F.col("grade").cast("int").alias("grade"), "text")
     slots, grades = [], []
-    for row in rows.mapInArrow(_featured, "grade int, slots array<int>").toLocalIterator():
+    for row in byte_batches(rows, _featured, "grade int, slots array<int>").toLocalIterator():
         grades.append(row.grade)
         slots.append(np.array(row.slots, np.int32))
         if len(slots) >= 2 * most:
@@ -125,10 +124,9 @@ def classify(docs: DataFrame, weights: np.ndarray, thresholds: np.ndarray, least
     kept: the highest grade has probability `least` or more. A null or empty text has only features of shape. Repeated
     rows get equal results.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("text").alias("_text"))
     schema = rows.drop("_text").schema.add("expected_grade", "double").add("not_worst", "double").add("top_grade", "double")
-    return rows.mapInArrow(_scored(weights, thresholds), schema).withColumn("kept", F.col("top_grade") >= least)
+    return byte_batches(rows, _scored(weights, thresholds), schema).withColumn("kept", F.col("top_grade") >= least)
 
 
 def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitchlake.llm.common import fresh, small_batches, stash, table
+from pitchlake.llm.common import byte_batches, fresh, stash, table
 
 # Function words that are common in English, German, French and Spanish.
 COMMON = (
@@ -129,7 +129,7 @@ def _compared(rows: DataFrame, reference: DataFrame, keep_hist: bool = False) ->
     refs = reference.groupBy(F.col("_lang").alias("_l")).agg(F.array(*sums).alias("_reference"))
     joined = rows.join(refs, F.col("_lang") == F.col("_l"), "left").drop("_l")
     schema = joined.drop("_reference", *([] if keep_hist else ["_hist"])).schema
-    return joined.mapInArrow(_judged(schema.names), schema.add("char_distance", "double").add("word_distance", "double"))
+    return byte_batches(joined, _judged(schema.names), schema.add("char_distance", "double").add("word_distance", "double"))
 
 
 def judge(docs: DataFrame, id_cols: tuple[str, ...] = ("doc_id",), max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
@@ -139,12 +139,11 @@ def judge(docs: DataFrame, id_cols: tuple[str, ...] = ("doc_id",), max_char: flo
     all of them, then of those that are nearer to the first than the language's median; null is a language of its own. A text under MIN_CHARS characters or MIN_WORDS words isn't judged by the distance concerned.
     Null and empty texts have counts of 0 and fail the base rule; repeated rows are judged alike.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(*id_cols, F.coalesce(F.col("lang").cast("string"), F.lit("\0")).alias("_lang"), F.col("text").alias("_text"))
     schema = rows.drop("_text").schema
     for name in COUNTS:
         schema = schema.add(name, "long")
-    rows = stash(rows.mapInArrow(_measured, schema.add("_hist", T.ArrayType(T.LongType()))), "rules")
+    rows = stash(byte_batches(rows, _measured, schema.add("_hist", T.ArrayType(T.LongType()))), "rules")
     failed = (F.col("n_words") < MIN_TEXT_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     first = _compared(rows, rows.where(~F.col("base_failed")), keep_hist=True)
