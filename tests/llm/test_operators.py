@@ -282,7 +282,13 @@ def test_bm25_agrees_with_all_scores(spark):
         want = sorted(scored)[:7]
         mine = sorted((r["rank"], r.doc_id, r.score) for r in got if r.query_id == q)
         assert [d for _, d, _ in mine] == [d for _, d in want] and np.allclose([s for *_, s in mine], [-s for s, _ in want], atol=1e-3)
+    # Queries in blocks of their own, and shards of few documents, give the same.
+    assert sorted(bm25_search.search(frame(spark, rows), queries, k=7, shard_chars=900, block_bytes=400).collect()) == sorted(got)
     assert bm25_search.search(frame(spark, []), queries).collect() == []
+    # A term that no document of its part has counts as in none, wherever it sorts.
+    few = spark.createDataFrame([(1, "b d", "en", "a", 1), (2, "d f", "en", "a", 1)], SCHEMA)
+    lone = spark.createDataFrame([(k, f"{w} d") for k, w in enumerate("acegxyz")], "query_id long, text string")
+    assert {(r.query_id, r["rank"], r.doc_id) for r in bm25_search.search(few, lone).collect()} == {(k, r, r) for k in range(7) for r in (1, 2)}
 
 
 def test_pruned_search_agrees_with_all_scores():
@@ -292,18 +298,20 @@ def test_pruned_search_agrees_with_all_scores():
         ids, tf = np.unique(np.minimum(rng.zipf(1.3, 60), 5000), return_counts=True)
         docs.append((k, ids.astype(np.int64), tf, int(tf.sum())))
     index = bm25_search.ShardIndex(list(docs), 60.0)
+    asked = []
     for _ in range(20):
-        terms = np.unique(np.minimum(rng.zipf(1.2, 150), 5000)).astype(np.int64)
-        weights = np.sort(rng.random(len(terms)) ** 3 * 9)[::-1]
+        terms = np.unique(np.minimum(rng.zipf(1.2, 150), 6000)).astype(np.int64)
+        asked.append((terms, rng.random(len(terms)) ** 3 * 9))
+    asked += [(np.array([7000], np.int64), np.ones(1)), (np.zeros(0, np.int64), np.zeros(0))]
+    for (terms, weights), (ids, got) in zip(asked, index.search(asked, 10), strict=True):
         score = np.zeros(3000)
         place = {d[0]: i for i, d in enumerate(docs)}
         for t, w in zip(terms, weights, strict=True):
-            for doc_id, ids, tf, n in docs:
-                at = np.searchsorted(ids, t)
-                if at < len(ids) and ids[at] == t:
+            for doc_id, own, tf, n in docs:
+                at = np.searchsorted(own, t)
+                if at < len(own) and own[at] == t:
                     score[place[doc_id]] += w * tf[at] * 2.2 / (tf[at] + 1.2 * (0.25 + 0.75 * n / 60.0))
-        best = sorted(zip(-np.round(score, 6), range(3000), strict=True))[:10]
-        ids, got = index.search(terms, weights, 10)
+        best = [x for x in sorted(zip(-np.round(score, 6), range(3000), strict=True))[:10] if x[0] < 0]
         assert [d for _, d in best] == ids.tolist() and np.allclose([-s for s, _ in best], got, atol=1e-5)
 
 
