@@ -339,12 +339,12 @@ def test_model_is_a_distribution():
     counts = np.array([5, 3, 2, 2, 1, 1, 1])
     length, code = mixing_lm.byte_code(np.bincount(mixing_lm.symbols(words)[0], minlength=256))
     assert math.isclose(sum(2.0**-x for x in length), 1)
-    tables = np.zeros((2, int(mixing_lm.BASES[-1])), np.float32)
-    owner, bit, slot, _ = mixing_lm.decisions(words, length, code)
-    for value in (0, 1):
-        np.add.at(tables[value], slot[bit == value].ravel(), np.repeat(counts[owner[bit == value]], len(mixing_lm.SLOTS)))
-    weights, refined = mixing_lm.learn_mixer(words, counts, tables, length, code)
-    cost = lambda ws: 10 ** mixing_lm.spell_cost(ws, tables, length, code, weights, refined)
+    tables = np.zeros((int(mixing_lm.BASES[-1]), 2), np.float32)
+    kinds = np.zeros(300, np.int64)
+    mixing_lm.add_words(tables.reshape(-1), words, kinds, np.ones(len(words)), counts, length, code)
+    mixer = mixing_lm.Mixer(tables, length, code, across=0)
+    mixer.learn(words, kinds, counts)
+    cost = lambda ws: 10 ** mixer.cost(ws, kinds)
     total = cost([b""]).sum() + cost([bytes([a]) for a in range(256) if a not in (9, 10, 11, 12, 13, 32)]).sum()
     assert 0.5 < total <= 1 + 1e-6
 
