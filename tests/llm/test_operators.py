@@ -342,11 +342,14 @@ def test_model_is_a_distribution():
     tables = np.zeros((int(mixing_lm.BASES[-1]), 2), np.float32)
     kinds = np.zeros(300, np.int64)
     mixing_lm.add_words(tables.reshape(-1), words, kinds, np.ones(len(words)), counts, length, code)
-    mixer = mixing_lm.Mixer(tables, length, code, across=0)
-    mixer.learn(words, kinds, counts)
-    cost = lambda ws: 10 ** mixer.cost(ws, kinds)
-    total = cost([b""]).sum() + cost([bytes([a]) for a in range(256) if a not in (9, 10, 11, 12, 13, 32)]).sum()
-    assert 0.5 < total <= 1 + 1e-6
+    every = [b"", *[bytes([a]) for a in range(256) if a not in (9, 10, 11, 12, 13, 32)]]
+    spelled = mixing_lm.spell_costs([*words, *every], kinds, np.concatenate([counts, np.zeros(len(every), int)]), tables, length, code)
+    chances = 10 ** spelled[len(words) :]
+    assert 0.5 < chances.sum() <= 1 + 1e-6
+    # After a context, its known words and a new one add up to 1.
+    context, word = np.array([1, 1, 1, 2, 2, 3], np.uint64), np.array([1, 2, 3, 1, 9, 4], np.uint64)
+    told = mixing_lm.follow_costs(context, word, np.array([3, 1, 0, 2, 0, 0]))
+    assert math.isclose(10 ** told[0] + 10 ** told[1] + 10 ** (1 - told[2]), 1) and math.isclose(10 ** told[3] + 10 ** (1 - told[4]), 1) and told[5] == 1
 
 
 def test_quality_model(spark):
