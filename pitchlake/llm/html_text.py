@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +28,8 @@ CLOSES = {
 ENDS_P = BLOCKS - {"br", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "html", "body", "title", "legend"}
 FORMATS = frozenset("a b big code em font i s small strike strong tt u".split())
 CONTENT = frozenset(("article", "main"))
+#: Blocks that are parts of a text and not its place.
+LEAVES = frozenset("p br li td th tr h1 h2 h3 h4 h5 h6 dt dd pre".split())
 #: Words of class, id and role that mark what is no part of an article.
 UNWANTED = re.compile(
     r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|sidebar|side-?bar|nav\w*|menus?|breadcrumbs?|footer|masthead|page-?header|site-?header|topbar|toolbar|"
@@ -40,11 +43,21 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:
 SPACE = re.compile(r"\s+")
 
 
+#: Elements that CLOSES looks for or stops at.
+MARKS = frozenset().union(*[ends | stop for ends, stop in CLOSES.values()])
+
+
 class Node:
-    __slots__ = ("name", "parent", "kids", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    """An element. What a start tag asks of its ancestors is carried down, so that depth costs nothing."""
+
+    __slots__ = ("name", "parent", "kids", "drop", "content", "paragraph", "mark", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, name: str, parent: Node | None, drop: bool = False):
         self.name, self.parent, self.drop = name, parent, drop
+        self.content: bool = name in CONTENT or (parent is not None and parent.content)  # within an article or main element
+        #: The open p around it with nothing but formats between, and the nearest element of MARKS.
+        self.paragraph: Node | None = self if name == "p" else parent.paragraph if parent is not None and (name in FORMATS or name == "span") else None
+        self.mark: Node | None = self if name in MARKS else parent.mark if parent is not None else None
         self.kids: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -53,69 +66,97 @@ class Node:
 def _unwanted(name: str, attributes: str, inside: Node) -> bool:
     if name in NEVER:
         return True
-    outside = not any(n.name in CONTENT for n in _path(inside))
     if name == "header":
-        return outside
+        return not inside.content
     if not attributes or name in ("html", "body", "article", "main"):
         return False
     for m in ATTRIBUTE.finditer(attributes):
         kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if kind == "hidden" or (kind == "aria-hidden" and value == "true") or (kind == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return True
-        if kind in ("class", "id", "role") and (UNWANTED.search(ABOUT.sub(" ", value)) or (outside and "header" in value.split())):
+        if kind in ("class", "id", "role") and (UNWANTED.search(ABOUT.sub(" ", value)) or (not inside.content and "header" in value.split())):
             return True
     return False
 
 
+class _Open:
+    """The element that is open, and how many of each name are."""
+
+    def __init__(self, root: Node):
+        self.node, self.count = root, Counter([root.name])
+
+    def enter(self, kid: Node) -> None:
+        self.node = kid
+        self.count[kid.name] += 1
+
+    def leave(self, last: Node) -> None:
+        """Close all up to last, and last."""
+        while True:
+            node = self.node
+            self.count[node.name] -= 1
+            self.node = node.parent
+            if node is last:
+                return
+
+
+def _close(tag: str, here: _Open) -> None:
+    if here.count[tag]:
+        up = here.node
+        while up.name != tag:
+            if tag in FORMATS and up.name in BLOCKS:  # a stray end of bold or link ends no block
+                return
+            up = up.parent
+        if up.parent is not None:
+            here.leave(up)
+    elif tag == "p":
+        here.node.kids.append(Node("p", here.node))
+
+
+def _make_room(tag: str, here: _Open) -> None:
+    """Close what the start of tag ends."""
+    if tag == "body" or (tag in BLOCKS and tag != "title"):
+        if here.count["head"]:
+            up = here.node
+            while up.name != "head":
+                up = up.parent
+            here.leave(up)
+    if tag in ENDS_P and here.node.paragraph is not None:
+        here.leave(here.node.paragraph)
+    if tag in CLOSES:
+        ends, stop = CLOSES[tag]
+        mark, last = here.node.mark, None
+        while mark is not None and mark.name not in stop:
+            if mark.name in ends:
+                last = mark
+            mark = mark.parent.mark if mark.parent is not None else None
+        if last is not None:
+            here.leave(last)
+
+
 def parse(page: str) -> Node:
     """The page as a tree. Ends of elements that pages leave out are put in as browsers do; what is open at the end closes."""
-    root = node = Node("html", None)
+    root = Node("html", None)
+    here = _Open(root)
     at = 0
     while at < len(page):
         m = TAG.search(page, at)
         if m is None:
-            node.kids.append(page[at:])
+            here.node.kids.append(page[at:])
             break
         if m.start() > at:
-            node.kids.append(page[at : m.start()])
+            here.node.kids.append(page[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
         name = m[2].lower()
         if m[1]:
-            up: Node | None = node
-            while up and up.name != name:
-                if name in FORMATS and up.name in BLOCKS:  # a stray end of bold or link ends no block
-                    up = None
-                    break
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
-            elif name == "p":
-                node.kids.append(Node("p", node))
+            _close(name, here)
             continue
-        if name in ("html", "body") and any(x.name == name for x in _path(node)):
+        if name in ("html", "body") and here.count[name]:
             continue
-        if name == "body" or (name in BLOCKS and name != "title"):
-            head = next((x for x in _path(node) if x.name == "head"), None)
-            if head is not None and head.parent is not None:
-                node = head.parent
-        if name in ENDS_P:
-            for up in _path(node):
-                if up.name == "p" and up.parent is not None:
-                    node = up.parent
-                    break
-                if up.name not in FORMATS and up.name != "span":
-                    break
-        if name in CLOSES:
-            ends, stop = CLOSES[name]
-            for up in _path(node):
-                if up.name in stop:
-                    break
-                if up.name in ends and up.parent is not None:
-                    node = up.parent
-        kid = Node(name, node, _unwanted(name, m[3], node))
-        node.kids.append(kid)
+        _make_room(name, here)
+        kid = Node(name, here.node, _unwanted(name, m[3], here.node))
+        here.node.kids.append(kid)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             if end is None and not kid.drop:
@@ -124,7 +165,7 @@ def parse(page: str) -> Node:
                 kid.kids.append(page[at : end.start()])
             at = len(page) if end is None else end.end()
         elif name not in VOID:
-            node = kid
+            here.enter(kid)
     return root
 
 
@@ -190,10 +231,10 @@ def _text(node: Node) -> str:
 def main_text(page: str | None) -> str:
     """The article of a page: the subtree of the largest density sum, and others on which the same threshold holds.
 
-    The threshold is the least density between body and that subtree's root. Where the root lies in an article or main
-    element, that whole element is the text, so that its short headings and last lines stay. Menus, headers and the like
-    are known by element name, class, id or role and count nowhere. A null or empty page, or one of such parts only, gives
-    an empty text.
+    Where a page has article or main elements with text, the best block is looked for in them, and the outermost of them
+    around it is the text as a whole, so that its short headings and last lines stay. Else the threshold is the least
+    density between body and the best block. Menus, headers and the like are known by element name, class, id or role and
+    count nowhere. A null or empty page, or one of such parts only, gives an empty text.
     """
     if not page:
         return ""
@@ -202,21 +243,20 @@ def main_text(page: str | None) -> str:
     body = next((n for n in nodes if n.name == "body"), root)
     if not body.chars:
         return ""
-    blocks = [n for n in nodes if n.chars and n.name in BLOCKS and n.name not in ("p", "br", "li", "td", "th", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "pre") and any(x is body for x in _path(n))]
-    best = max(blocks, key=lambda n: n.total, default=body)  # of equal ones the outermost
-    for up in _path(best):
-        if up.name in CONTENT:
-            best = up
-    threshold = min((n.density for n in _path(best) if n.chars and n.name in BLOCKS), default=0.0)
-    if best.name in CONTENT or best is body:
-        return _text(best)
+    blocks = [n for n in _order(body) if n.chars and n.name in BLOCKS and n.name not in LEAVES]
+    best = max([n for n in blocks if n.content] or blocks, key=lambda n: n.total, default=body)  # of equal ones the outermost
+    around = list(_path(best))
+    if best.content or best is body:
+        return _text(next((n for n in reversed(around) if n.name in CONTENT), best))
+    threshold = min((n.density for n in around if n.chars and n.name in BLOCKS), default=0.0)
+    inside = set(map(id, around))
     picked: list[Node] = []
     stack = [body]
     while stack:
         node = stack.pop()
         if node is best:
             picked.append(node)
-        elif any(x is node for x in _path(best)):
+        elif id(node) in inside:
             stack.extend(k for k in reversed(node.kids) if isinstance(k, Node) and not k.drop)
         elif node.density >= threshold and node.density > 0 and node.name in BLOCKS:
             picked.append(node)
@@ -241,6 +281,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """extract() of all pages: page_id, url, text, n_chars; a null html has an empty text, repeated rows stay."""
     rows = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return rows.withColumn("n_chars", F.length("text").cast("long"))
 

@@ -257,12 +257,39 @@ def test_html(spark):
     for odd in (None, "", "<", "<p", "<!-- open", "<script>x", "</p></div>", "text only", "<table><tr><td>a<td>b<tr><td>c</table>", "<a" * 50, "<p>" * 3000 + "x"):
         assert isinstance(html_text.main_text(odd), str)
     assert html_text.main_text("text only") == "text only"
+    deep = html_text.main_text("<div>" * 20_000 + "<li><b>x</i></u></x>" * 20_000)
+    assert deep.count("x") == 20_000
     pages = spark.createDataFrame([(1, "u", PAGE, "mine", "z"), (1, "u", PAGE, "mine", "z"), (None, None, None, None, None)], "page_id long, url string, html string, text string, _html string")
     out = html_text.extract(pages).collect()
     assert len(out) == 3 and {r.text for r in out} == {html_text.main_text(PAGE), ""}
     assert html_text.extract(pages.limit(0)).collect() == []
 
 
+def test_densities_by_hand():
+    """Each node's figures from its own subtree alone, and the choice from them."""
+    rng = random.Random(8)
+
+    def tree(depth):
+        kids = "".join(tree(depth - 1) if depth and rng.random() < 0.7 else " ".join(["word"] * rng.randrange(9)) for _ in range(rng.randrange(1, 4)))
+        name = rng.choice(["div", "section", "a", "b", "td"])
+        return f"<{name}>{kids}</{name}>"
+
+    for _ in range(30):
+        root = html_text.parse(f"<body>{tree(4)}{tree(3)}</body>")
+        nodes = html_text.densities(root)
+        below = lambda n: [k for k in n.kids if isinstance(k, html_text.Node)]
+        subtree = lambda n: [n, *[x for k in below(n) for x in subtree(k)]]
+        chars = lambda n: sum(len("".join(k.split())) if isinstance(k, str) else chars(k) for k in n.kids)
+        links = lambda n: [n] if n.name == "a" else [x for k in below(n) for x in links(k)]
+        body = next(n for n in nodes if n.name == "body")
+        share = sum(map(chars, links(body))) / max(1, chars(body))
+        for n in nodes:
+            c, t, lc, lt = chars(n), len(subtree(n)) - 1, sum(map(chars, links(n))), len(links(n))
+            assert (n.chars, n.tags, n.link_chars, n.link_tags) == (c, t, lc, lt)
+            want = c / max(t, 1) * math.log(max(1.0, c / max(lc, 1) * max(t, 1) / max(lt, 1))) / math.log(c / max(c - lc, 1) * lc + share * c + math.e) if c else 0
+            assert math.isclose(n.density, want, abs_tol=1e-9) and math.isclose(n.total, sum(k.density for k in below(n)), abs_tol=1e-9)
+
+
 def test_bm25_agrees_with_all_scores(spark):
     rows = [(d, t, *x) for d, t, *x in documents(9, 120) if d is not None]
     docs = [Counter(split(t)) for _, t, *_ in rows]
