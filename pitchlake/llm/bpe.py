@@ -189,6 +189,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """encode() of all documents with what decoding gives: doc_id, n_tokens and both digests; a null text is empty."""
     path = vocabulary()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = encode(docs, path, decoded=True)

@@ -88,6 +88,16 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+#: Rows of a table of known narrow rows (1 or 2 KB at most) up to which it is broadcast.
+FEW = 5_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, stashed, as a side of a join: broadcast if it has FEW rows at most, else left to Spark's joins."""
+    df = stash(df, "few")
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Delete stashed tables that nothing reads any more."""
     for df in frames:

@@ -303,6 +303,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """jaccard_components() of all documents: doc_id, n_shingles, component_id."""
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitchlake.llm.common import WORD, fresh, stash, table, unit_hash
+from pitchlake.llm.common import WORD, few, fresh, stash, table, unit_hash
 
 #: Relative weights of the sources in code point order, repeating; all sizes together times SHARE are asked for.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
@@ -61,13 +61,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     key = F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit("")))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     draw = -F.log(unit_hash(F.lit(seed), F.col("doc_id"), F.xxhash64("text")) + F.lit(2.0**-54)) / (weight if quality is None else F.col("_weight"))
-    rows = stash(docs.select("doc_id", F.xxhash64("text").alias("_text"), key.alias("source_key"), size.alias("size"), draw.alias("_draw")), "mix")
+    rows = stash(docs.select("doc_id", F.xxhash64("text").alias("_text"), key.alias("source_key"), size.alias("size"), draw.alias("_draw"), (weight if quality is None else F.col("_weight")).alias("_w")), "mix")
     targets = source_targets(rows.groupBy("source_key").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows")), weights, share, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     targets = targets.withColumn("epochs", epochs).withColumn("_rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    # 1 - exp(-draw) rises with draw and is about even on (0, 1).
-    bucket = F.floor((1 - F.exp(-F.col("_draw"))) * F.ceil(F.col("_rows") / bucket_rows)).cast("long")
-    rows = rows.join(targets, "source_key").withColumn("_bucket", bucket)
+    # The share of a source's draws below x is 1 - mean(exp(-weight * x)), from its weights in 64 bins at most: that rises
+    # with x and is about even on (0, 1), whatever the weights.
+    bins = rows.groupBy("source_key", F.least(F.lit(63), F.greatest(F.lit(0), F.floor(-8 * F.log("_w")))).alias("_bin")).agg(F.count(F.lit(1)).alias("_n"), F.avg("_w").alias("_mean"))
+    bins = bins.groupBy("source_key").agg(F.sum("_n").alias("_all"), F.collect_list(F.struct("_n", "_mean")).alias("_bins"))
+    above = F.aggregate("_bins", F.lit(0.0), lambda a, b: a + b["_n"] * F.exp(-b["_mean"] * F.col("_draw"))) / F.col("_all")
+    pieces = F.ceil(F.col("_rows") / bucket_rows)
+    bucket = F.least(pieces - 1, F.floor((1 - above) * pieces)).cast("long")
+    rows = rows.join(few(targets.join(bins, "source_key")), "source_key").withColumn("_bucket", bucket).drop("_bins", "_all", "_w")
     sums = rows.groupBy("source_key", "_bucket").agg(F.sum("size").alias("_sum"))
     before = Window.partitionBy("source_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = sums.withColumn("_upto", F.sum("_sum").over(before)).withColumn("_before", F.col("_upto") - F.col("_sum")).drop("_sum")
@@ -95,6 +100,7 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix() of all documents: doc_id, size, source_size, target, and taken, the words that the mix takes of the row."""
     rows = mix(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 

@@ -88,15 +88,15 @@ def fit_ordinal(grades: np.ndarray, slots: list[np.ndarray], n_grades: int = GRA
 
 
 def fit(docs: DataFrame, graded: DataFrame, most: int = MOST_LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """fit_ordinal() on the documents (doc_id, text) that graded (doc_id, grade) has; at most `most` graded rows count."""
-    few = graded.where("doc_id is not null and grade is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select(F.col("grade").cast("int").alias("grade"), "text")
+    """fit_ordinal() on the documents (doc_id, text) that graded (doc_id, grade) has; at most `most` graded ids count,
+    those with the smallest hashes; of several grades the lowest does, of several texts of an id the least."""
+    one = graded.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min(F.col("grade").cast("int")).alias("grade"))
+    picked = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("text").alias("text")).select("grade", "text")
     slots, grades = [], []
     for row in byte_batches(rows, _featured, "grade int, slots array<int>").toLocalIterator():
         grades.append(row.grade)
         slots.append(np.array(row.slots, np.int32))
-        if len(slots) >= 2 * most:
-            break
     return fit_ordinal(np.array(grades, int), slots)
 
 
@@ -130,6 +130,7 @@ def classify(docs: DataFrame, weights: np.ndarray, thresholds: np.ndarray, least
 
 
 def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """classify() all documents by a model fitted on labels: toxic, of low quality, good."""
     docs = table(spark, sf_dir, "documents")
     return classify(docs, *fit(docs, grades_of(table(spark, sf_dir, "labels"))))
 

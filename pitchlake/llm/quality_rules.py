@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitchlake.llm.common import byte_batches, fresh, stash, table
+from pitchlake.llm.common import byte_batches, few, fresh, stash, table
 
 # Function words that are common in English, German, French and Spanish.
 COMMON = (
@@ -127,7 +127,7 @@ def _compared(rows: DataFrame, reference: DataFrame, keep_hist: bool = False) ->
     """rows with their distances to the sum of the histograms that reference has for their language."""
     sums = [F.sum(F.col("_hist")[k]) for k in range(BINS)]
     refs = reference.groupBy(F.col("_lang").alias("_l")).agg(F.array(*sums).alias("_reference"))
-    joined = rows.join(refs, F.col("_lang") == F.col("_l"), "left").drop("_l")
+    joined = rows.join(few(refs), F.col("_lang") == F.col("_l"), "left").drop("_l")
     schema = joined.drop("_reference", *([] if keep_hist else ["_hist"])).schema
     return byte_batches(joined, _judged(schema.names), schema.add("char_distance", "double").add("word_distance", "double"))
 
@@ -149,7 +149,7 @@ def judge(docs: DataFrame, id_cols: tuple[str, ...] = ("doc_id",), max_char: flo
     first = _compared(rows, rows.where(~F.col("base_failed")), keep_hist=True)
     first = first.where(~F.col("base_failed"))
     middle = first.groupBy(F.col("_lang").alias("_m")).agg(F.percentile_approx("char_distance", 0.5, 1000).alias("_median"))
-    near = first.join(middle, F.col("_lang") == F.col("_m")).where("char_distance <= _median")
+    near = first.join(few(middle), F.col("_lang") == F.col("_m")).where("char_distance <= _median")
     judged = _compared(rows, near)
     chars_far = (F.col("word_chars") >= MIN_CHARS) & (F.col("char_distance") > max_char)
     words_far = (F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > max_word)
@@ -165,6 +165,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 
 def op4_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judge() over all documents: doc_id, the base counts, base_failed, kept and both distances."""
     return judge(table(spark, sf_dir, "documents"))
 
 

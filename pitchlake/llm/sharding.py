@@ -145,6 +145,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, rounds: int = ROUNDS) -
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shard_documents() of all documents into shards 0 to 39."""
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
