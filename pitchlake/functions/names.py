@@ -14,13 +14,15 @@ from pyspark.sql.functions import pandas_udf
 
 # Club suffixes that a team's name may leave out.
 CLUB_WORDS = ("fc", "cf", "sc", "ac", "afc")
+NO_LETTER = re.compile("[^a-z0-9]+")
 
 
 def plain(value: str | None) -> str:
-    """Without accents, in folded case, with runs of anything but letters and digits as one space."""
+    """Without accents, in folded case, with runs of anything but a-z and digits as one space: ø and ł have no accent to
+    lose and go."""
     marks = unicodedata.normalize("NFKD", value or "")
     text = "".join(c for c in marks if not unicodedata.combining(c)).casefold()
-    return " ".join("".join(c if c.isalnum() else " " for c in text).split())
+    return " ".join(NO_LETTER.sub(" ", text).split())
 
 
 def plain_team(value: str | None) -> str:
@@ -59,5 +61,10 @@ def token(text: Column) -> Column:
 
 
 def identity(*parts: Column, length: int = 24) -> Column:
-    """A stable id: the first digits of sha256 over the parts, a null part as an empty one."""
-    return F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), 1, length)
+    """A stable id: the first digits of sha256 over the parts as a JSON list, a null part as an empty one."""
+    return F.substring(F.sha2(F.to_json(F.array(*[F.coalesce(p.cast("string"), F.lit("")) for p in parts])), 256), 1, length)
+
+
+def content_hash(rows_of: dict[str, Column]) -> Column:
+    """sha256 of named values as canonical JSON: names in order, nulls kept."""
+    return F.sha2(F.to_json(F.struct(*[rows_of[n].alias(n) for n in sorted(rows_of)]), {"ignoreNullFields": "false"}), 256)

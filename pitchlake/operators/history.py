@@ -15,24 +15,33 @@ def micros(date: str = "match_date") -> Column:
     return F.unix_micros(F.col(date).cast("timestamp"))
 
 
-def last_before(rows: DataFrame, keys: list[str], n: int, values: list[str]) -> DataFrame:
-    """rows with n_before and history, the last n finished rows of the same keys before each row's kickoff, oldest first.
+def _two_axes(rows: DataFrame, keys: list[str], told: dict[str, Column]) -> DataFrame:
+    """rows with n_before, and once more each finished one as what it tells later ones: _asks, _at and the columns of told.
 
     Rows of one kickoff don't see each other. A finished row has number seq among its keys; a row that n_before of them
     precede stands right behind the n_before-th. Both lie on one axis (2 * seq, 2 * n_before + 1), so a range frame of
-    width 2n finds them: one shuffle on the keys, frames of n rows, no join.
+    width 2n finds the last n: one shuffle on the keys, frames of n rows, no join.
     """
     done = F.when(F.col("status") == "finished", 1).otherwise(0)
     by = Window.partitionBy(*keys)
     before = by.orderBy(micros()).rangeBetween(Window.unboundedPreceding, -1)
     upto = by.orderBy(micros(), "match_id", F.col("venue").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("n_before", F.coalesce(F.sum(done).over(before), F.lit(0))).withColumn("_seq", F.sum(done).over(upto))
-    seen = F.struct("match_date", *values)
-    own = F.struct((F.col("n_before") * 2 + 1).alias("_at"), F.lit(True).alias("_asks"), F.lit(None).cast(rows.select(seen.alias("s")).schema["s"].dataType).alias("_seen"))
-    told = F.struct((F.col("_seq") * 2).alias("_at"), F.lit(False).alias("_asks"), seen.alias("_seen"))
-    doubled = rows.select("*", F.inline(F.when(done == 1, F.array(own, told)).otherwise(F.array(own)))).drop("_seq")
-    frame = by.orderBy("_at").rangeBetween(-2 * n, -1)
-    return doubled.withColumn("history", F.collect_list("_seen").over(frame)).where("_asks").drop("_at", "_asks", "_seen")
+    kinds = rows.select(*[c.alias(n) for n, c in told.items()]).schema
+    own = F.struct((F.col("n_before") * 2 + 1).alias("_at"), F.lit(True).alias("_asks"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in kinds])
+    seen = F.struct((F.col("_seq") * 2).alias("_at"), F.lit(False).alias("_asks"), *[c.alias(n) for n, c in told.items()])
+    return rows.select("*", F.inline(F.when(done == 1, F.array(own, seen)).otherwise(F.array(own)))).drop("_seq")
+
+
+def last(keys: list[str], n: int) -> Window:
+    """The frame of the last n on _two_axes()."""
+    return Window.partitionBy(*keys).orderBy("_at").rangeBetween(-2 * n, -1)
+
+
+def last_before(rows: DataFrame, keys: list[str], n: int, values: list[str]) -> DataFrame:
+    """rows with n_before and history, the last n finished rows of the same keys before each row's kickoff, oldest first."""
+    doubled = _two_axes(rows, keys, {"_seen": F.struct("match_date", *values)})
+    return doubled.withColumn("history", F.collect_list("_seen").over(last(keys, n))).where("_asks").drop("_at", "_asks", "_seen")
 
 
 def mean_of_last(n: int, metric: str, history: str = "history") -> Column:
@@ -49,29 +58,11 @@ def decayed_mean(metric: str, history: str = "history", decay: float = DECAY) ->
     return F.expr(f"aggregate({history}, named_struct('s', 0D, 'w', 0D), {step}, a -> a.s / nullif(a.w, 0D))")
 
 
-def known_share(history: str = "history") -> Column:
-    """Share of the five statistics that are known in the history; 0 without one."""
-    known = " + ".join(f"if(x.{m} is null, 0, 1)" for m in COMPLETENESS)
-    total = f"aggregate({history}, 0, (a, x) -> a + {known})"
-    return F.expr(f"if(size({history}) > 0, {total} / (size({history}) * {len(COMPLETENESS)}), 0D)")
-
-
-def team_history(sides: DataFrame) -> DataFrame:
-    """sides with n_before and the last ten matches of the team in the competition."""
-    return last_before(sides, ["competition_id", "team_id"], 10, list(METRICS))
-
-
 def venue_history(sides: DataFrame) -> DataFrame:
     """sides with the last five matches of the team at the same venue."""
     return last_before(sides, ["competition_id", "team_id", "venue"], 5, ["goals_for", "goals_against"])
 
 
-def days_rest(history: str = "history") -> Column:
-    """Days since the newest match of the history; null without one."""
-    newest = F.element_at(history, -1)["match_date"]
-    return F.when(F.size(history) > 0, (micros() - F.unix_micros(newest.cast("timestamp"))) / 86_400_000_000.0)
-
-
 def league_priors(matches: DataFrame) -> DataFrame:
     """matches with the competition's number of finished matches and goal means strictly before each kickoff."""
     before = Window.partitionBy("competition_id").orderBy(micros()).rangeBetween(Window.unboundedPreceding, -1)
@@ -88,15 +79,29 @@ def league_priors(matches: DataFrame) -> DataFrame:
 def side_features(sides: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
     """Per match and side: history_matches, days_rest, known share, means of the last 3, 5 and 10, decayed means.
 
-    only: the names of the means wanted, all by default; what isn't asked for isn't planned.
+    only: the names of the means wanted, all by default; what isn't asked for isn't planned. Means are window averages
+    over plain columns, null without a known value; decayed means need the order within the frame and fold its list.
     """
-    rows = team_history(sides)
     wanted = lambda name: only is None or name in only
-    means = [mean_of_last(n, m).alias(f"{m}_avg_{n}") for m in METRICS for n in (3, 5, 10) if wanted(f"{m}_avg_{n}")]
-    decayed = [decayed_mean(m).alias(f"{m}_recency_weighted_10") for m in DECAYED if wanted(f"{m}_recency_weighted_10")]
-    newest = F.element_at("history", -1)["match_date"]
-    latest = F.when(F.size("history") > 0, newest).alias("history_max_date")
-    return rows.select("match_id", "competition_id", "match_date", "venue", "team_id", F.col("n_before").alias("history_matches"), days_rest().alias("days_rest"), latest, known_share().alias("data_completeness"), *means, *decayed)
+    keys = ["competition_id", "team_id"]
+    decayed = [m for m in DECAYED if wanted(f"{m}_recency_weighted_10")]
+    averaged = [(m, n) for m in METRICS for n in (3, 5, 10) if wanted(f"{m}_avg_{n}")]
+    told = {f"_{m}": F.col(m) for m in dict.fromkeys([*COMPLETENESS, *[m for m, _ in averaged]])} | {"_day": F.col("match_date")}
+    if decayed:
+        told["_seen"] = F.struct(*decayed)
+    rows = _two_axes(sides.select("match_id", "competition_id", "match_date", "venue", "team_id", "status", *METRICS), keys, told)
+    ten = last(keys, 10)
+    rows = rows.withColumns(
+        {"latest": F.max("_day").over(ten), "games": F.count("_day").over(ten), "known": sum(F.count(f"_{m}").over(ten) for m in COMPLETENESS)}
+        | {f"{m}_avg_{n}": F.avg(f"_{m}").over(last(keys, n)) for m, n in averaged}
+        | ({"history": F.collect_list("_seen").over(ten)} if decayed else {})
+    ).where("_asks")
+    rest = (micros() - F.unix_micros(F.col("latest").cast("timestamp"))) / 86_400_000_000.0
+    share = F.when(F.col("games") > 0, F.col("known") / (F.col("games") * len(COMPLETENESS))).otherwise(0.0)
+    return rows.select(
+        "match_id", "competition_id", "match_date", "venue", "team_id", F.col("n_before").alias("history_matches"), rest.alias("days_rest"), F.col("latest").alias("history_max_date"), share.alias("data_completeness"),
+        *[f"{m}_avg_{n}" for m, n in averaged], *[decayed_mean(m).alias(f"{m}_recency_weighted_10") for m in decayed],
+    )
 
 
 #: The means that strengths, rates and tails are made of.

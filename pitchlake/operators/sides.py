@@ -15,10 +15,8 @@ def completed(matches: DataFrame) -> DataFrame:
 
 def with_statistics(matches: DataFrame, statistics: DataFrame) -> DataFrame:
     """matches with home_ and away_ columns of the statistics; null where a side has none."""
-    for venue in ("home", "away"):
-        own = statistics.where(F.col("venue") == venue).select("match_id", *[F.col(c).alias(f"{venue}_{c}") for c in STATISTICS])
-        matches = matches.join(own, "match_id", "left")
-    return matches
+    both = [F.max(F.when(F.col("venue") == v, F.col(c))).alias(f"{v}_{c}") for v in ("home", "away") for c in STATISTICS]
+    return matches.join(statistics.groupBy("match_id").agg(*both), "match_id", "left")
 
 
 def sides(matches: DataFrame) -> DataFrame:

@@ -6,6 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+MOST_GOALS = 99
+#: What a status may be, and the shape of a kickoff time.
+STATUSES = ("scheduled", "live", "finished", "postponed", "cancelled", "abandoned", "awarded", "unknown")
+KICKOFF = r"(?i)^([01]\d|2[0-3]):[0-5]\d(\s+(UTC|GMT)[+-]\d{1,2}(:[0-5]\d)?)?$"
+
+
+def more_rules(columns: list[str]) -> dict[str, Column]:
+    """Error code to condition, of those rules whose columns rows have: extra time, penalties, attendance, status."""
+    e, f = F.col("het"), F.col("aet")
+    found = {
+        ("het", "aet"): ("half_extra_time_pair", e.isNull() != f.isNull()),
+        ("het", "aet", "hg", "ag"): ("full_time_above_extra_time", (F.col("hg") > e) | (F.col("ag") > f)),
+        ("hp", "ap"): ("half_penalty_pair", F.col("hp").isNull() != F.col("ap").isNull()),
+        ("attendance",): ("negative_attendance", F.col("attendance") < 0),
+        ("status",): ("unsupported_status", ~F.col("status").isin(*STATUSES)),
+    }
+    return dict(rule for needs, rule in found.items() if set(needs) <= set(columns))
+
+
 def rules() -> dict[str, Column]:
     """Error code to condition over a parsed match."""
     a, b, c, d = (F.col(x) for x in ("hg", "ag", "hht", "aht"))
@@ -15,7 +34,7 @@ def rules() -> dict[str, Column]:
         "missing_away_team": F.col("away_team").isNull() | (F.trim("away_team") == ""),
         "same_team": F.col("home_team") == F.col("away_team"),
         "missing_date": F.col("match_date").isNull(),
-        "negative_score": (F.least(a, b, c, d) < 0),
+        "score_out_of_range": (F.least(a, b, c, d) < 0) | (F.greatest(a, b, c, d) > MOST_GOALS),
         "half_full_time_pair": a.isNull() != b.isNull(),
         "half_half_time_pair": c.isNull() != d.isNull(),
         "half_time_above_full_time": (c > a) | (d > b),
@@ -33,7 +52,8 @@ def _found(checks: dict[str, Column]) -> Column:
 
 def checked(rows: DataFrame) -> DataFrame:
     """rows with errors and warnings, arrays of codes."""
-    return rows.withColumns({"errors": _found(rules()), "warnings": _found(warnings())})
+    more = {"odd_kickoff_time": ~F.col("kickoff_time").rlike(KICKOFF)} if "kickoff_time" in rows.columns else {}
+    return rows.withColumns({"errors": _found(rules() | more_rules(rows.columns)), "warnings": _found(warnings() | more)})
 
 
 def good(rows: DataFrame) -> DataFrame:
@@ -44,3 +64,36 @@ def quarantine(rows: DataFrame, row_id: str) -> DataFrame:
     """row_id, severity, code: one row per finding of checked()."""
     all_ = F.concat(F.transform("errors", lambda x: F.struct(F.lit("error").alias("severity"), x.alias("code"))), F.transform("warnings", lambda x: F.struct(F.lit("warning").alias("severity"), x.alias("code"))))
     return rows.select(row_id, F.inline(all_))
+
+
+def without_identity(rows: DataFrame, row_id: str) -> DataFrame:
+    """row_id and lacks (competition, season) of rows that can't be told apart: no competition, or a season without a year."""
+    lacks = {"competition": F.trim(F.coalesce("competition", F.lit(""))) == "", "season": ~F.coalesce(F.col("season").cast("string"), F.lit("")).rlike(r"(19|20)\d{2}")}
+    return rows.select(row_id, _found(lacks).alias("lacks")).where(F.size("lacks") > 0)
+
+
+def require_identity(rows: DataFrame, row_id: str, most: int = 10) -> DataFrame:
+    """rows; ValueError with the first `most` rows of without_identity() if there are any."""
+    bad = without_identity(rows, row_id).orderBy(row_id).limit(most).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r[0]}: no {' and '.join(r.lacks)}" for r in bad))
+    return rows
+
+
+def missing_references(rows: DataFrame, row_id: str, known: dict[str, DataFrame]) -> DataFrame:
+    """row_id and field: values of rows that no row of known[field] (a column of that name) has; a null refers to nothing."""
+    found = None
+    for field, table in known.items():
+        lost = rows.where(F.col(field).isNotNull()).join(table.select(field).distinct(), field, "left_anti").select(row_id, F.lit(field).alias("field"))
+        found = lost if found is None else found.unionByName(lost)
+    return found
+
+
+def out_of_range(rows: DataFrame, row_id: str, bounds: dict[str, tuple[float | None, float | None]]) -> DataFrame:
+    """row_id, field and value of each number beyond its bounds; null is in bounds."""
+    checks = []
+    for field, (low, high) in bounds.items():
+        off = F.lit(False) if low is None else F.col(field) < low
+        off = off if high is None else off | (F.col(field) > high)
+        checks.append(F.when(F.coalesce(off, F.lit(False)), F.struct(F.lit(field).alias("field"), F.col(field).cast("double").alias("value"))))
+    return rows.select(row_id, F.inline(F.filter(F.array(*checks), lambda x: x.isNotNull())))

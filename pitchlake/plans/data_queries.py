@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pitchlake.functions import names, values
 from pitchlake.functions import scores
-from pitchlake.operators import consolidate, enrich, evaluation, grading, players, poisson, quality, resolve, validate
+from pitchlake.operators import consolidate, enrich, evaluation, grading, imports, players, poisson, quality, resolve, validate
 from pitchlake.operators import sides as side_rows
 from pitchlake.plans import match_queries as base
 from pitchlake.sources import adapter
@@ -169,7 +169,7 @@ def player_probs(spark, d):
     return players.chances(_lineups(spark, d), _form(spark, d))
 
 
-NOISY = "CASE c_custkey % 4 WHEN 0 THEN upper(c_name) WHEN 1 THEN replace(c_name, 'a', 'á') WHEN 2 THEN ' ' || c_name || ' FC' ELSE replace(c_name, '#', ' - ') END"
+NOISY = "CASE c_custkey % 4 WHEN 0 THEN upper(c_name) WHEN 1 THEN replace(c_name, 'a', 'á') WHEN 2 THEN ' ' || c_name || 'ø FC' ELSE replace(c_name, '#', ' ł ') END"
 
 
 def _noisy(spark, d):
@@ -181,6 +181,56 @@ def normalize_names(spark, d):
     return _noisy(spark, d).select("c_custkey", names.plain_name("name").alias("plain"), names.plain_team_name("name").alias("team"))
 
 
+def _parsed(spark, d):
+    """Matches as a parser gives them: names of competitions and teams, seasons in words."""
+    region = adapter.table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("competition_id"), F.col("r_name").alias("competition"))
+    team = lambda c: F.concat(F.lit("Team "), F.col(c).cast("string"))
+    rows = adapter.matches(spark, d).join(region, "competition_id")
+    label = F.concat(F.col("season").cast("string"), F.lit("/"), F.substring((F.col("season") + 1).cast("string"), 3, 2))
+    return rows.withColumns({"season": label, "home_team": F.when(F.col("home_team_id") % 20 == 7, F.lit(None)).otherwise(team("home_team_id")), "away_team": team("away_team_id")})
+
+
+PARSED = base.BASE + """,
+parsed AS (SELECT m.*, r_name AS competition, m.season || '/' || right(CAST(m.season + 1 AS VARCHAR), 2) AS label, m.home_team_id % 20 = 7 OR coalesce(hht > hg OR aht > ag, false) AS bad FROM matches m JOIN region ON r_regionkey = competition_id)"""
+
+
+@query("SELECT count(*) AS matches, count(*) FILTER (WHERE NOT bad) AS good, count(*) FILTER (WHERE bad) AS bad, count(*) FILTER (WHERE hg + ag > 15) AS warned, count(DISTINCT competition) FILTER (WHERE NOT bad) AS competitions, count(DISTINCT label) FILTER (WHERE NOT bad) AS seasons FROM parsed WHERE competition = 'ASIA' AND label = '1995/96'", PARSED)
+def import_metrics(spark, d):
+    return imports.metrics(imports.imported(_parsed(spark, d), "ÁSIA", "1995-1996"))
+
+
+@query("""SELECT competition, CAST(min(match_date) AS TIMESTAMP) AS first_match_date, CAST(max(match_date) AS TIMESTAMP) AS last_match_date, count(*) AS total_matches, count(*) FILTER (WHERE status = 'finished') AS finished_matches, count(*) FILTER (WHERE status = 'scheduled') AS scheduled_matches,
+  string_agg(DISTINCT label, ',' ORDER BY label) AS seasons_available, concat_ws(',', CASE WHEN count(ag) > 0 THEN 'ag' END, CASE WHEN count(hg) > 0 THEN 'hg' END, CASE WHEN count(hht) > 0 THEN 'hht' END) AS fields_available FROM parsed GROUP BY competition""", PARSED)
+def preview_quality(spark, d):
+    rows = imports.preview_quality(_parsed(spark, d), ["hg", "ag", "hht"])
+    listed = {c: F.array_join(c, ",") for c in ("seasons_available", "fields_available")}
+    return rows.withColumns(listed | {c: F.col(c).cast("timestamp_ntz") for c in ("first_match_date", "last_match_date")})
+
+
+@query("SELECT home_team_id, string_agg(season, ',' ORDER BY first DESC) AS seasons FROM (SELECT home_team_id, season, max(match_id) AS first FROM matches GROUP BY ALL) GROUP BY home_team_id")
+def seasons_in_order(spark, d):
+    return adapter.matches(spark, d).groupBy("home_team_id").agg(F.array_join(F.transform(imports.in_order(F.col("season"), -F.col("match_id")), lambda s: s.cast("string")), ",").alias("seasons"))
+
+
+@query("SELECT match_id, CASE WHEN home_team_id % 20 = 7 THEN 'competition' END AS lacks_competition, CASE WHEN match_id % 3 = 0 THEN 'season' END AS lacks_season FROM matches WHERE home_team_id % 20 = 7 OR match_id % 3 = 0")
+def rows_without_identity(spark, d):
+    rows = adapter.matches(spark, d).select("match_id", F.when(F.col("home_team_id") % 20 != 7, "Liga").alias("competition"), F.when(F.col("match_id") % 3 == 0, "autumn").otherwise(F.col("season").cast("string")).alias("season"))
+    lacks = validate.without_identity(rows, "match_id")
+    return lacks.select("match_id", *[F.when(F.array_contains("lacks", c), c).alias(f"lacks_{c}") for c in ("competition", "season")])
+
+
+@query("SELECT match_id, 'away_team_id' AS field FROM matches WHERE away_team_id % 20 = 3 UNION ALL SELECT match_id, 'season' FROM matches WHERE season = 1992")
+def missing_references(spark, d):
+    rows = adapter.matches(spark, d)
+    teams = rows.select("away_team_id").where("away_team_id % 20 <> 3")
+    return validate.missing_references(rows, "match_id", {"away_team_id": teams, "season": rows.select("season").where("season > 1992")})
+
+
+@query("SELECT match_id, 'hg' AS field, CAST(hg AS DOUBLE) AS value FROM matches WHERE hg > 4 UNION ALL SELECT match_id, 'ag', CAST(ag AS DOUBLE) FROM matches WHERE ag < 1")
+def range_checks(spark, d):
+    return validate.out_of_range(adapter.matches(spark, d), "match_id", {"hg": (None, 4), "ag": (1, 99)})
+
+
 SEASON = "CASE match_id % 4 WHEN 0 THEN season || '/' || right(CAST(season + 1 AS VARCHAR(10)), 2) WHEN 1 THEN season || '-' || (season + 1) WHEN 2 THEN 'Season ' || season ELSE 'none' END"
 
 

@@ -18,6 +18,7 @@ COLUMNS = {
     "Date": "date", "Time": "time", "HomeTeam": "home_team", "AwayTeam": "away_team", "Home": "home_team", "Away": "away_team", "FTHG": "hg", "FTAG": "ag", "HG": "hg", "AG": "ag", "HTHG": "hht", "HTAG": "aht",
     "Referee": "referee", "HS": "home_shots", "AS": "away_shots", "HST": "home_shots_on_target", "AST": "away_shots_on_target", "HF": "home_fouls", "AF": "away_fouls", "HC": "home_corners", "AC": "away_corners",
     "HY": "home_yellow_cards", "AY": "away_yellow_cards", "HR": "home_red_cards", "AR": "away_red_cards", "Season": "season", "League": "competition",
+    "Div": "competition_code", "FTR": "result", "HTR": "half_time_result",
 }
 REQUIRED = ("date", "home_team", "away_team", "hg", "ag")
 COUNTS = tuple(c for c in dict.fromkeys(COLUMNS.values()) if c in ("hg", "ag", "hht", "aht") or c.startswith(("home_", "away_")) and not c.endswith("_team"))
@@ -57,7 +58,8 @@ def column_report(header: list[str]) -> dict[str, list[str]]:
 def normalised(rows: DataFrame, competition: str | None = None, season: str | None = None) -> DataFrame:
     """Typed matches of raw_rows(): dates, counts, cards, odds (map), status, invalid (fields with unreadable text).
 
-    Absent and blank cells are null and never 0; accents stay. record_id is stable over competition, season, date and
+    Absent and blank cells are null and never 0; accents stay. A file's own competition goes before the one given, its
+    provider's code (Div) counts where there is neither. record_id is stable over competition, season, date and
     teams.
     """
     cell = lambda name: values.filled(*[F.col("cells")[h] for h, n in COLUMNS.items() if n == name])
@@ -66,8 +68,9 @@ def normalised(rows: DataFrame, competition: str | None = None, season: str | No
     bad = F.filter(F.array(*[F.when(cell(c).isNotNull() & t.isNull(), c) for c, t in typed.items()], F.when(cell("date").isNotNull() & at.isNull(), "date")), lambda x: x.isNotNull())
     odds = F.map_filter(F.transform_values("cells", lambda k, v: v.try_cast("double")), lambda k, v: k.isin(*ODDS) & (v > 1))
     out = rows.select(
-        "path", "member", "row_number", F.coalesce(cell("competition"), F.lit(competition)).alias("competition"), F.coalesce(cell("season"), F.lit(season)).alias("season"),
+        "path", "member", "row_number", F.coalesce(cell("competition"), F.lit(competition), cell("competition_code")).alias("competition"), cell("competition_code").alias("competition_code"), F.coalesce(cell("season"), F.lit(season)).alias("season"),
         at.alias("match_date"), cell("home_team").alias("home_team"), cell("away_team").alias("away_team"), cell("referee").alias("referee"),
+        cell("result").alias("result"), cell("half_time_result").alias("half_time_result"),
         *[t.alias(c) for c, t in typed.items()], odds.alias("odds"), bad.alias("invalid"),
     )
     for side in ("home", "away"):

@@ -9,10 +9,10 @@ from pitchlake.operators.consolidate import upsert
 
 # The headers of the import templates.
 TEMPLATES = {
-    "matches": "match_date,competition,season,home_team,away_team,home_score,away_score",
-    "players": "name,team,position,birth_date,nationality",
-    "player_matches": "match_id,player_id,minutes,goals,assists,yellow_cards,red_cards",
-    "upcoming_matches": "match_date,competition,season,home_team,away_team",
+    "matches": "competition,season,match_date,home_team,away_team,home_goals,away_goals,home_yellow_cards,away_yellow_cards,home_red_cards,away_red_cards,home_corners,away_corners",
+    "players": "player_name,team,position,active,penalty_taker,free_kick_taker",
+    "player_matches": "match_id,player_name,team,started,minutes_played,goals,shots,shots_on_target,xg,yellow_cards,red_cards",
+    "upcoming_matches": "competition,season,match_date,home_team,away_team,venue,referee",
 }
 LEDGER = "run_id string, source string, content_hash string, status string, records long, errors long, duration_seconds double, finished_at timestamp"
 

@@ -6,7 +6,10 @@ import zipfile
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
+from pitchlake.functions import names
+from pitchlake.operators import imports, validate
 from pitchlake.sources import catalogs, event_tree, landing, results_csv, results_json, schedule_text, sinks
 
 
@@ -141,4 +144,37 @@ def test_sinks(spark, tmp_path):
     assert sinks.without_run(table, "r1").first().match_id == 2
     with pytest.raises(ValueError):
         sinks.without_run(table, "r1", table)
-    assert sinks.TEMPLATES["matches"].startswith("match_date,")
+    assert sinks.TEMPLATES == {
+        "matches": "competition,season,match_date,home_team,away_team,home_goals,away_goals,home_yellow_cards,away_yellow_cards,home_red_cards,away_red_cards,home_corners,away_corners",
+        "players": "player_name,team,position,active,penalty_taker,free_kick_taker",
+        "player_matches": "match_id,player_name,team,started,minutes_played,goals,shots,shots_on_target,xg,yellow_cards,red_cards",
+        "upcoming_matches": "competition,season,match_date,home_team,away_team,venue,referee",
+    }
+
+
+def test_provider_codes_and_results(spark, tmp_path):
+    write(tmp_path / "a.csv", "Div,Date,HomeTeam,AwayTeam,FTHG,FTAG,FTR,HTHG,HTAG,HTR\nE0,13/08/2021,Brentford,Arsenal,2,0,H,1,0,H\n")
+    raw = results_csv.raw_rows(landing.members(landing.files(spark, str(tmp_path))))
+    row = results_csv.normalised(raw).first()
+    assert (row.competition, row.competition_code, row.result, row.half_time_result, row.hg, row.hht) == ("E0", "E0", "H", "H", 2, 1)
+    assert results_csv.normalised(raw, "Premier League").first().competition == "Premier League"
+    assert "result" in results_csv.column_report(["Div", "FTR"])["available"]
+
+
+def test_names_and_ids(spark):
+    assert [names.plain(x) for x in ("Bodø/Glimt", "Łódź", "Đurđevac", "São Paulo", None)] == ["bod glimt", "odz", "ur evac", "sao paulo", ""]
+    rows = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "x"), ("", "x")], "p string, q string").select(names.identity(F.col("p"), F.col("q")).alias("i"), names.content_hash({"q": F.col("q"), "p": F.col("p")}).alias("h")).collect()
+    assert rows[0].i != rows[1].i and rows[2].i == rows[3].i and len({r.h for r in rows}) == 4
+
+
+def test_import_checks(spark):
+    rows = spark.createDataFrame([(1, "Liga", "2020/21", 3, 1), (2, " ", "autumn", None, 120), (3, None, "2020", 4, 5)], "id long, competition string, season string, het int, attendance int")
+    assert {(r.id, tuple(r.lacks)) for r in validate.without_identity(rows, "id").collect()} == {(2, ("competition", "season")), (3, ("competition",))}
+    with pytest.raises(ValueError, match="2: no competition and season"):
+        validate.require_identity(rows, "id")
+    assert validate.require_identity(rows.where("id = 1"), "id").count() == 1
+    assert [tuple(r) for r in validate.out_of_range(rows, "id", {"attendance": (2, 99), "het": (None, 3)}).orderBy("id", "field").collect()] == [(1, "attendance", 1.0), (2, "attendance", 120.0), (3, "het", 4.0)]
+    assert [tuple(r) for r in validate.missing_references(rows, "id", {"het": rows.where("id = 1")}).collect()] == [(3, "het")]
+    assert {r.id for r in imports.about(rows, "LÍGA", "2020-2021").collect()} == {1}
+    both = imports.together(rows.select("id"), rows.select("id", "season"))
+    assert both.count() == 6 and both.where("season is null").count() == 3
