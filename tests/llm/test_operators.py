@@ -374,8 +374,7 @@ def test_model_is_a_distribution():
     chances = 10 ** spelled[len(words) :]
     assert 0.5 < chances.sum() <= 1 + 1e-6
     # After a context, its known words and a new one add up to 1.
-    context, word = np.array([1, 1, 1, 2, 2, 3], np.uint64), np.array([1, 2, 3, 1, 9, 4], np.uint64)
-    told = mixing_lm.follow_costs(context, word, np.array([3, 1, 0, 2, 0, 0]))
+    told = mixing_lm.follow_costs(np.array([1, 1, 1, 2, 2, 3], np.uint64), np.array([3, 1, 0, 2, 0, 0]))
     assert math.isclose(10 ** told[0] + 10 ** told[1] + 10 ** (1 - told[2]), 1) and math.isclose(10 ** told[3] + 10 ** (1 - told[4]), 1) and told[5] == 1
 
 
