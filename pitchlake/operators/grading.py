@@ -60,6 +60,32 @@ def outcomes(predictions: DataFrame, results: DataFrame, statistics: DataFrame,
     return long if graded is None else long.join(graded, ["match_id", "event_type"], "left_anti")
 
 
+def scorer_outcomes(chances: DataFrame, appearances: DataFrame, names: DataFrame, results: DataFrame, top: int = 3) -> DataFrame:
+    """match_id, event_type top_3_scorer_any, probability (null), predicted, actual, status of matches with a result.
+
+    chances: as players.chances gives them; names: player_id, name. Correct if a name among the `top` likeliest scorers
+    is a name of someone who scored. Players without a name don't count; a match without predicted names is left out.
+    """
+    named = names.select("player_id", "name").where("name is not null and name <> ''")
+    said = chances.where((F.col("kind") == "scorer") & (F.col("rank") <= top)).join(named, "player_id")
+    said = said.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("_said"))  # `top` at most
+    did = appearances.where("goals > 0").join(named, "player_id").groupBy("match_id").agg(F.array_sort(F.collect_set("name")).alias("_did"))
+    done = results.where("hg is not null and ag is not null").select("match_id")
+    rows = said.join(done, "match_id").join(did, "match_id", "left")
+    hit = F.coalesce(F.arrays_overlap("_said.name", "_did"), F.lit(False))
+    return rows.select(
+        "match_id", F.lit("top_3_scorer_any").alias("event_type"), F.lit(None).cast("double").alias("probability"), F.array_join("_said.name", ",").alias("predicted"),
+        F.coalesce(F.array_join("_did", ","), F.lit("")).alias("actual"), F.when(hit, "correct").otherwise("incorrect").alias("status"),
+    )
+
+
+def recent(outcomes: DataFrame, matches: DataFrame, n: int = 10) -> DataFrame:
+    """match_id, match_date, home_team_id, away_team_id, score, status of the n latest matches whose result is graded."""
+    graded = outcomes.where("event_type = 'match_result'").select("match_id", "status")
+    rows = matches.drop("status").join(graded, "match_id").withColumn("score", F.concat_ws("-", "hg", "ag"))
+    return rows.select("match_id", "match_date", "home_team_id", "away_team_id", "score", "status").orderBy(F.desc("match_date"), F.desc("match_id")).limit(n)
+
+
 def overall(outcomes: DataFrame) -> DataFrame:
     """match_id, status: correct if every outcome is."""
     return outcomes.groupBy("match_id").agg(F.when(F.bool_and(F.col("status") == "correct"), "correct").otherwise("incorrect").alias("status"))

@@ -195,7 +195,7 @@ parsed AS (SELECT m.*, r_name AS competition, m.season || '/' || right(CAST(m.se
 
 
 @query("SELECT count(*) AS matches, count(*) FILTER (WHERE NOT bad) AS good, count(*) FILTER (WHERE bad) AS bad, count(*) FILTER (WHERE hg + ag > 15) AS warned, count(DISTINCT competition) FILTER (WHERE NOT bad) AS competitions, count(DISTINCT label) FILTER (WHERE NOT bad) AS seasons FROM parsed WHERE competition = 'ASIA' AND label = '1995/96'", PARSED)
-def import_metrics(spark, d):
+def import_composition(spark, d):
     return imports.metrics(imports.imported(_parsed(spark, d), "ÁSIA", "1995-1996"))
 
 
