@@ -5,12 +5,15 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchlake.operators.evaluation import count_metrics, holdout
+from pitchlake.operators.evaluation import count_metrics, deviance, holdout
+from pitchlake.operators.history import micros
 
 MIN_ROWS = 30
 #: Boosted trees and the share of each that is added.
@@ -88,3 +91,46 @@ def goal_model_report(features: DataFrame) -> DataFrame:
     combined = promoted(report.where("scope = 'combined'").select("model", "mae"), learn.count())
     out = report.join(combined.select("model", "active"), "model")
     return out.select("model", "scope", "n", *[F.round(c, 6).alias(c) for c in ("mae", "rmse", "deviance", "bias")], "active")
+
+
+def _held(rows: DataFrame, learner, names: list[str]) -> DataFrame:
+    """The last fifth of timestamps as a model sees it that is fitted on those before: median imputation, then the learner."""
+    rows = holdout(rows)
+    filled = [f"{c}__filled" for c in names]
+    stages = [Imputer(strategy="median", inputCols=names, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features"), learner]
+    return Pipeline(stages=stages).fit(rows.where("split = 'train'")).transform(rows.where("split = 'validation'"))
+
+
+def cards_report(features: DataFrame, totals: DataFrame) -> DataFrame:
+    """n, mae, rmse, deviance, bias of a Poisson model of a match's total_cards (totals: match_id, total_cards).
+
+    Rows without a total are left out. Held out is the last fifth of timestamps, so that a kickoff isn't in both parts.
+    """
+    names = [f"{v}_cards_avg_{n}" for v in ("home", "away") for n in (5, 10)]
+    rows = features.join(totals.where("total_cards is not null").select("match_id", F.col("total_cards").cast("double").alias("total_cards")), "match_id")
+    rows = rows.select("match_date", "total_cards", *[F.col(c).cast("double").alias(c) for c in names])
+    learner = GeneralizedLinearRegression(family="poisson", link="log", regParam=0.1, labelCol="total_cards", predictionCol="p", maxIter=25)
+    held, error = _held(rows, learner, names), F.col("p") - F.col("total_cards")
+    return held.agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(deviance(F.col("total_cards"), F.col("p"))).alias("deviance"), F.avg(error).alias("bias")
+    )
+
+
+def scorer_rows(appearances: DataFrame) -> DataFrame:
+    """match_id, match_date, player_id, scored, and of the player's appearances before this kickoff: games, goals_avg,
+    minutes_avg, cards_avg (null without any). appearances: match_id, match_date, player_id, minutes, goals, cards."""
+    own = Window.partitionBy("player_id").orderBy(micros("match_date")).rangeBetween(Window.unboundedPreceding, -1)
+    before = {"games": F.count(F.lit(1)).over(own).cast("double"), **{f"{c}_avg": F.avg(c).over(own) for c in ("goals", "minutes", "cards")}}
+    rows = appearances.withColumns(before).withColumn("scored", (F.col("goals") > 0).cast("double"))
+    return rows.select("match_id", "match_date", "player_id", "scored", *before)
+
+
+def scorer_report(appearances: DataFrame) -> DataFrame:
+    """n, brier, log_loss, base_brier of a logistic model of who scores, on the last fifth of timestamps; base_brier is that
+    of the share that scores there."""
+    names = ["games", "goals_avg", "minutes_avg", "cards_avg"]
+    held = _held(scorer_rows(appearances), LogisticRegression(labelCol="scored", maxIter=100), names)
+    p = F.least(F.greatest(vector_to_array("probability")[1], F.lit(1e-15)), F.lit(1 - 1e-15))
+    y = F.col("scored")
+    share = F.avg(y)
+    return held.agg(F.count(F.lit(1)).alias("n"), F.avg((p - y) * (p - y)).alias("brier"), F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"), (share * (1 - share)).alias("base_brier"))

@@ -150,3 +150,32 @@ def recent_grades(spark, d):
     matches = adapter.matches(spark, d)
     rows = grading.recent(grading.outcomes(base._predictions(spark, d), matches, adapter.team_statistics(spark, d)), matches)
     return rows.select("match_id", F.date_format("match_date", "yyyy-MM-dd").alias("day"), "home_team_id", "away_team_id", "score", "status")
+
+
+@query()
+def cards_model(spark, d):
+    from pitchlake.operators import models
+
+    features = base._features(spark, d, ("cards_avg_5", "cards_avg_10"))
+    return models.cards_report(features, grading.actual_totals(adapter.team_statistics(spark, d)))
+
+
+def _appearances(spark, d):
+    done = adapter.matches(spark, d).where("status = 'finished'").select("match_id", "match_date")
+    return adapter.player_matches(spark, d).join(done, "match_id")
+
+
+@query()
+def scorer_model(spark, d):
+    from pitchlake.operators import models
+
+    return models.scorer_report(_appearances(spark, d))
+
+
+@query("""SELECT p.match_id, player_id, CAST(goals > 0 AS DOUBLE) AS scored, CAST(count(*) OVER w AS DOUBLE) AS games, round(avg(goals) OVER w, 6) AS goals_avg, round(avg(minutes) OVER w, 6) AS minutes_avg, round(avg(cards) OVER w, 6) AS cards_avg
+FROM player_matches p JOIN matches m ON m.match_id = p.match_id WHERE status = 'finished' WINDOW w AS (PARTITION BY player_id ORDER BY match_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)""")
+def scorer_features(spark, d):
+    from pitchlake.operators import models
+
+    rows = models.scorer_rows(_appearances(spark, d))
+    return rows.select("match_id", "player_id", "scored", "games", *[F.round(c, 6).alias(c) for c in ("goals_avg", "minutes_avg", "cards_avg")])
