@@ -22,14 +22,16 @@ def homonyms(asked: DataFrame, known: DataFrame) -> DataFrame:
     """asked (record_id, name, birth_date) with player_id and resolution against known (player_id, name, birth_date).
 
     One player of the name with that birth date, or none with another and one without a date: matched. Several: ambiguous.
-    Only players of other birth dates, or none of the name: new.
+    Only players of other birth dates, or none of the name: new. Players are counted by name and by date before the joins,
+    so that no pairs of a frequent name are formed.
     """
-    a = asked.alias("a").join(known.alias("k"), F.col("a.name") == F.col("k.name"), "left")
-    same = F.col("a.birth_date") == F.col("k.birth_date")
-    blank = F.col("k.player_id").isNotNull() & (F.col("k.birth_date").isNull() | F.col("a.birth_date").isNull())
-    per = a.groupBy("a.record_id").agg(
-        F.count_if(same).alias("n_same"), F.count_if(blank).alias("n_blank"), F.min(F.when(same, F.col("k.player_id"))).alias("id_same"), F.min(F.when(blank, F.col("k.player_id"))).alias("id_blank")
-    )
+    undated = F.col("birth_date").isNull()
+    counts = [F.count(F.lit(1)).alias("n_all"), F.min("player_id").alias("id_all"), F.count_if(undated).alias("n_none"), F.min(F.when(undated, F.col("player_id"))).alias("id_none")]
+    by_name = known.groupBy("name").agg(*counts)
+    by_date = known.groupBy("name", "birth_date").agg(F.count(F.lit(1)).alias("n_same"), F.min("player_id").alias("id_same"))
+    rows = asked.select("record_id", "name", "birth_date").join(by_name, "name", "left").join(by_date, ["name", "birth_date"], "left")
+    blank = {f"{c}_blank": F.when(undated, F.col(f"{c}_all")).otherwise(F.col(f"{c}_none")) for c in ("n", "id")}
+    per = rows.withColumns(blank)
     kind = F.when(F.col("n_same") == 1, "matched").when(F.col("n_same") > 1, "ambiguous").when(F.col("n_blank") == 1, "matched").when(F.col("n_blank") > 1, "ambiguous").otherwise("new")
     player = F.when(kind == "matched", F.coalesce("id_same", "id_blank"))
     return per.select("record_id", kind.alias("resolution"), player.alias("player_id"))

@@ -91,10 +91,11 @@ def match_conflicts(spark, d):
     return rows.select("match_id", "hg", "ag", "hht", "aht", "venue", "status", F.size("conflicts").cast("long").alias("n_conflicts"), F.array_join("half_pairs", ",").alias("half_pairs"))
 
 
-@query("SELECT coalesce(s.match_id, i.match_id) AS match_id, coalesce(i.hg, s.hg) AS hg, coalesce(i.hht, s.hht) AS hht, coalesce(i.venue, s.venue) AS venue FROM (SELECT * FROM stored WHERE match_id % 2 = 0) s FULL JOIN (SELECT * FROM second WHERE match_id % 3 = 0) i ON i.match_id = s.match_id", SECOND)
+@query("SELECT coalesce(s.match_id, i.match_id) AS match_id, coalesce(i.hg, s.hg) AS hg, coalesce(i.hht, s.hht) AS hht, coalesce(i.venue, s.venue) AS venue FROM stored s FULL JOIN (SELECT * REPLACE (CASE WHEN match_id % 3 = 0 THEN -match_id - 1 ELSE match_id END AS match_id) FROM second) i ON i.match_id = s.match_id", SECOND)
 def upsert_known(spark, d):
     keep = ["match_id", "hg", "hht", "venue"]
-    return consolidate.upsert(_stored(spark, d).where("match_id % 2 = 0").select(*keep), _second_source(spark, d).where("match_id % 3 = 0").select(*keep), ["match_id"])
+    told = _second_source(spark, d).withColumn("match_id", F.expr("if(match_id % 3 = 0, -match_id - 1, match_id)"))
+    return consolidate.upsert(_stored(spark, d).select(*keep), told.select(*keep), ["match_id"])
 
 
 @query("""SELECT match_id, unnest(list_filter([CASE WHEN (hg IS NULL) <> (ag IS NULL) THEN 'half_full_time_pair' END, CASE WHEN (hht IS NULL) <> (aht IS NULL) THEN 'half_half_time_pair' END, CASE WHEN hht > hg OR aht > ag THEN 'half_time_above_full_time' END,
@@ -359,12 +360,12 @@ def catalog_fill(spark, d):
   CASE WHEN n_same = 1 THEN id_same WHEN n_same = 0 AND n_blank = 1 THEN id_blank END AS player_id FROM (
   SELECT a.p_partkey AS record_id, count(*) FILTER (WHERE a.b = k.b) AS n_same, count(*) FILTER (WHERE k.p_partkey IS NOT NULL AND (k.b IS NULL OR a.b IS NULL)) AS n_blank, min(k.p_partkey) FILTER (WHERE a.b = k.b) AS id_same,
     min(k.p_partkey) FILTER (WHERE k.p_partkey IS NOT NULL AND (k.b IS NULL OR a.b IS NULL)) AS id_blank
-  FROM (SELECT p_partkey, p_brand || p_type AS name, CASE WHEN p_size % 7 <> 0 THEN p_size END AS b FROM part WHERE p_partkey % 4 = 0) a
-  LEFT JOIN (SELECT p_partkey, p_brand || p_type AS name, CASE WHEN p_size % 5 <> 0 THEN p_size END AS b FROM part WHERE p_partkey % 4 = 1) k ON a.name = k.name GROUP BY a.p_partkey)""", None)
+  FROM (SELECT p_partkey, p_brand || p_type AS name, CASE WHEN p_size % 7 <> 0 THEN p_size END AS b FROM part WHERE p_partkey % 2 = 0) a
+  LEFT JOIN (SELECT p_partkey, p_brand || p_type AS name, CASE WHEN p_size % 5 <> 0 THEN p_size END AS b FROM part WHERE p_partkey % 2 = 1) k ON a.name = k.name GROUP BY a.p_partkey)""", None)
 def homonym_players(spark, d):
     part = adapter.table(spark, d, "part").withColumn("name", F.concat("p_brand", "p_type"))
-    asked = part.where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("record_id"), "name", F.when(F.col("p_size") % 7 != 0, F.col("p_size")).alias("birth_date"))
-    known = part.where("p_partkey % 4 = 1").select(F.col("p_partkey").alias("player_id"), "name", F.when(F.col("p_size") % 5 != 0, F.col("p_size")).alias("birth_date"))
+    asked = part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("record_id"), "name", F.when(F.col("p_size") % 7 != 0, F.col("p_size")).alias("birth_date"))
+    known = part.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("player_id"), "name", F.when(F.col("p_size") % 5 != 0, F.col("p_size")).alias("birth_date"))
     return enrich.homonyms(asked, known)
 
 

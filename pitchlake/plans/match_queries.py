@@ -159,9 +159,9 @@ def lambda_estimates(spark, d):
     return _rounded(_rates(spark, d), ["match_id"], ["lambda_home", "lambda_away"])
 
 
-@query("SELECT m.match_id, CAST(home_goals AS BIGINT) AS home_goals, CAST(away_goals AS BIGINT) AS away_goals, round(p, 6) AS probability FROM matrix m JOIN matches USING (match_id) WHERE status = 'scheduled' AND home_goals < 6 AND away_goals < 6", RATES)
+@query("SELECT m.match_id, CAST(home_goals AS BIGINT) AS home_goals, CAST(away_goals AS BIGINT) AS away_goals, round(p, 6) AS probability FROM matrix m JOIN matches USING (match_id) WHERE home_goals < 6 AND away_goals < 6", RATES)
 def score_matrix(spark, d):
-    rows = poisson.score_matrix(_rates(spark, d).where("status = 'scheduled'"))
+    rows = poisson.score_matrix(_rates(spark, d))
     return rows.select("match_id", F.col("home_goals").cast("long").alias("home_goals"), F.col("away_goals").cast("long").alias("away_goals"), F.round("probability", 6).alias("probability"))
 
 

@@ -111,12 +111,11 @@ def event_append(spark, d):
 
 
 @query("""SELECT match_id, player_id, CASE WHEN old IS NULL OR y > 0 THEN coalesce(cards, 0) + coalesce(y, 0) ELSE cards END AS yellow_cards, CASE WHEN r > 0 THEN coalesce(r, 0) WHEN old IS NULL THEN 0 END AS red_cards FROM
-  (SELECT match_id, player_id, CASE WHEN player_id % 2 = 0 THEN cards END AS cards, true AS old FROM player_matches WHERE match_id % 3 <> 0) s FULL JOIN
-  (SELECT l_orderkey AS match_id, l_partkey AS player_id, count(*) FILTER (WHERE l_tax >= 0.05) AS y, count(*) FILTER (WHERE l_discount >= 0.09) AS r FROM lineitem WHERE l_tax >= 0.05 OR l_discount >= 0.09 GROUP BY ALL) m USING (match_id, player_id)""")
+  (SELECT match_id, player_id, CASE WHEN player_id % 2 = 0 THEN cards END AS cards, true AS old FROM player_matches) s FULL JOIN
+  (SELECT CASE WHEN l_orderkey % 3 = 0 THEN -l_orderkey - 1 ELSE l_orderkey END AS match_id, l_partkey AS player_id, count(*) FILTER (WHERE l_tax >= 0.05) AS y, count(*) FILTER (WHERE l_discount >= 0.09) AS r FROM lineitem WHERE l_tax >= 0.05 OR l_discount >= 0.09 GROUP BY ALL) m USING (match_id, player_id)""")
 def card_counters(spark, d):
-    held = adapter.player_matches(spark, d).where("match_id % 3 <> 0")
-    held = held.select("match_id", "player_id", F.when(F.col("player_id") % 2 == 0, F.col("cards")).alias("yellow_cards"), F.lit(None).cast("long").alias("red_cards"))
-    shown = adapter.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("match_id"), F.col("l_partkey").alias("player_id"), (F.col("l_tax") >= 0.05).alias("yellow"), (F.col("l_discount") >= 0.09).alias("red"))
+    held = adapter.player_matches(spark, d).select("match_id", "player_id", F.when(F.col("player_id") % 2 == 0, F.col("cards")).alias("yellow_cards"), F.lit(None).cast("long").alias("red_cards"))
+    shown = adapter.table(spark, d, "lineitem").select(F.expr("if(l_orderkey % 3 = 0, -l_orderkey - 1, l_orderkey)").alias("match_id"), F.col("l_partkey").alias("player_id"), (F.col("l_tax") >= 0.05).alias("yellow"), (F.col("l_discount") >= 0.09).alias("red"))
     return decisions.with_cards(held, shown.where("yellow or red"))
 
 

@@ -83,3 +83,12 @@ def test_scorer_model_beats_the_share(spark):
     days = spark.range(0, 40 * 30).selectExpr("id % 40 as match_id", "timestamp_ntz'2024-01-01 15:00:00' + make_dt_interval(cast(id % 40 as int)) as match_date", "id div 40 as player_id", "90L as minutes", "if(id div 40 < 10, 1L, 0L) as goals", "0L as cards")
     report = models.scorer_report(days).first()
     assert report.n == 8 * 30 and report.brier < report.base_brier / 4
+
+
+def test_homonyms(spark):
+    from pitchlake.operators import enrich
+
+    known = spark.createDataFrame([(1, "a", 5), (2, "a", 6), (3, "a", None), (4, "b", 5), (5, "b", 5), (6, "c", 7), (7, "d", None), (8, "d", None), (9, None, 5)], "player_id long, name string, birth_date int")
+    asked = [(1, "a", 5), (2, "a", 9), (3, "a", None), (4, "b", 5), (5, "b", 6), (6, "c", None), (7, "d", 1), (8, "e", 1), (9, None, 5)]
+    got = {r.record_id: (r.resolution, r.player_id) for r in enrich.homonyms(spark.createDataFrame(asked, "record_id long, name string, birth_date int"), known).collect()}
+    assert got == {1: ("matched", 1), 2: ("matched", 3), 3: ("ambiguous", None), 4: ("ambiguous", None), 5: ("new", None), 6: ("matched", 6), 7: ("ambiguous", None), 8: ("new", None), 9: ("new", None)}
