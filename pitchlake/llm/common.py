@@ -126,3 +126,25 @@ def gapless(df: DataFrame, parts: list[str], order: list[Column], salt: Column,
     within = F.row_number().over(Window.partitionBy(*parts, "_salt").orderBy(*order)) - 1
     numbered = df.withColumn("_within", within).join(starts, [*parts, "_salt"])
     return numbered.withColumn(out, F.col("_start") + F.col("_within")).drop("_start", "_within", "_salt")
+
+
+def before(cells: DataFrame, cell: str, out: str, bits: int = 16) -> DataFrame:
+    """cells (distinct longs, a null among them) with out, the next smaller one; the least gets the greatest one.
+
+    A null is less than all. Cells are ordered within ranges of 2^bits; the first of a range follows the greatest of the
+    range before, found the same way one level up. No task orders more than 2^bits cells, at the top 2^(64 - 3 * bits).
+    """
+    rows = cells.withColumn("_key", F.coalesce(F.col(cell), F.lit(-(1 << 62))))
+    level = rows.select(F.col("_key").alias("_id"), F.shiftright("_key", bits).alias("_up"), F.col("_key").alias("_most"))
+    levels = []
+    for k in range(3):
+        levels.append(level.withColumn("_prev", F.lag("_most").over(Window.partitionBy("_up").orderBy("_id"))))
+        level = level.groupBy("_up").agg(F.max("_most").alias("_most")).select(F.col("_up").alias("_id"), (F.shiftright("_up", bits) if k < 1 else F.lit(0)).alias("_up"), "_most")
+    found = levels[2]
+    top = found.agg(F.max("_most").alias("_last"))
+    found = found.join(F.broadcast(top), F.lit(True)).select("_id", F.coalesce("_prev", "_last").alias("_prev"))
+    for lower in (levels[1], levels[0]):
+        up = found.select(F.col("_id").alias("_over"), F.col("_prev").alias("_far"))
+        found = lower.join(up, F.col("_up") == F.col("_over")).select("_id", F.coalesce("_prev", "_far").alias("_prev"))
+    found = found.select(F.col("_id").alias("_key"), F.when(F.col("_prev") > -(1 << 62), F.col("_prev")).alias(out))
+    return rows.join(found, "_key").drop("_key")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchlake.llm import bm25_search, bpe, conversation_repair, html_text, jaccard_join, line_dedup, mixing, mixing_lm, quality_model, quality_rules, sharding
+from pitchlake.llm import bm25_search, bpe, conversation_repair, fingerprints, html_text, jaccard_join, line_dedup, mixing, mixing_lm, quality_model, quality_rules, sharding
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_bpe": bpe.op10_bpe,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_fingerprints": fingerprints.op13_fingerprints,
     "pipeline": _pipeline,
 }
 
@@ -35,4 +36,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_bm25": bm25_search.SQL,
     "op9_line_dedup": line_dedup.SQL,
     "op12_conversation_repair": conversation_repair.SQL,
+    "op13_fingerprints": fingerprints.SQL,
 }
