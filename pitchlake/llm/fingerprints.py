@@ -14,7 +14,7 @@ from pitchlake.llm.common import before as cell_before
 WORDS, SHARE, DIGITS = 5, 0.25, 12
 #: doc_ids of a cell whose documents one task puts in order.
 CELL_BITS = 10
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+UPPER, LOWER, WHITE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "\t\n\x0b\x0c\r"
 
 
 def limit(share: float = SHARE) -> str:
@@ -33,18 +33,21 @@ def sketch(text: Column, share: float = SHARE) -> Column:
     A-Z count as a-z; a text of fewer words is one shingle, one without words (null, empty) has no hash. The sketch of
     several texts together follows from theirs alone, see merged().
     """
-    words = F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    words = F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER + WHITE, LOWER + " " * len(WHITE)), " "), lambda w: w != "")
 
     def hashes(w: Column) -> Column:
         starts = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.greatest(F.size(w) - (WORDS - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda at: F.left(F.md5(F.array_join(F.slice(w, at, WORDS), " ")), F.lit(DIGITS)))
+        return F.transform(starts, lambda at: F.md5(F.array_join(F.slice(w, at, WORDS), " ")))
 
     return bound(words, lambda w: bound(hashes(w), lambda h: kept(h, share)))
 
 
 def kept(hashes: Column, share: float = SHARE) -> Column:
+    """The first digits of the hashes below share, or of the least one, sorted and distinct."""
+
     def some(low: Column) -> Column:
-        return F.array_sort(F.array_distinct(F.when(F.size(low) > 0, low).when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(low)))
+        least = F.when(F.size(low) > 0, low).when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(low)
+        return F.array_sort(F.array_distinct(F.transform(least, lambda h: F.left(h, F.lit(DIGITS)))))
 
     return bound(F.filter(hashes, lambda h: h < limit(share)), some)
 
