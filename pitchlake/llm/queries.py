@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchlake.llm import bm25_search, bpe, conversation_repair, fingerprints, html_text, jaccard_join, line_dedup, mixing, mixing_lm, quality_model, quality_rules, sharding
+from pitchlake.llm import bm25_search, bpe, conversation_repair, fingerprints, html_text, jaccard_join, line_dedup, merkle_manifest, mixing, mixing_lm, quality_model, quality_rules, sharding
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing_lm": mixing_lm.op8_mixing_lm,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_bpe": bpe.op10_bpe,
+    "op11_merkle": merkle_manifest.op11_merkle,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
     "op13_fingerprints": fingerprints.op13_fingerprints,
     "pipeline": _pipeline,
@@ -35,6 +36,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_jaccard": jaccard_join.SQL,
     "op7_bm25": bm25_search.SQL,
     "op9_line_dedup": line_dedup.SQL,
+    "op11_merkle": merkle_manifest.SQL,
     "op12_conversation_repair": conversation_repair.SQL,
     "op13_fingerprints": fingerprints.SQL,
 }
