@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitchlake.llm.common import few, fresh, stash, table
+from pitchlake.llm.common import few, fresh, table
 from pitchlake.llm.common import before as cell_before
 
 #: Words of a shingle, share of hashes kept, hexadecimal digits kept of a hash.
@@ -98,10 +98,30 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - n), F.substring(following, F.lit(1), n))
 
 
+def packed(hashes: Column) -> Column:
+    """A sketch as bytes, a quarter of the array's size."""
+    return F.unhex(F.array_join(hashes, ""))
+
+
+def unpacked(column: Column) -> Column:
+    size = DIGITS // 2
+
+    def pieces(data: Column) -> Column:
+        starts = F.when(F.length(data) > 0, F.sequence(F.lit(1), F.length(data), F.lit(size))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda at: F.lower(F.hex(F.substring(data, at, F.lit(size)))))
+
+    return bound(column, pieces)
+
+
 def fingerprints(docs: DataFrame, share: float = SHARE) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, text, sketch, next_text and next_sketch, null texts as empty ones."""
+    """Per row of docs (doc_id, text): doc_id, text, sketch, next_text and next_sketch, null texts as empty ones.
+
+    Texts and packed sketches are shuffled once, by cell.
+    """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return with_next(rows.withColumn("sketch", sketch(F.col("text"), share)), ["text", "sketch"])
+    rows = rows.select("doc_id", "text", F.explode(F.array(packed(sketch(F.col("text"), share)))).alias("_sketch"))
+    rows = with_next(rows, ["text", "_sketch"])
+    return rows.select("doc_id", "text", unpacked(F.col("_sketch")).alias("sketch"), "next_text", unpacked(F.col("next__sketch")).alias("next_sketch"))
 
 
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,8 +133,9 @@ def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     rows = fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
     rows = rows.withColumn("_edited", edited(F.col("text"), F.col("next_text")))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"), "sketch", "next_sketch", sketch(F.col("_edited")).alias("edited_sketch"))
-    rows = stash(rows, "sketches")
+    # A generator is never merged with what uses its columns, so each sketch is computed once a row.
+    sketches = F.struct("sketch", "next_sketch", sketch(F.col("_edited")).alias("edited_sketch"))
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"), F.inline(F.array(sketches)))
     out = {
         "fingerprint": F.array_join("sketch", ","), "edited_fingerprint": F.array_join("edited_sketch", ","),
         "near_edited": jaccard(F.col("sketch"), F.col("edited_sketch")), "near_next": jaccard(F.col("sketch"), F.col("next_sketch")),
