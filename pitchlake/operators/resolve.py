@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -28,30 +28,53 @@ def exact(names: DataFrame, aliases: DataFrame) -> DataFrame:
     return rows.withColumn("resolution", kind).withColumn("entity_id", F.when(F.col("n_ids") == 1, F.col("entity_id"))).drop("n_ids")
 
 
-def _letters(key: Column) -> Column:
-    """The letters of a key, each with its number among equal ones, so that what two arrays share counts repeated letters."""
-    letters = F.split(key, "")
-    return F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, 1, i + 1), lambda x: x == c)).cast("string")))
+def _numbered_letters(keys: DataFrame) -> DataFrame:
+    """key, token of distinct keys: each letter with its number among equal ones, so that shared tokens count repeated letters."""
+    letters = keys.select("key", F.explode(F.split("key", "")).alias("letter")).groupBy("key", "letter").agg(F.count(F.lit(1)).alias("n"))
+    numbered = F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda k: F.concat("letter", k.cast("string")))
+    return letters.select("key", F.explode(numbered).alias("token"))
+
+
+def _index(keys: DataFrame, order: DataFrame, review: float) -> DataFrame:
+    """key, _tokens (rarest first), and a row for each of the first tokens, one of which a key shares with all that are
+    like it: _token and its place _at, from 0."""
+    rows = _numbered_letters(keys).join(order, "token")
+    rows = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("_tokens"))
+    rows = rows.select("key", F.col("_tokens.token").alias("_tokens"))
+    n = F.size("_tokens")
+    least = F.ceil(review / (2 - review) * n - 1e-6)  # of tokens shared, with the shortest key that can reach review
+    first = F.slice("_tokens", F.lit(1), (n - least + 1).cast("int"))
+    return rows.select("*", F.posexplode(first).alias("_at", "_token"))
+
+
+def candidate_pairs(names: DataFrame, others: DataFrame, review: float = REVIEW) -> DataFrame:
+    """key, other: the pairs of keys of names and others that share enough letters to reach review; no pair is lost.
+
+    Matching blocks have no more letters than both keys share, so a pair needs review / 2 of both lengths in common. Keys
+    are indexed by their rarest numbered letters: of two that share t of their tokens, each in one order, the first shared
+    one is at least t - 1 places from either end. Pairs meet at that token only, so none comes twice.
+    """
+    left, right = (k.select("key").where("key is not null and key <> ''").distinct() for k in (names, others))
+    order = _numbered_letters(left).unionByName(_numbered_letters(right)).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    asked = _index(left, order, review)
+    known = _index(right, order, review).select(F.col("key").alias("other"), F.col("_tokens").alias("_others"), F.col("_at").alias("_there"), "_token")
+    a, b = F.size("_tokens"), F.size("_others")
+    need = F.lit(review / 2) * (a + b) - 1e-6
+    met = asked.join(known, "_token").where((a - F.col("_at") >= need) & (b - F.col("_there") >= need))
+    shared = F.array_intersect("_tokens", "_others")
+    return met.where((F.size(shared) >= need) & (F.get(shared, 0) == F.col("_token"))).select("key", "other")
 
 
 def fuzzy(names: DataFrame, candidates: DataFrame, auto: float = AUTO, margin: float = MARGIN, review: float = REVIEW, keep: int = 5) -> DataFrame:
     """key, resolution, entity_id, best, second, candidates: each distinct key against all candidates that can reach review.
 
-    Matching blocks have no more letters than both keys share, so pairs with 2 * shared letters below review * (sum of
-    lengths) are left out without loss; the lengths that can reach it are a join by equality. best and second are null
-    below review. best = 1: exact; best >= auto and margin over the second entity: fuzzy_approved; best >= review:
+    Only candidate_pairs() are compared, each pair of keys once. best and second are null below review. best = 1: exact; best >= auto and margin over the second entity: fuzzy_approved; best >= review:
     manual_review; else unmatched. The `keep` best entities are listed.
     """
     left = names.select("key").where("key is not null").distinct()
-    right = candidates.select(F.col("key").alias("_other"), "entity_id").where("key is not null").distinct()
-    a, b = F.length("key"), F.length("_other")
-    ratio = review / (2 - review)
-    lengths = F.sequence(F.ceil(a * ratio - 1e-6).cast("int"), F.floor(a / ratio + 1e-6).cast("int"))
-    asked = left.withColumn("_letters", _letters(F.col("key"))).withColumn("_length", F.explode(lengths))
-    known = right.withColumns({"_others": _letters(F.col("_other")), "_length": b})
-    shared = F.size(F.array_intersect("_letters", "_others"))
-    pairs = asked.join(known, "_length").where(2 * shared >= review * (a + b) - 1e-6).select("key", "_other", "entity_id")
-    scored = pairs.withColumn("score", likeness("key", "_other")).groupBy("key", "entity_id").agg(F.max("score").alias("score")).where(F.col("score") >= review)
+    right = candidates.select(F.col("key").alias("other"), "entity_id").where("key is not null").distinct()
+    likely = candidate_pairs(left, candidates, review).withColumn("score", likeness("key", "other"))
+    scored = likely.join(right, "other").groupBy("key", "entity_id").agg(F.max("score").alias("score")).where(F.col("score") >= review)
     order = Window.partitionBy("key").orderBy(F.desc("score"), "entity_id")
     top = scored.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= keep)
     best = top.groupBy("key").agg(

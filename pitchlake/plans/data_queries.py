@@ -250,7 +250,21 @@ def exact_resolution(spark, d):
     return resolve.exact(names_, aliases).select("c_custkey", "key", "resolution", "entity_id")
 
 
-@query()
+LCP = "list_transform(range(1, length(y) + 1), lambda j: {'k': len(list_filter(range(1, least(length(x) - i, length(y) - j) + 2), lambda k: x[i:i + k - 1] = y[j:j + k - 1])), 'i': -i, 'j': -j})"
+
+
+@query(f"""SELECT key, CASE WHEN best = 1 AND second IS DISTINCT FROM 1 THEN 'exact' WHEN best >= {resolve.AUTO} AND best - coalesce(second, 0.0) >= {resolve.MARGIN} THEN 'fuzzy_approved'
+  WHEN best >= {resolve.REVIEW} THEN 'manual_review' ELSE 'unmatched' END AS resolution, CASE WHEN resolution IN ('exact', 'fuzzy_approved') THEN first_id END AS entity_id, round(best, 6) AS best, round(second, 6) AS second
+FROM (SELECT key, max(score) FILTER (WHERE nth = 1) AS best, max(score) FILTER (WHERE nth = 2) AS second, max(entity_id) FILTER (WHERE nth = 1) AS first_id
+  FROM (SELECT key, entity_id, score, row_number() OVER (PARTITION BY key ORDER BY score DESC, entity_id) AS nth FROM scored
+    UNION ALL SELECT key, NULL, NULL, NULL FROM asked) GROUP BY key)""", f"""RECURSIVE names AS (SELECT p_name AS name, min(p_partkey) AS entity_id FROM part GROUP BY p_name),
+asked AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN left(p_name, length(p_name) - 1) ELSE replace(p_name, 'e', 'a') END AS key FROM part),
+blocks AS (
+  SELECT key, name, key AS x, name AS y, CAST(0 AS BIGINT) AS matched FROM asked CROSS JOIN names
+  UNION ALL
+  SELECT key, name, CASE side WHEN 0 THEN left(x, -m.i - 1) ELSE x[-m.i + m.k:] END, CASE side WHEN 0 THEN left(y, -m.j - 1) ELSE y[-m.j + m.k:] END, CASE side WHEN 0 THEN m.k ELSE 0 END
+  FROM (SELECT *, unnest([0, 1]) AS side FROM (SELECT *, list_max(flatten(list_transform(range(1, length(x) + 1), lambda i: {LCP}))) AS m FROM blocks WHERE x <> '' AND y <> '') WHERE m.k > 0)),
+scored AS (SELECT key, entity_id, 2.0 * sum(matched) / (length(key) + length(name)) AS score FROM blocks JOIN names USING (name) GROUP BY key, name, entity_id HAVING score >= {resolve.REVIEW})""")
 def fuzzy_resolution(spark, d):
     part = adapter.table(spark, d, "part").select("p_partkey", "p_name")
     known = part.groupBy("p_name").agg(F.min("p_partkey").alias("entity_id")).select(F.col("p_name").alias("key"), "entity_id")

@@ -43,3 +43,23 @@ def test_names_of_all_kinds_agree_with_all_pairs(spark):
     asked = [*names[1::2], names[0], "x"]
     rows = resolve.fuzzy(spark.createDataFrame([(a,) for a in asked], "key string"), spark.createDataFrame(known, "key string, entity_id long")).collect()
     assert {r.key: (r.resolution, r.entity_id, r.best and round(r.best, 6), r.second and round(r.second, 6)) for r in rows} == brute(asked, known)
+
+
+def name_rows(spark, n, seed=1):
+    """Club-like names: two invented words and at times a suffix."""
+    rng = random.Random(seed)
+    syllables = [a + b for a in "bcdfghjklmnprstvwz" for b in ("a", "en", "io", "ur", "ost", "y")]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(2, 4)))
+    names = [f"{word()} {word()}{rng.choice(['', ' fc', ' united'])}" for _ in range(n)]
+    return spark.createDataFrame([(k,) for k in names], "key string")
+
+
+def test_candidates_lose_no_pair_and_are_few(spark):
+    names, known = name_rows(spark, 120), name_rows(spark, 150, seed=2)
+    pairs = {(r.key, r.other) for r in resolve.candidate_pairs(names, known).collect()}
+    left, right = ({r.key for r in df.collect()} for df in (names, known))
+    like = {(a, b) for a in left for b in right if SequenceMatcher(None, a, b, autojunk=False).ratio() >= resolve.REVIEW}
+    assert like <= pairs and len(pairs) < 0.2 * len(left) * len(right)
+    assert resolve.candidate_pairs(names, known).count() == len(pairs)
+    strict = {(r.key, r.other) for r in resolve.candidate_pairs(names, known, review=0.94).collect()}
+    assert {p for p in like if SequenceMatcher(None, *p, autojunk=False).ratio() >= 0.94} <= strict and len(strict) < 0.02 * len(pairs) + 5
