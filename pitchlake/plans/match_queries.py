@@ -149,6 +149,13 @@ def elo_ratings(spark, d):
     return _rounded(rating.elo_ratings(_matches(spark, d)), ["match_id"], ["home_elo", "away_elo", "elo_difference", "home_elo_expected_result"])
 
 
+@query("SELECT match_id, false AS late, round(home_elo, 6) AS home_elo, round(away_elo, 6) AS away_elo, round(1 / (1 + power(10.0, (away_elo - (home_elo + 65)) / 400)), 6) AS home_elo_expected_result FROM elo", f"{BASE},{rating.SQL}", True)
+def elo_stream(spark, d):
+    from pitchlake.streaming import elo
+
+    return _rounded(elo.caught_up(spark, _matches(spark, d)), ["match_id", "late"], ["home_elo", "away_elo", "home_elo_expected_result"])
+
+
 @query("SELECT match_id FROM features WHERE home_history_max_date >= match_date OR away_history_max_date >= match_date", FORM)
 def leakage_audit(spark, d):
     return history.leaks(_features(spark, d)).select("match_id")
