@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitchlake.operators import prefix
 from pitchlake.operators.history import micros
 
 
@@ -57,6 +58,6 @@ def bounded(payload: Column, most: int = 65_536) -> Column:
 
 def demo_in_history(matches: DataFrame) -> DataFrame:
     """match_id, history_contains_demo: whether a finished demo match of the competition came strictly before."""
-    before = Window.partitionBy("competition_id").orderBy(micros()).rangeBetween(Window.unboundedPreceding, -1)
-    demo = F.when(F.col("is_demo") & (F.col("status") == "finished"), 1).otherwise(0)
-    return matches.select("match_id", (F.coalesce(F.max(demo).over(before), F.lit(0)) == 1).alias("history_contains_demo"))
+    demo = F.when(F.col("is_demo") & (F.col("status") == "finished"), 1)
+    found = prefix.with_sums_before(matches.select("match_id", "competition_id", "match_date", "is_demo", "status"), ["competition_id"], micros(), {"n": demo})
+    return found.select("match_id", (F.col("n") > 0).alias("history_contains_demo"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitchlake.operators import prefix
 from pitchlake.operators.history import micros
 
 
@@ -56,11 +57,11 @@ def calibration_error(rows: DataFrame, probability: str, happened: Column, bins:
 
 
 def _ranked(rows: DataFrame, date: str) -> DataFrame:
-    """rows with the rank of their timestamp among the distinct ones and their number: days are few, rows are many."""
+    """rows with the rank of their timestamp among the distinct ones (g) and the number of those (groups)."""
     days = rows.select(date).distinct()
-    order = Window.orderBy(micros(date))
-    days = days.withColumns({"g": (F.row_number().over(order) - 1).cast("long"), "groups": F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))})
-    return rows.join(days, date)
+    places = prefix.with_sums_before(days, [], micros(date), {"g": F.lit(1)})
+    many = days.agg(F.count(F.lit(1)).alias("groups"))  # one row
+    return rows.join(places.join(F.broadcast(many), F.lit(True)), date)
 
 
 def chronological_split(rows: DataFrame, date: str = "match_date", train: float = 0.70, validation: float = 0.15) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitchlake.operators import prefix
+
 METRICS = ("goals_for", "goals_against", "shots", "shots_on_target", "corners", "cards", "fouls", "points", "clean_sheet", "scored", "over_2_5", "both_teams_scored")
 DECAYED = ("goals_for", "goals_against", "shots_on_target", "corners", "cards", "points")
 COMPLETENESS = ("shots", "shots_on_target", "corners", "cards", "fouls")
@@ -65,9 +67,8 @@ def venue_history(sides: DataFrame) -> DataFrame:
 
 def league_priors(matches: DataFrame) -> DataFrame:
     """matches with the competition's number of finished matches and goal means strictly before each kickoff."""
-    before = Window.partitionBy("competition_id").orderBy(micros()).rangeBetween(Window.unboundedPreceding, -1)
-    n, home, away = F.count("hg").over(before), F.sum("hg").over(before), F.sum("ag").over(before)
-    rows = matches.withColumns({"league_prior_matches": n, "_home": home, "_away": away})
+    known = F.when(F.col("hg").isNotNull(), 1)
+    rows = prefix.with_sums_before(matches, ["competition_id"], micros(), {"league_prior_matches": known, "_home": F.col("hg"), "_away": F.col("ag")})
     some = F.col("league_prior_matches") > 0
     return rows.withColumns({
         "league_home_goals_avg": F.when(some, F.col("_home") / F.col("league_prior_matches")),
@@ -79,28 +80,37 @@ def league_priors(matches: DataFrame) -> DataFrame:
 def side_features(sides: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
     """Per match and side: history_matches, days_rest, known share, means of the last 3, 5 and 10, decayed means.
 
-    only: the names of the means wanted, all by default; what isn't asked for isn't planned. Means are window averages
-    over plain columns, null without a known value; decayed means need the order within the frame and fold its list.
+    only: the names of the means wanted, all by default; what isn't asked for isn't planned. A mean is null without a known
+    value. Means come from running sums, decayed means fold the list of the last ten; both are made once per finished row.
     """
     wanted = lambda name: only is None or name in only
     keys = ["competition_id", "team_id"]
     decayed = [m for m in DECAYED if wanted(f"{m}_recency_weighted_10")]
     averaged = [(m, n) for m in METRICS for n in (3, 5, 10) if wanted(f"{m}_avg_{n}")]
-    told = {f"_{m}": F.col(m) for m in dict.fromkeys([*COMPLETENESS, *[m for m, _ in averaged]])} | {"_day": F.col("match_date")}
-    if decayed:
-        told["_seen"] = F.struct(*decayed)
-    rows = _two_axes(sides.select("match_id", "competition_id", "match_date", "venue", "team_id", "status", *METRICS), keys, told)
-    ten = last(keys, 10)
-    rows = rows.withColumns(
-        {"latest": F.max("_day").over(ten), "games": F.count("_day").over(ten), "known": sum(F.count(f"_{m}").over(ten) for m in COMPLETENESS)}
-        | {f"{m}_avg_{n}": F.avg(f"_{m}").over(last(keys, n)) for m, n in averaged}
-        | ({"history": F.collect_list("_seen").over(ten)} if decayed else {})
-    ).where("_asks")
-    rest = (micros() - F.unix_micros(F.col("latest").cast("timestamp"))) / 86_400_000_000.0
-    share = F.when(F.col("games") > 0, F.col("known") / (F.col("games") * len(COMPLETENESS))).otherwise(0.0)
+    summed = list(dict.fromkeys([*COMPLETENESS, *[m for m, _ in averaged]]))
+    rows = sides.select("match_id", "competition_id", "match_date", "venue", "team_id", "status", *METRICS).withColumn("_done", F.col("status") == "finished")
+    # Finished rows: running sums, and those of n rows before, give the sums of the last n.
+    order = Window.partitionBy(*keys, "_done").orderBy(micros(), "match_id", F.col("venue").desc())
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Sums and counts of all metrics are one array each: expressions stay short enough to be compiled.
+    lists = {"_s": F.array(*[F.coalesce(F.sum(m).over(upto), F.lit(0)).cast("double") for m in summed]), "_n": F.array(*[F.count(m).over(upto).cast("double") for m in summed])}
+    rows = rows.withColumns({"_seq": F.row_number().over(order), **lists})
+    zeros = F.array_repeat(F.lit(0.0), len(summed))
+    rows = rows.withColumns({f"{k}{n}": F.coalesce(F.lag(k, n).over(order), zeros) for k in lists for n in (3, 5, 10)} | ({"_list": F.collect_list(F.struct(*decayed)).over(order.rowsBetween(-9, 0))} if decayed else {}))
+    rows = rows.withColumns({f"{k}{n}": F.zip_with(k, f"{k}{n}", lambda now, then: now - then) for k in lists for n in (3, 5, 10)})
+    means = {n: F.zip_with(f"_s{n}", f"_n{n}", lambda total, count: F.when(count > 0, total / count)) for n in {n for _, n in averaged}}
+    known = sum(F.get("_n10", summed.index(m)) for m in COMPLETENESS)
+    told = F.struct(F.col("_seq").alias("seq"), F.col("match_date").alias("day"), known.alias("known"), *[c.alias(f"avg_{n}") for n, c in means.items()], *[decayed_mean(m, "_list").alias(m) for m in decayed])
+    # Each row sees the last of the finished rows before its kickoff; the greatest seq is the last.
+    before = Window.partitionBy(*keys).orderBy(micros()).rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_told", F.when(F.col("_done"), told)).withColumn("_seen", F.max("_told").over(before))
+    seen = F.col("_seen")
+    games = F.least(seen["seq"], F.lit(10))
+    rest = (micros() - F.unix_micros(seen["day"].cast("timestamp"))) / 86_400_000_000.0
+    share = F.coalesce(seen["known"] / (games * len(COMPLETENESS)), F.lit(0.0))
     return rows.select(
-        "match_id", "competition_id", "match_date", "venue", "team_id", F.col("n_before").alias("history_matches"), rest.alias("days_rest"), F.col("latest").alias("history_max_date"), share.alias("data_completeness"),
-        *[f"{m}_avg_{n}" for m, n in averaged], *[decayed_mean(m).alias(f"{m}_recency_weighted_10") for m in decayed],
+        "match_id", "competition_id", "match_date", "venue", "team_id", F.coalesce(seen["seq"], F.lit(0)).cast("long").alias("history_matches"), rest.alias("days_rest"), seen["day"].alias("history_max_date"),
+        share.alias("data_completeness"), *[F.get(seen[f"avg_{n}"], summed.index(m)).alias(f"{m}_avg_{n}") for m, n in averaged], *[seen[m].alias(f"{m}_recency_weighted_10") for m in decayed],
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitchlake.operators import prefix
 from pitchlake.operators.history import micros
 from pitchlake.operators.sides import completed, sides
 
@@ -47,16 +48,10 @@ def team_results(matches: DataFrame, before: str, n: int) -> DataFrame:
 
 def league_last(matches: DataFrame, n: int = 200) -> DataFrame:
     """Goal means of the competition's last n finished matches strictly before each match."""
-    done = F.when(F.col("status") == "finished", 1).otherwise(0)
-    by = Window.partitionBy("competition_id")
-    rows = matches.withColumn("nb", F.coalesce(F.sum(done).over(by.orderBy(micros()).rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.withColumn("seq", F.sum(done).over(by.orderBy(micros(), "match_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    asks = F.struct((F.col("nb") * 2 + 1).alias("at"), F.lit(True).alias("asks"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("a"))
-    told = F.struct((F.col("seq") * 2).alias("at"), F.lit(False).alias("asks"), F.col("hg").alias("h"), F.col("ag").alias("a"))
-    both = rows.select("match_id", "competition_id", F.inline(F.when(done == 1, F.array(asks, told)).otherwise(F.array(asks))))
-    frame = by.orderBy("at").rangeBetween(-2 * n, -1)
-    found = both.withColumns({"n_matches": F.count("h").over(frame), "home_avg": F.avg("h").over(frame), "away_avg": F.avg("a").over(frame)})
-    return found.where("asks").select("match_id", "n_matches", "home_avg", "away_avg")
+    rows = matches.select("match_id", "competition_id", "match_date", "status", "hg", "ag")
+    means = {"home_avg": F.col("hg"), "away_avg": F.col("ag")}
+    found = prefix.mean_of_last(rows, ["competition_id"], micros(), ["match_id"], F.col("status") == "finished", means, n)
+    return found.select("match_id", F.col("n_seen").alias("n_matches"), "home_avg", "away_avg")
 
 
 def coverage(matches: DataFrame) -> DataFrame:
