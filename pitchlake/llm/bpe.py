@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitchlake.llm.common import byte_batches, fresh, table
+from pitchlake.llm.common import byte_batches, fresh, stash, table
 
 #: A pre-token never runs from a character that is no white space into a space or line end, so text may be cut there.
 PIECE = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*\Z)?|\s+")
@@ -141,14 +141,14 @@ def _decoded(path: str):
     return run
 
 
-def _joined(path: str, names: list[str], at: str, text: str, decoded: bool):
+def _joined(path: str, row: str, at: str, text: str, decoded: bool):
     def run(rows: pa.Table) -> pa.Table:
         tok = codec(path)
         rows = rows.sort_by(at)
         level = [(i.as_py(), t.as_py()) for i, t in zip(rows.column("token_ids"), rows.column(text), strict=True)]
         while len(level) > 1:
             level = [join_encoded(tok, *level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
-        out = rows.slice(0, 1).select(names).append_column("token_ids", pa.array([level[0][0]], pa.list_(pa.int32())))
+        out = rows.slice(0, 1).select([row]).append_column("token_ids", pa.array([level[0][0]], pa.list_(pa.int32())))
         return out.append_column("decoded", pa.array([tok.decode(level[0][0])], pa.string())) if decoded else out
 
     return run
@@ -159,8 +159,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", leaf: int = LEAF,
     `decoded` also what decode(token_ids, skip_special_tokens=False) makes of them, by the same workers.
 
     A null text counts as empty and gets an empty array. Texts up to `spread` code points are encoded where they lie.
-    Longer ones are dealt out in slices of that size, encoded in parallel and joined as a tree, one text per group. A
-    column named token_ids (or decoded) is replaced; all other columns and all rows stay, repeated rows too.
+    Longer ones are written, dealt out in slices of that size, encoded in parallel and joined as a tree, one text per group;
+    the row's other columns join its ids at the end, so that what is moved grows with the text. A column named token_ids (or decoded) is replaced; all other columns and all rows stay, repeated rows too.
     """
     docs = docs.drop("token_ids", *(["decoded"] if decoded else []))
     keep = docs.columns
@@ -169,12 +169,14 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", leaf: int = LEAF,
     schema = docs.schema.add("token_ids", T.ArrayType(T.IntegerType()))
     schema = schema.add("decoded", "string") if decoded else schema
     near = byte_batches(rows.where(F.length(text) <= spread), _encoded(path, leaf, text, decoded), schema)
-    far = rows.where(F.length(text) > spread).withColumn(row, F.monotonically_increasing_id())
-    slices = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / spread).cast("int")), lambda i: F.substring(F.col(text), i * spread + 1, F.lit(spread)))
-    leaves = far.select(*keep, row, F.posexplode(slices).alias(at, leaf_text)).repartition(row, at)
-    leaves = leaves.withColumn(text, F.col(leaf_text))
+    far = stash(rows.where(F.length(text) > spread).withColumn(row, F.monotonically_increasing_id()), "long_texts")
+    # A slice travels with its row's number only; a pattern cuts the text in one pass from end to end.
+    slices = F.posexplode(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{spread}}}"), F.lit(0)))
+    leaves = far.select(row, slices.alias(at, leaf_text)).repartition(row, at).withColumn(text, F.col(leaf_text))
     done = byte_batches(leaves, _encoded(path, leaf, text), leaves.drop(text).schema.add("token_ids", T.ArrayType(T.IntegerType())))
-    return near.unionByName(done.groupBy(row).applyInArrow(_joined(path, keep, at, leaf_text, decoded), schema))
+    told = T.StructType([f for f in schema if f.name in ("token_ids", "decoded")])
+    found = done.groupBy(row).applyInArrow(_joined(path, row, at, leaf_text, decoded), T.StructType([T.StructField(row, T.LongType()), *told]))
+    return near.unionByName(far.select(*keep, row).join(found, row).select(*keep, *told.names))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

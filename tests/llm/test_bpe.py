@@ -47,3 +47,13 @@ def test_long_texts_are_dealt_out_and_joined(spark, whole):
         assert row.token_ids == whole(row.text or "")
         assert row.decoded == (row.text or "")
     assert bpe.encode(docs.limit(0), PATH).collect() == []
+
+
+def test_three_million_code_points_in_a_wide_row(spark, whole):
+    text = "wide é 漢 text " * 220_000
+    docs = spark.createDataFrame([(1, text, "en", "x" * 1000), (2, "short", "de", None)], "doc_id long, text string, lang string, note string")
+    rows = {r.doc_id: r for r in bpe.encode(docs, PATH).collect()}
+    assert rows[1].token_ids == whole(text) and rows[1].note == "x" * 1000 and rows[1].text == text and rows[2].token_ids == whole("short")
+    plan = bpe.encode(docs, PATH)._jdf.queryExecution().optimizedPlan().toString()
+    dealt = next(line for line in plan.splitlines() if "Generate posexplode" in line)
+    assert "note" not in dealt.split("Generate posexplode")[1]
