@@ -36,6 +36,8 @@ UNWANTED = re.compile(
     r"comments?|comment-?\w*|disqus|replies|reply|respond|discussion|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|"
     r"share|sharing|social|related|recommend\w*|widget|pagination|pager|skip|hidden|search|complementary|navigation|contentinfo)(?:$|[^a-z])"
 )
+#: Those of readers' words; they mark comments in any compound.
+COMMENTS = re.compile(r"(?:^|[^a-z])(?:comments?|comment-?\w*|disqus|replies|reply|respond|discussion)(?:$|[^a-z])")
 #: Words that say what a wrapper has or lacks, not what it is.
 ABOUT = re.compile(r"\b(?:no|has|with|without|hide|show)-[\w-]+")
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -47,13 +49,17 @@ SPACE = re.compile(r"\s+")
 MARKS = frozenset().union(*[ends | stop for ends, stop in CLOSES.values()])
 
 
+#: What name and attributes say of an element.
+WANTED, DOUBTFUL, DROPPED = range(3)
+
+
 class Node:
     """An element. What a start tag asks of its ancestors is carried down, so that depth costs nothing."""
 
-    __slots__ = ("name", "parent", "kids", "drop", "content", "paragraph", "mark", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "kids", "drop", "doubt", "content", "paragraph", "mark", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, name: str, parent: Node | None, drop: bool = False):
-        self.name, self.parent, self.drop = name, parent, drop
+    def __init__(self, name: str, parent: Node | None, unwanted: int = WANTED):
+        self.name, self.parent, self.drop, self.doubt = name, parent, unwanted != WANTED, unwanted == DOUBTFUL
         self.content: bool = name in CONTENT or (parent is not None and parent.content)  # within an article or main element
         #: The open p around it with nothing but formats between, and the nearest element of MARKS.
         self.paragraph: Node | None = self if name == "p" else parent.paragraph if parent is not None and (name in FORMATS or name == "span") else None
@@ -63,20 +69,46 @@ class Node:
         self.density = self.total = 0.0
 
 
-def _unwanted(name: str, attributes: str, inside: Node) -> bool:
+def _unwanted(name: str, attributes: str, inside: Node) -> int:
+    """DROPPED for what is never part of an article; DOUBTFUL where an unwanted word is only part of a class, id or role,
+    as in right-sidebar or social-science: such names are also given to what lies beside or around it."""
     if name in NEVER:
-        return True
+        return DROPPED
     if name == "header":
-        return not inside.content
+        return WANTED if inside.content else DROPPED
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
+        return WANTED
+    found = WANTED
     for m in ATTRIBUTE.finditer(attributes):
         kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if kind == "hidden" or (kind == "aria-hidden" and value == "true") or (kind == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
-        if kind in ("class", "id", "role") and (UNWANTED.search(ABOUT.sub(" ", value)) or (not inside.content and "header" in value.split())):
-            return True
-    return False
+            return DROPPED
+        if kind in ("class", "id", "role"):
+            if COMMENTS.search(value) or (not inside.content and "header" in value.split()):
+                return DROPPED
+            for word in ABOUT.sub(" ", value).split():
+                m = UNWANTED.search(word)
+                if m and m[0] == word:
+                    return DROPPED
+                found = DOUBTFUL if m else found
+    return found
+
+
+def _settle(root: Node) -> None:
+    """Keep doubtful elements that hold more than half of the page's unlinked text; the others stay dropped."""
+    nodes, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        nodes.append(node)
+        stack.extend(k for k in node.kids if isinstance(k, Node) and (k.doubt or not k.drop))
+    if not any(n.doubt for n in nodes):
+        return
+    for node in reversed(nodes):
+        own = sum(len(SPACE.sub("", k)) for k in node.kids if isinstance(k, str))
+        node.chars = 0 if node.name == "a" else own + sum(k.chars for k in node.kids if isinstance(k, Node) and (k.doubt or not k.drop))
+    for node in nodes:
+        if node.doubt and 2 * node.chars > root.chars:
+            node.drop = False
 
 
 class _Open:
@@ -166,6 +198,7 @@ def parse(page: str) -> Node:
             at = len(page) if end is None else end.end()
         elif name not in VOID:
             here.enter(kid)
+    _settle(root)
     return root
 
 
