@@ -90,13 +90,19 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of docs as often as mix() takes it, with the columns of docs."""
     digest, source, nth = fresh(docs, "_digest", "_source", "_copy")
     key = F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit("")))
-    picked = mix(docs, **options).groupBy(F.col("doc_id").alias("_picked"), F.col("_text").alias("_picked_text"), F.col("source_key").alias("_picked_source")).agg(F.max("copies").alias("_n")).where("_n > 0")
-    picked = picked.toDF(*fresh(docs, "_picked", "_picked_text", "_picked_source", "_n"))
-    p_id, p_text, p_source, p_n = picked.columns
+    same = ["doc_id", "_text", "source_key"]
+    picked = mix(docs, **options).groupBy(*same).agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("rows")).where("n > 0").toDF(*fresh(docs, "_picked", "_picked_text", "_picked_source", "_n", "_rows"))
+    p_id, p_text, p_source, p_n, p_rows = picked.columns
     keyed = docs.withColumns({digest: F.xxhash64("text"), source: key})
-    same = F.col("doc_id").eqNullSafe(F.col(p_id)) & (F.col(digest) == F.col(p_text)) & (F.col(source) == F.col(p_source))
-    rows = keyed.join(picked, same).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(p_n))))
-    return rows.select(*docs.columns)
+    met = F.col("doc_id").eqNullSafe(F.col(p_id)) & (F.col(digest) == F.col(p_text)) & (F.col(source) == F.col(p_source))
+    rows = keyed.join(picked, met)
+    # Rows that tie share their copies: each takes an equal part, and as many as are left over one more.
+    least, over = F.floor(F.col(p_n) / F.col(p_rows)).cast("int"), F.col(p_n) % F.col(p_rows)
+    number = F.row_number().over(Window.partitionBy(p_id, p_text, p_source).orderBy(F.xxhash64(*[F.col(c) for c in docs.columns])))
+    even = rows.where(over == 0).withColumn(nth, least)
+    uneven = rows.where(over > 0).withColumn(nth, number).withColumn(nth, least + F.when(F.col(nth) <= over, 1).otherwise(0))
+    taken = even.unionByName(uneven).where(F.col(nth) > 0)
+    return taken.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(nth)))).select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
