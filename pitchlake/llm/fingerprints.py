@@ -71,14 +71,15 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
-def with_next(docs: DataFrame, columns: list[str], bits: int = CELL_BITS) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], bits: int = CELL_BITS, known: DataFrame | None = None) -> DataFrame:
     """docs (doc_id, ...) with next_<c> for each c of columns: that of the next document by doc_id, the last one's of the first.
 
     A null doc_id is less than all; rows of one doc_id follow by a hash of `columns`. Documents lie in cells of 2^bits ids,
-    ordered by themselves; the first one of each cell also goes to the cell before, behind that cell's own.
+    ordered by themselves; the first one of each cell also goes to the cell before, behind that cell's own. known: a table of
+    the same doc_ids that is cheaper to read than docs.
     """
     cell, tie, guest, head, where, to = fresh(docs, "_cell", "_tie", "_guest", "_head", "_where", "_to")
-    ids = docs.select(F.shiftright("doc_id", bits).alias(cell), "doc_id")
+    ids = (docs if known is None else known).select(F.shiftright("doc_id", bits).alias(cell), "doc_id")
     heads = ids.groupBy(cell).agg(F.min("doc_id").alias(head))
     heads = few(cell_before(heads.select(cell, head), cell, where).select(F.col(head), F.col(where), F.lit(True).alias(guest)))
     rows = docs.withColumns({cell: F.shiftright("doc_id", bits), tie: F.xxhash64(*columns)})
@@ -120,7 +121,7 @@ def fingerprints(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", F.explode(F.array(packed(sketch(F.col("text"), share)))).alias("_sketch"))
-    rows = with_next(rows, ["text", "_sketch"])
+    rows = with_next(rows, ["text", "_sketch"], known=docs)
     return rows.select("doc_id", "text", unpacked(F.col("_sketch")).alias("sketch"), "next_text", unpacked(F.col("next__sketch")).alias("next_sketch"))
 
 
