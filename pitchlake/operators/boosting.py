@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Trees between two checkpoints of the margins, and the unit of summed gradients.
 EVERY, UNIT = 20, 2**24
+#: A task takes this many rows at least, since a level is a job; rows that fit one task need no shuffle.
+TASK_ROWS = 100_000
 #: The byte of an unknown value.
 UNKNOWN = 255
 
@@ -201,7 +203,7 @@ def fit(rows: DataFrame, names: list[str], targets: list[str], settings: Setting
     if not 2 <= s.bins <= UNKNOWN:
         raise ValueError("bins: 2 to 255")
     rows = rows.select(*[F.col(c).cast("double").alias(c) for c in (*names, *targets)]).dropna(subset=targets)
-    start = rows.agg(*[F.avg(t).alias(t) for t in targets], F.least(*[F.min(t) for t in targets], F.lit(0.0)).alias("_least")).first()
+    start = rows.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(t).alias(t) for t in targets], F.least(*[F.min(t) for t in targets], F.lit(0.0)).alias("_least")).first()
     if start["_least"] < 0:
         raise ValueError("counts below zero")
     base = {t: math.log(max(start[t] or 0.0, 1e-6)) for t in targets}
@@ -219,7 +221,8 @@ def fit(rows: DataFrame, names: list[str], targets: list[str], settings: Setting
             yield pa.record_batch({"bins": [b.tobytes() for b in bins], "y": pa.array(y.tolist(), pa.list_(pa.float64())), "margin": pa.array(margin, pa.list_(pa.float64()))})
 
     schema = "bins binary, y array<double>, margin array<double>"
-    data = settled(rows.mapInArrow(prepared, schema))
+    tasks = start["_n"] // TASK_ROWS + 1
+    data = settled(rows.mapInArrow(prepared, schema)).coalesce(tasks)
     done = 0
     for k in range(s.rounds):
         growing = [Tree.empty(s.depth) for _ in targets]
@@ -230,7 +233,7 @@ def fit(rows: DataFrame, names: list[str], targets: list[str], settings: Setting
         for t, tree in zip(targets, growing, strict=True):
             forest.trees[t].append(tree)
         if (k + 1) % EVERY == 0 and k + 1 < s.rounds:
-            data = settled(data.mapInArrow(_forward([forest.trees[t][done:] for t in targets], width, s.depth), schema))
+            data = settled(data.mapInArrow(_forward([forest.trees[t][done:] for t in targets], width, s.depth), schema)).coalesce(tasks)
             done = k + 1
     return forest
 

@@ -8,16 +8,17 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitchlake.operators import boosting, impacts
 from pitchlake.operators.evaluation import count_metrics, deviance, holdout
 from pitchlake.operators.history import micros
 
 MIN_ROWS = 30
-#: Boosted trees and the share of each that is added.
-ROUNDS, STEP = 200, 0.05
+#: Boosted trees, their size and the share of each that is added.
+TREES = boosting.Settings(rounds=200, depth=4, step=0.05)
 #: Parts of names that no feature may have: they tell the result.
 FORBIDDEN = ("target_", "actual_", "outcome", "_result_")
 
@@ -34,41 +35,47 @@ def feature_names(rows: DataFrame, candidates: list[str] | None = None) -> list[
     return [c for c in names if known[c]]
 
 
-def _stages(names: list[str], target: str, kind: str, rounds: int) -> list:
+def _stages(names: list[str], target: str) -> list:
     filled = [f"{c}__filled" for c in names]
     imputer = Imputer(strategy="median", inputCols=names, outputCols=filled)
     assembler = VectorAssembler(inputCols=filled, outputCol="features")
-    if kind == "poisson":
-        learner = GeneralizedLinearRegression(family="poisson", link="log", regParam=0.1, labelCol=target, predictionCol=f"predicted_{target}", maxIter=25)
-    else:
-        learner = GBTRegressor(maxIter=rounds, maxDepth=4, stepSize=STEP, subsamplingRate=0.8, seed=42, labelCol=target, predictionCol=f"predicted_{target}")
-    return [imputer, assembler, learner]
+    return [imputer, assembler, GeneralizedLinearRegression(family="poisson", link="log", regParam=0.1, labelCol=target, predictionCol=f"predicted_{target}", maxIter=25)]
 
 
-def train(rows: DataFrame, names: list[str], kind: str = "poisson", rounds: int = ROUNDS) -> dict[str, PipelineModel]:
-    """One pipeline for each side's goals (hg, ag): median imputation, then the learner."""
+def train(rows: DataFrame, names: list[str], kind: str = "poisson", settings: boosting.Settings = TREES) -> dict[str, PipelineModel] | boosting.Forest:
+    """A model of each side's goals (hg, ag): poisson is a pipeline each, of median imputation and regression; trees is one
+    forest for both, in which a null is a value of its own."""
     rows = rows.select(*[F.col(c).cast("double").alias(c) for c in (*names, "hg", "ag")]).where("hg is not null and ag is not null")
-    return {t: Pipeline(stages=_stages(names, t, kind, rounds)).fit(rows) for t in ("hg", "ag")}
+    if kind == "trees":
+        return boosting.fit(rows, names, ["hg", "ag"], settings)
+    return {t: Pipeline(stages=_stages(names, t)).fit(rows) for t in ("hg", "ag")}
 
 
-def predict(models: dict[str, PipelineModel], rows: DataFrame, names: list[str]) -> DataFrame:
+def predict(models: dict[str, PipelineModel] | boosting.Forest, rows: DataFrame, names: list[str]) -> DataFrame:
     """rows with lambda_home and lambda_away; rates that aren't finite or not in [0, 20] become null."""
     rows = rows.select(*[c for c in rows.columns if c not in names], *[F.col(c).cast("double").alias(c) for c in names])
     for target, out in (("hg", "lambda_home"), ("ag", "lambda_away")):
         keep = rows.columns
-        done = models[target].transform(rows)
+        if isinstance(models, boosting.Forest):
+            done = rows.withColumn(f"predicted_{target}", boosting.rates(models, target))
+        else:
+            done = models[target].transform(rows)
         p = F.col(f"predicted_{target}")
         rows = done.select(*[c for c in keep if c != out], F.when((p >= 0) & (p <= 20) & ~F.isnan(p), p).alias(out))
     return rows
 
 
-def explain(models: dict[str, PipelineModel], rows: DataFrame, names: list[str], target: str = "hg", n: int = 6) -> DataFrame:
-    """match_id, rank, feature, contribution: the n largest value * coefficient of a Poisson model."""
-    learner = models[target].stages[-1]
-    parts = [F.struct(F.lit(c).alias("feature"), (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * float(w)).alias("contribution")) for c, w in zip(names, learner.coefficients, strict=True)]
-    order = F.array_sort(F.transform(F.array(*parts), lambda x: F.struct((-F.abs(x["contribution"])).alias("m"), x["feature"].alias("feature"), x["contribution"].alias("contribution"))))
-    ranked = rows.select("match_id", F.posexplode(F.slice(order, 1, n)).alias("rank", "x"))
-    return ranked.select("match_id", (F.col("rank") + 1).alias("rank"), "x.feature", "x.contribution")
+def explain(models: dict[str, PipelineModel], rows: DataFrame, names: list[str], n: int = 6) -> DataFrame:
+    """match_id, target, rank, factor, value, weight, contribution, impact: for each side's goals the n features with the
+    largest value * coefficient of a Poisson model, a null value being the median it was fitted with. Ties go by name."""
+    found = []
+    for target, model in models.items():
+        medians, weights = model.stages[0].surrogateDF.first(), model.stages[-1].coefficients
+        parts = [(c, F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(medians[c])), float(w)) for c, w in zip(names, weights, strict=True)]
+        each = F.array(*[F.struct((-F.abs(v * w)).alias("_by"), F.lit(c).alias("factor"), v.alias("value"), F.lit(w).alias("weight"), (v * w).alias("contribution")) for c, v, w in parts])
+        told = rows.select("match_id", F.posexplode(F.slice(F.array_sort(each), 1, n)).alias("_rank", "x"))
+        found.append(told.select("match_id", F.lit(target).alias("target"), (F.col("_rank") + 1).alias("rank"), "x.factor", "x.value", "x.weight", "x.contribution"))
+    return reduce(DataFrame.unionByName, found).withColumn("impact", impacts.of_contribution(F.col("contribution")))
 
 
 def promoted(metrics: DataFrame, n_rows: int, baseline: str = "poisson") -> DataFrame:
@@ -80,19 +87,39 @@ def promoted(metrics: DataFrame, n_rows: int, baseline: str = "poisson") -> Data
     return rows.join(F.broadcast(best), F.lit(True), "left").withColumn("active", F.col("model") == F.coalesce("_best", F.lit(baseline))).drop("_base", "_best")
 
 
-def goal_model_report(features: DataFrame) -> DataFrame:
+WANTED = [f"{v}_{m}_avg_{n}" for v in ("home", "away") for m in ("goals_for", "goals_against", "shots") for n in (5, 10)] + ["league_home_goals_avg", "league_away_goals_avg"]
+
+
+def _parted(features: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Rows to learn from, the last fifth of timestamps, and the features; written once, since each is read several times."""
+    rows = boosting.settled(holdout(features.where("hg is not null and ag is not null").select("match_id", "match_date", "hg", "ag", *WANTED)))
+    return rows.where("split = 'train'"), rows.where("split = 'validation'"), feature_names(rows, WANTED)
+
+
+def goal_model_report(features: DataFrame, settings: boosting.Settings = TREES) -> DataFrame:
     """model, scope, n, mae, rmse, deviance, bias, active on the last fifth of timestamps, for both learners."""
-    wanted = [f"{v}_{m}_avg_{n}" for v in ("home", "away") for m in ("goals_for", "goals_against", "shots") for n in (5, 10)] + ["league_home_goals_avg", "league_away_goals_avg"]
-    rows = holdout(features.where("hg is not null and ag is not null").select("match_date", "hg", "ag", *wanted)).cache()
-    names = feature_names(rows, wanted)
-    learn, held = rows.where("split = 'train'"), rows.where("split = 'validation'")
-    reports = [count_metrics(predict(train(learn, names, kind), held, names).where("lambda_home is not null and lambda_away is not null")).withColumn("model", F.lit(kind)) for kind in ("poisson", "trees")]
+    learn, held, names = _parted(features)
+    reports = [count_metrics(predict(train(learn, names, kind, settings), held, names).where("lambda_home is not null and lambda_away is not null")).withColumn("model", F.lit(kind)) for kind in ("poisson", "trees")]
     report = reduce(DataFrame.unionByName, reports)
     combined = promoted(report.where("scope = 'combined'").select("model", "mae"), learn.count())
     out = report.join(combined.select("model", "active"), "model")
     return out.select("model", "scope", "n", *[F.round(c, 6).alias(c) for c in ("mae", "rmse", "deviance", "bias")], "active")
 
 
+def linear_factors(features: DataFrame, n: int = 6) -> DataFrame:
+    """explain() of the last fifth of timestamps by Poisson models fitted on those before."""
+    learn, held, names = _parted(features)
+    return explain(train(learn, names), held, names, n)
+
+
+def tree_factors(features: DataFrame, settings: boosting.Settings = TREES, n: int = 6) -> DataFrame:
+    """boosting.factors() of the last fifth of timestamps by trees fitted on those before, with what each feature weighs over
+    all (weight_impact) beside what it does in this row (impact)."""
+    learn, held, names = _parted(features)
+    told = boosting.factors(train(learn, names, "trees", settings), held, ["match_id"], impacts.of_contribution, n)
+    return told.withColumn("weight_impact", impacts.of_importance(F.col("importance")))
+
+
 def _held(rows: DataFrame, learner, names: list[str]) -> DataFrame:
     """The last fifth of timestamps as a model sees it that is fitted on those before: median imputation, then the learner."""
     rows = holdout(rows)

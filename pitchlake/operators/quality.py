@@ -29,12 +29,6 @@ def label(column: str) -> Column:
     return F.when(x < 0.5, "very_low").when(x < 0.6, "low").when(x < 0.7, "medium").when(x < 0.8, "high").otherwise("very_high")
 
 
-def impact(value: Column, baseline: Column, inverse: bool = False) -> Column:
-    """positive, neutral or negative: a tenth above or below the baseline."""
-    up, down = ("negative", "positive") if inverse else ("positive", "negative")
-    return F.when(value > 1.1 * baseline, up).when(value < 0.9 * baseline, down).otherwise("neutral")
-
-
 def league_fallback(sides: DataFrame, before: str | None, n: int = 40) -> DataFrame:
     """competition_id with the means of cards, corners and shots over its last n team rows before a date.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pitchlake.functions import names, values
 from pitchlake.functions import scores
-from pitchlake.operators import consolidate, enrich, evaluation, grading, imports, players, poisson, quality, resolve, validate
+from pitchlake.operators import consolidate, enrich, evaluation, grading, impacts, imports, players, poisson, quality, resolve, validate
 from pitchlake.operators import sides as side_rows
 from pitchlake.plans import match_queries as base
 from pitchlake.sources import adapter
@@ -333,12 +333,54 @@ def league_fallback(spark, d):
     return quality.league_fallback(rows, before="1998-01-01")
 
 
+GOAL_FEATURES = tuple(f"{m}_avg_{n}" for m in ("goals_for", "goals_against", "shots") for n in (5, 10))
+
+
+def _told(rows):
+    return rows.withColumns({c: F.round(c, 6) for c, t in rows.dtypes if t == "double"})
+
+
 @query()
 def glm_goals(spark, d):
     from pitchlake.operators import models
 
-    wanted = tuple(f"{m}_avg_{n}" for m in ("goals_for", "goals_against", "shots") for n in (5, 10))
-    return models.goal_model_report(base._features(spark, d, wanted))
+    return models.goal_model_report(base._features(spark, d, GOAL_FEATURES))
+
+
+@query()
+def linear_factors(spark, d):
+    from pitchlake.operators import models
+
+    return _told(models.linear_factors(base._features(spark, d, GOAL_FEATURES)))
+
+
+@query()
+def tree_factors(spark, d):
+    from pitchlake.operators import models
+
+    return _told(models.tree_factors(base._features(spark, d, GOAL_FEATURES)))
+
+
+IMPACT_SQL = """CASE WHEN {x} >= {high} THEN 'high' WHEN {x} >= {medium} THEN 'medium' ELSE 'low' END || CASE WHEN {up} THEN '_positive' ELSE '_negative' END"""
+
+
+def _impact_sql(x, high, medium, up):
+    return f"CASE WHEN {x} IS NOT NULL THEN {IMPACT_SQL.format(x=x, high=high, medium=medium, up=up)} END"
+
+
+@query(f"""SELECT match_id, {_impact_sql('abs(c) / greatest(r, 1e-12)', 0.35, 0.2, 'b IS NULL OR c >= 0')} AS rate_impact,
+  CASE WHEN f IS NOT NULL THEN coalesce({_impact_sql('abs((f - b) / nullif(b, 0))', 0.35, 0.15, '(f - b) / nullif(b, 0) >= 0')}, 'neutral') END AS attack_impact,
+  CASE WHEN a IS NOT NULL THEN coalesce({_impact_sql('abs((a - b) / nullif(b, 0))', 0.35, 0.15, '-((a - b) / nullif(b, 0)) >= 0')}, 'neutral') END AS defence_impact
+FROM (SELECT match_id, round(home_goals_for_avg_5, 6) AS f, round(home_goals_against_avg_5, 6) AS a, round(league_home_goals_avg, 6) AS b, round(lambda_home, 6) AS r, round(lambda_home, 6) - round(league_home_goals_avg, 6) AS c FROM lambdas JOIN features USING (match_id))""", base.RATES)
+def factor_impacts(spark, d):
+    rows = base._rates(spark, d)
+    value = {k: F.round(F.col(c).cast("double"), 6) for k, c in {"f": "home_goals_for_avg_5", "a": "home_goals_against_avg_5", "b": "league_home_goals_avg", "r": "lambda_home"}.items()}
+    return rows.select(
+        "match_id",
+        impacts.of_rate(value["r"] - value["b"], value["r"], value["b"]).alias("rate_impact"),
+        impacts.of_value(value["f"], value["b"]).alias("attack_impact"),
+        impacts.of_value(value["a"], value["b"], inverse=True).alias("defence_impact"),
+    )
 
 
 @query()

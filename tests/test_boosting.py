@@ -88,7 +88,8 @@ def test_equals_the_plain_version(given, forest):
 
 def test_partitions_and_checkpoints_change_nothing(given, forest, monkeypatch):
     monkeypatch.setattr(boosting, "EVERY", 2)
-    again = boosting.fit(given[2].repartition(2), NAMES, ["y", "z"], SMALL)
+    monkeypatch.setattr(boosting, "TASK_ROWS", 50)
+    again = boosting.fit(given[2].repartition(4), NAMES, ["y", "z"], SMALL)
     assert again.to_json() == forest.to_json()
 
 
