@@ -371,7 +371,8 @@ def _impact_sql(x, high, medium, up):
 @query(f"""SELECT match_id, {_impact_sql('abs(c) / greatest(r, 1e-12)', 0.35, 0.2, 'b IS NULL OR c >= 0')} AS rate_impact,
   CASE WHEN f IS NOT NULL THEN coalesce({_impact_sql('abs((f - b) / nullif(b, 0))', 0.35, 0.15, '(f - b) / nullif(b, 0) >= 0')}, 'neutral') END AS attack_impact,
   CASE WHEN a IS NOT NULL THEN coalesce({_impact_sql('abs((a - b) / nullif(b, 0))', 0.35, 0.15, '-((a - b) / nullif(b, 0)) >= 0')}, 'neutral') END AS defence_impact
-FROM (SELECT match_id, round(home_goals_for_avg_5, 6) AS f, round(home_goals_against_avg_5, 6) AS a, round(league_home_goals_avg, 6) AS b, round(lambda_home, 6) AS r, round(lambda_home, 6) - round(league_home_goals_avg, 6) AS c FROM lambdas JOIN features USING (match_id))""", base.RATES)
+FROM (SELECT f.match_id, round(h.goals_for_avg_5, 6) AS f, round(h.goals_against_avg_5, 6) AS a, round(league_home_goals_avg, 6) AS b, round(lambda_home, 6) AS r, round(lambda_home, 6) - round(league_home_goals_avg, 6) AS c
+  FROM lambdas l JOIN features f ON f.match_id = l.match_id JOIN side_features h ON h.match_id = l.match_id AND h.venue = 'home')""", base.RATES)
 def factor_impacts(spark, d):
     rows = base._rates(spark, d)
     value = {k: F.round(F.col(c).cast("double"), 6) for k, c in {"f": "home_goals_for_avg_5", "a": "home_goals_against_avg_5", "b": "league_home_goals_avg", "r": "lambda_home"}.items()}
