@@ -73,11 +73,6 @@ def merged(stored: DataFrame, incoming: DataFrame, scalars: tuple[str, ...] = ("
     return both.select("match_id", *out, keep(*found).alias("conflicts"), keep(*halves).alias("half_pairs"))
 
 
-def outcome(stored_id: Column, conflicts: Column) -> Column:
-    """How a record ended: persisted (a new match), matched_duplicate or conflict."""
-    return F.when(stored_id.isNull(), "persisted").when(F.size(conflicts) > 0, "conflict").otherwise("matched_duplicate")
-
-
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """stored with incoming's rows: known ones of its values overwrite, unknown ones leave what is there; new keys come in."""
     values = [c for c in stored.columns if c not in keys]
@@ -86,17 +81,9 @@ def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame
     return rows.select(*keys, *[F.coalesce(f"_{c}", c).alias(c) for c in values])
 
 
-def decided(stored: DataFrame, conflicts: DataFrame, decisions: DataFrame) -> DataFrame:
-    """stored with the fields of decided conflicts: a group is taken whole, existing or incoming; open groups stay."""
-    long = conflicts.select("match_id", F.inline("conflicts")).join(decisions, ["match_id", "group"]).where("decision = 'incoming'")
-    wide = long.groupBy("match_id").pivot("field", ["hg", "ag", "hht", "aht", "status"]).agg(F.first("incoming"))
-    rows = stored.join(wide.select("match_id", *[F.col(c).alias(f"_{c}") for c in ("hg", "ag", "hht", "aht", "status")]), "match_id", "left")
-    kinds = dict(stored.dtypes)
-    return rows.select(*[F.coalesce(F.col(f"_{c}").cast(kinds[c]), F.col(c)).alias(c) if c in ("hg", "ag", "hht", "aht", "status") else F.col(c) for c in stored.columns])
-
-
 def invariants(rows: DataFrame) -> DataFrame:
-    """match_id, problem: half pairs, half-time above full-time scores, statuses that scores contradict."""
+    """match_id, problem: half pairs, half-time above full-time scores, those above extra time's where rows have it (het, aet),
+    statuses that scores contradict."""
     a, b, c, d = (F.col(x) for x in ("hg", "ag", "hht", "aht"))
     checks = {
         "half_full_time_pair": a.isNull() != b.isNull(),
@@ -105,5 +92,7 @@ def invariants(rows: DataFrame) -> DataFrame:
         "finished_without_score": (F.col("status") == "finished") & (a.isNull() | b.isNull()),
         "scheduled_with_score": (F.col("status") == "scheduled") & (a.isNotNull() | b.isNotNull()),
     }
+    if {"het", "aet"} <= set(rows.columns):
+        checks |= {"half_extra_time_pair": F.col("het").isNull() != F.col("aet").isNull(), "full_time_above_extra_time": (a > F.col("het")) | (b > F.col("aet"))}
     found = F.filter(F.array(*[F.when(F.coalesce(x, F.lit(False)), n) for n, x in checks.items()]), lambda x: x.isNotNull())
     return rows.select("match_id", F.explode(found).alias("problem"))

@@ -97,3 +97,21 @@ def out_of_range(rows: DataFrame, row_id: str, bounds: dict[str, tuple[float | N
         off = off if high is None else off | (F.col(field) > high)
         checks.append(F.when(F.coalesce(off, F.lit(False)), F.struct(F.lit(field).alias("field"), F.col(field).cast("double").alias("value"))))
     return rows.select(row_id, F.inline(F.filter(F.array(*checks), lambda x: x.isNotNull())))
+
+
+def unplannable(rows: DataFrame, seasons: DataFrame, now: str | Column, stored: DataFrame | None = None) -> DataFrame:
+    """match_id and problem of matches that can't be planned: same_team, season_of_other_competition (of seasons:
+    competition_id, season), kickoff_not_ahead (at or before now).
+
+    With stored, rows are changes: a null leaves what is stored, and a kickoff is looked at only where it is changed.
+    """
+    fields = ["competition_id", "season", "match_date", "home_team_id", "away_team_id"]
+    rows = rows.select("match_id", *fields, F.col("match_date").alias("_told"))
+    if stored is not None:
+        known = stored.select("match_id", *[F.col(c).alias(f"_{c}") for c in fields])
+        rows = rows.join(known, "match_id").select("match_id", "_told", *[F.coalesce(c, f"_{c}").alias(c) for c in fields])
+    pairs = seasons.select("competition_id", "season").distinct().withColumn("_of", F.lit(True))
+    rows = rows.join(pairs, ["competition_id", "season"], "left")
+    now = F.to_timestamp_ntz(F.lit(now)) if isinstance(now, str) else now
+    checks = {"same_team": F.col("home_team_id") == F.col("away_team_id"), "season_of_other_competition": F.col("_of").isNull(), "kickoff_not_ahead": F.col("_told") <= now}
+    return rows.select("match_id", F.explode(_found(checks)).alias("problem"))

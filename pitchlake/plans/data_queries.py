@@ -12,7 +12,7 @@ from pitchlake.functions import scores
 from pitchlake.operators import consolidate, enrich, evaluation, grading, impacts, imports, players, poisson, quality, resolve, validate
 from pitchlake.operators import sides as side_rows
 from pitchlake.plans import match_queries as base
-from pitchlake.sources import adapter
+from pitchlake.sources import adapter, results_json
 from pitchlake.streaming import rate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -451,3 +451,50 @@ def grading_retry(spark, d):
     graded = adapter.matches(spark, d).where("match_id % 2 = 0").select("match_id", F.lit("match_result").alias("event_type"))
     rows = grading.outcomes(base._predictions(spark, d), adapter.matches(spark, d), adapter.team_statistics(spark, d), graded)
     return rows.select("match_id", "event_type", "status")
+
+
+@query("""SELECT match_id, unnest(list_filter([CASE WHEN home = away_team_id THEN 'same_team' END, CASE WHEN s.season IS NULL THEN 'season_of_other_competition' END, CASE WHEN told <= '1997-01-01' THEN 'kickoff_not_ahead' END], lambda x: x IS NOT NULL)) AS problem FROM (
+  SELECT match_id, competition_id, away_team_id, CASE WHEN match_id % 7 = 0 THEN away_team_id ELSE home_team_id END AS home, CASE WHEN match_id % 5 = 0 THEN season + 90 ELSE season END AS season, CASE WHEN match_id % 3 = 0 THEN match_date + to_days(30) END AS told FROM matches) c
+LEFT JOIN (SELECT DISTINCT competition_id, season FROM matches) s ON s.competition_id = c.competition_id AND s.season = c.season""")
+def unplannable_changes(spark, d):
+    stored, k = adapter.matches(spark, d), F.col("match_id")
+    changes = stored.select(
+        "match_id",
+        F.lit(None).cast(stored.schema["competition_id"].dataType).alias("competition_id"),
+        F.when(k % 5 == 0, F.col("season") + 90).alias("season"),
+        F.when(k % 3 == 0, F.col("match_date") + F.make_dt_interval(F.lit(30))).alias("match_date"),
+        F.when(k % 7 == 0, F.col("away_team_id")).alias("home_team_id"),
+        F.lit(None).cast(stored.schema["away_team_id"].dataType).alias("away_team_id"),
+    )
+    return validate.unplannable(changes, stored, "1997-01-01", stored)
+
+
+@query("""SELECT match_id, problem FROM (SELECT match_id, unnest([CASE WHEN hg > het OR ag > aet THEN 'full_time_above_extra_time' END, CASE WHEN (het IS NULL) <> (aet IS NULL) THEN 'half_extra_time_pair' END]) AS problem
+FROM (SELECT match_id, hg, ag, hg + match_id % 4 - 1 AS het, CASE WHEN match_id % 9 <> 0 THEN ag END AS aet FROM matches)) WHERE problem IS NOT NULL""")
+def extra_time_problems(spark, d):
+    k = F.col("match_id")
+    rows = adapter.matches(spark, d).withColumns({"het": F.col("hg") + k % 4 - 1, "aet": F.when(k % 9 != 0, F.col("ag"))})
+    return consolidate.invariants(rows).where(F.col("problem").contains("extra_time"))
+
+
+@query("""SELECT match_id, competition_id || '-' || season || '-' || month(match_date) || '-' || match_id // 1000 AS path, strftime(match_date, '%Y-%m-%d') AS day, 'team ' || home_team_id AS home_team, 'team ' || away_team_id AS away_team, CASE WHEN hg IS NULL THEN 'scheduled' ELSE 'finished' END AS status,
+  hg, ag, CASE WHEN match_id % 4 < 3 AND ag IS NOT NULL THEN hht END AS hht, CASE WHEN match_id % 4 < 3 AND ag IS NOT NULL THEN aht END AS aht, CASE WHEN match_id % 4 = 1 THEN hg + 1 END AS hagg, CASE WHEN match_id % 4 = 1 THEN ag END AS aagg FROM matches""")
+def json_documents(spark, d):
+    """Matches as JSON documents by competition, season and month, of a thousand ids at most, in four shapes of scores, read
+    by the JSON reader."""
+    m = adapter.matches(spark, d)
+    k = F.col("match_id") % 4
+    pair = lambda a, b: F.when(F.col("hg").isNotNull(), F.array(a, b))
+    score = F.when(k == 0, F.to_json(F.struct(pair("hg", "ag").alias("ft"), pair("hht", "aht").alias("ht")))).when(
+        k == 1, F.to_json(F.struct(pair("hg", "ag").alias("regular"), pair("hht", "aht").alias("halftime"), pair(F.col("hg") + 1, "ag").alias("aggregate")))
+    ).when(k == 3, F.to_json(F.array("hg", "ag")))
+    own = [F.when((k == 2) & F.col("hg").isNotNull(), F.col(c)).alias(n) for n, c in (("score1", "hg"), ("score2", "ag"), ("ht_home", "hht"), ("ht_away", "aht"))]
+    one = F.to_json(F.struct(
+        F.col("match_id").cast("string").alias("round"), F.date_format("match_date", "yyyy-MM-dd").alias("date"), F.concat(F.lit("team "), "home_team_id").alias("team1"), F.concat(F.lit("team "), "away_team_id").alias("away"),
+        *own,
+    ))
+    text = F.when(score.isNotNull() & F.col("hg").isNotNull(), F.concat(F.substring(one, F.lit(1), F.length(one) - 1), F.lit(',"score":'), score, F.lit("}"))).otherwise(one)
+    path = F.concat_ws("-", "competition_id", "season", F.month("match_date"), F.floor(F.col("match_id") / 1000))
+    documents = m.groupBy(path.alias("path")).agg(F.concat(F.lit('{"name":"Cup","matches":['), F.array_join(F.collect_list(text), ","), F.lit("]}")).cast("binary").alias("content"))
+    read = results_json.matches(documents)
+    return read.select(F.col("round").cast("long").alias("match_id"), "path", F.date_format("match_date", "yyyy-MM-dd").alias("day"), "home_team", "away_team", "status", "hg", "ag", "hht", "aht", "hagg", "aagg")

@@ -14,8 +14,8 @@ SNAPSHOT = T.StructType().add("match_id", "long").add("seen_at", "timestamp").ad
 
 
 def newest(snapshots: DataFrame) -> DataFrame:
-    """The latest snapshot of each match."""
-    order = Window.partitionBy("match_id").orderBy(F.desc("seen_at"), F.desc("status"))
+    """The latest snapshot of each match; of several at one time, the greatest by status, then by goals."""
+    order = Window.partitionBy("match_id").orderBy(*[F.desc_nulls_last(c) for c in ("seen_at", "status", "hg", "ag")])
     return snapshots.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
 
 

@@ -169,3 +169,11 @@ def test_features_that_tell_the_result_are_refused(spark):
     assert models.feature_names(rows) == ["home_x"]
     with pytest.raises(ValueError):
         models.feature_names(rows, ["target_home_goals"])
+
+
+def test_snapshots_of_one_time_have_an_order(spark):
+    t = datetime(2024, 5, 1, 18)
+    rows = [(1, t, "live", 1, 0), (1, t, "live", 0, 1), (1, t, "live", None, 5)]
+    for given in (rows, rows[::-1]):
+        got = live.newest(spark.createDataFrame(given, live.SNAPSHOT)).collect()
+        assert [(r.hg, r.ag) for r in got] == [(1, 0)]

@@ -67,6 +67,20 @@ def test_json_shapes(spark, tmp_path):
     assert {r["round"] for r in rows} == {"Final", "R1", None}
 
 
+@pytest.mark.parametrize(
+    ("match", "goals"),
+    [
+        ({"score": {"regulation": "1-0", "aet": [2, 0], "shootout": {"home": 4, "away": 3}, "agg": "5—4"}}, [1, 0, None, None, 2, 0, 4, 3, 5, 4]),
+        ({"score1": 2, "score2": "1", "halftime_home_goals": 1, "halftime_away_goals": 0, "pen_home": 3, "pen_away": 1}, [2, 1, 1, 0, None, None, 3, 1, None, None]),
+        ({"score": {"ht": [0, 0]}, "home_goals": 0, "away_goals": 0, "agg_home": 1, "agg_away": 2}, [0, 0, 0, 0, None, None, None, None, 1, 2]),
+        ({"score": "2:2", "et_home": -1, "et_away": True}, [2, 2] + [None] * 8),
+        ({}, [None] * 10),
+    ],
+)
+def test_score_names(match, goals):
+    assert results_json.scores(match) == goals
+
+
 @pytest.mark.parametrize(
     ("line", "expected"),
     [
