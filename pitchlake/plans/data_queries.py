@@ -12,7 +12,7 @@ from pitchlake.functions import scores
 from pitchlake.operators import consolidate, enrich, evaluation, grading, impacts, imports, players, poisson, quality, resolve, validate
 from pitchlake.operators import sides as side_rows
 from pitchlake.plans import match_queries as base
-from pitchlake.sources import adapter, results_json
+from pitchlake.sources import adapter, results_csv, results_json
 from pitchlake.streaming import rate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -498,3 +498,31 @@ def json_documents(spark, d):
     documents = m.groupBy(path.alias("path")).agg(F.concat(F.lit('{"name":"Cup","matches":['), F.array_join(F.collect_list(text), ","), F.lit("]}")).cast("binary").alias("content"))
     read = results_json.matches(documents)
     return read.select(F.col("round").cast("long").alias("match_id"), "path", F.date_format("match_date", "yyyy-MM-dd").alias("day"), "home_team", "away_team", "status", "hg", "ag", "hht", "aht", "hagg", "aagg")
+
+
+@query("""SELECT match_id, competition_id || '-' || season || '-' || month(match_date) || '-' || match_id // 1000 || '.csv' AS path, 'Málaga ' || home_team_id AS home_team, 'Gijón ' || away_team_id AS away_team, strftime(match_date, '%Y-%m-%d') AS day, CAST(season AS VARCHAR) AS season, 'league ' || competition_id AS competition,
+  CASE WHEN match_id % 13 <> 0 THEN hg END AS hg, ag, hht, aht, CASE WHEN match_id % 5 <> 0 THEN match_id % 6 END AS home_yellow_cards, CASE WHEN match_id % 5 <> 0 THEN match_id % 6 + CASE WHEN match_id % 7 = 0 THEN 1 ELSE 0 END WHEN match_id % 7 = 0 THEN 1 END AS home_cards,
+  CASE WHEN hg IS NULL OR ag IS NULL OR match_id % 13 = 0 THEN 'scheduled' ELSE 'finished' END AS status, CASE WHEN match_id % 13 = 0 THEN 'hg' ELSE '' END AS invalid, round(CASE WHEN match_id % 3 <> 0 THEN 1 + (match_id % 40 + 1) / 10.0 END, 6) AS b365h FROM matches""")
+def csv_documents(spark, d):
+    """Matches as CSV documents by competition, season and month, of a thousand ids at most, with three delimiters, two date
+    formats and three encodings, unreadable goals and blank cells, read by the CSV reader."""
+    m = adapter.matches(spark, d)
+    k, kind = F.col("match_id"), F.col("competition_id") % 3
+    cut = F.when(kind == 0, ",").when(kind == 1, ";").otherwise("\t")
+    day = F.when(kind == 0, F.date_format("match_date", "dd/MM/yyyy")).otherwise(F.date_format("match_date", "yyyy-MM-dd"))
+    cells = {
+        "Date": day, "HomeTeam": F.concat(F.lit("Málaga "), "home_team_id"), "AwayTeam": F.concat(F.lit("Gijón "), "away_team_id"), "Referee": k, "Season": F.col("season"), "League": F.concat(F.lit("league "), "competition_id"),
+        "FTHG": F.when(k % 13 == 0, "x").otherwise(F.col("hg").cast("string")), "FTAG": F.col("ag"), "HTHG": F.col("hht"), "HTAG": F.col("aht"),
+        "HY": F.when(k % 5 != 0, k % 6), "HR": F.when(k % 7 == 0, 1), "B365H": F.when(k % 3 != 0, F.round(1 + (k % 40 + 1) / 10, 1).cast("string")).otherwise("0.5"),
+    }
+    line = F.array_join(F.array(*[F.coalesce(c.cast("string"), F.lit("")) for c in cells.values()]), "|")
+    path = F.concat(F.concat_ws("-", "competition_id", "season", F.month("match_date"), F.floor(k / 1000)), F.lit(".csv"))
+    text = F.concat(F.lit("|".join(cells) + "\n"), F.array_join(F.collect_list("line"), "\n"))
+    documents = m.select(path.alias("path"), kind.alias("kind"), cut.alias("cut"), line.alias("line")).groupBy("path", "kind", "cut").agg(text.alias("text"))
+    text = F.replace("text", F.lit("|"), F.col("cut"))
+    content = F.when(F.col("kind") == 0, F.encode(F.concat(F.lit("\ufeff"), text), "UTF-8")).when(F.col("kind") == 1, F.encode(text, "iso-8859-1")).otherwise(F.encode(text, "UTF-8"))
+    read = results_csv.normalised(results_csv.raw_rows(documents.select("path", F.lit(None).cast("string").alias("member"), content.alias("content"))))
+    return read.select(
+        F.col("referee").cast("long").alias("match_id"), "path", "home_team", "away_team", F.date_format("match_date", "yyyy-MM-dd").alias("day"), "season", "competition", "hg", "ag", "hht", "aht",
+        "home_yellow_cards", "home_cards", "status", F.array_join("invalid", ",").alias("invalid"), F.round(F.col("odds")["B365H"], 6).alias("b365h"),
+    )
