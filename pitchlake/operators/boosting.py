@@ -11,16 +11,16 @@ from __future__ import annotations
 
 import json
 import math
-import tempfile
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import PySparkRuntimeError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitchlake.sources.shared import settled
+
 #: Trees between two checkpoints of the margins, and the unit of summed gradients.
 EVERY, UNIT = 20, 2**24
 #: A task takes this many rows at least, since a level is a job; rows that fit one task need no shuffle.
@@ -170,17 +170,6 @@ def _split(tree: Tree, node: int, g: np.ndarray, h: np.ndarray, s: Settings) ->
         tree.value[child] = _value(*sums, s)
 
 
-def settled(rows: DataFrame) -> DataFrame:
-    """rows, checkpointed in the folder that the session names; a folder of its own only on one local machine."""
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise PySparkRuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="boosting-"))
-    return rows.checkpoint()
-
-
 def quantile_cuts(rows: DataFrame, names: list[str], bins: int) -> list[list[float]]:
     """By feature, the distinct quantiles of its known values; a value is in the bin of as many cuts as it exceeds."""
     shares = [k / bins for k in range(1, bins)]

@@ -384,13 +384,6 @@ def factor_impacts(spark, d):
     )
 
 
-@query()
-def stream_upsert(spark, d):
-    from pitchlake.streaming import live
-
-    return live.replayed(spark, adapter.table(spark, d, "events"))
-
-
 @query("SELECT match_id, round(1 - exp(-0.45 * (lambda_home + lambda_away)), 6) AS first_half_goal, round(0.45 * lambda_home, 6) AS first_half_home, round(0.45 * lambda_away, 6) AS first_half_away FROM lambdas", base.RATES)
 def first_half(spark, d):
     rows = base._rates(spark, d)

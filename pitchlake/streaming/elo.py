@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import PySparkRuntimeError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pitchlake.operators.history import micros
 from pitchlake.operators.rating import Ratings, with_expectation
+from pitchlake.sources import shared
 
 MATCH = "competition_id long, match_id long, at long, home_team_id long, away_team_id long, hg long, ag long"
 OUT = "competition_id long, match_id long, at long, home_elo double, away_elo double, late boolean"
@@ -83,10 +82,7 @@ def run(spark: SparkSession, landing: str, out: str, checkpoint: str, files: int
 
 def caught_up(spark: SparkSession, matches: DataFrame, batches: int = 3) -> DataFrame:
     """Ratings of matches that land in `batches` parts by kickoff, each followed by a run that goes on from the last one's state."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        raise PySparkRuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    top = f"{folder}/elo-{uuid.uuid4().hex}"
+    top = shared.folder(spark, "elo")
     rows_of(matches).write.parquet(f"{top}/matches")
     rows = spark.read.schema(MATCH).parquet(f"{top}/matches")
     ends = rows.approxQuantile("at", [k / batches for k in range(1, batches)], 0.01)

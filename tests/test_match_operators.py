@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitchlake.operators import evaluation, grading, history, models, players, poisson, rating, reports, resolve, sides, validate
+from pitchlake.sources import commits
 from pitchlake.streaming import live, rate
 
 SCHEMA = "match_id long, competition_id long, season long, match_date timestamp_ntz, home_team_id long, away_team_id long, status string, hg long, ag long, hht long, aht long"
@@ -153,8 +154,9 @@ def test_stream_keeps_one_state(spark, tmp_path):
     t = datetime(2024, 1, 1)
     for n, rows in enumerate([[(1, t, "live", 0, 0), (2, t, "scheduled", None, None)], [(1, t + timedelta(minutes=5), "finished", 1, 0), (1, t + timedelta(minutes=1), "live", 1, 0)], [(1, t + timedelta(minutes=9), "scheduled", None, None)]]):
         spark.createDataFrame(rows, live.SNAPSHOT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/landing")
-        live.run(spark, f"{tmp_path}/landing", f"{tmp_path}/state", f"{tmp_path}/offsets").awaitTermination()
-        got = {r.match_id: (r.status, r.hg) for r in spark.read.parquet(f"{tmp_path}/state/version={n}").collect()}
+        live.run(spark, f"{tmp_path}/landing", live.states(f"{tmp_path}/state", 4), f"{tmp_path}/offsets").awaitTermination()
+        assert commits.commits(spark, live.states(f"{tmp_path}/state", 4))[-1] == n
+        got = {r.match_id: (r.status, r.hg) for r in commits.read(spark, live.states(f"{tmp_path}/state", 4)).collect()}
     assert got == {1: ("finished", 1), 2: ("scheduled", None)}
 
 
