@@ -46,6 +46,13 @@ def plain_team_name(names: pd.Series) -> pd.Series:
     return names.map(plain_team)
 
 
+def renamed(name: Column, mapping: dict[str, str]) -> Column:
+    """name as mapping has it, else as it is. mapping is a list of a source's spellings: it is part of the plan."""
+    if not mapping:
+        return name
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])[name], name)
+
+
 def season_name(text: Column) -> Column:
     """YYYY-YY of 2019/20, 2019-2020, 2019-20 or 2019 (a season that starts then); null without a year."""
     start = F.regexp_extract(text, r"((?:19|20)\d{2})", 1)

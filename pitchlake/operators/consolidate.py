@@ -73,6 +73,19 @@ def merged(stored: DataFrame, incoming: DataFrame, scalars: tuple[str, ...] = ("
     return both.select("match_id", *out, keep(*found).alias("conflicts"), keep(*halves).alias("half_pairs"))
 
 
+def outcomes(records: DataFrame, seen: DataFrame) -> DataFrame:
+    """record_id and the outcome of importing records (record_id, stored_id, is_resolved, n_conflicts): known records
+    (seen: record_id, in_conflict) stay a duplicate or a conflict; new ones can't be told apart from others
+    (resolution_conflict), contradict the match they are about (conflict), are about a known one (matched_duplicate) or bring
+    a new one (persisted)."""
+    known = seen.select("record_id", F.col("in_conflict").alias("_known")).groupBy("record_id").agg(F.bool_or("_known").alias("_known"))
+    kind = (
+        F.when(F.col("_known"), "conflict").when(~F.col("_known"), "duplicate").when(~F.col("is_resolved"), "resolution_conflict")
+        .when(F.col("n_conflicts") > 0, "conflict").when(F.col("stored_id").isNotNull(), "matched_duplicate").otherwise("persisted")
+    )
+    return records.join(known, "record_id", "left").select("record_id", kind.alias("outcome"))
+
+
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """stored with incoming's rows: known ones of its values overwrite, unknown ones leave what is there; new keys come in."""
     values = [c for c in stored.columns if c not in keys]

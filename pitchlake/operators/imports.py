@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pitchlake.functions import names
 from pitchlake.operators import validate
+from pitchlake.sources import landing, results_csv
 
 
 def together(*parsed: DataFrame) -> DataFrame:
@@ -16,6 +17,16 @@ def together(*parsed: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parsed)
 
 
+def uploaded(found: DataFrame, most: int = landing.MAX_FILE) -> tuple[DataFrame, DataFrame]:
+    """Uploaded files (path, content): their records (path, cells) by the reader of each payload's suffix, and path, error
+    of the files that can't be read."""
+    taken = landing.uploads(found, most)
+    csv = results_csv.raw_rows(taken.where("suffix = '.csv'").withColumn("member", F.lit(None).cast("string")))
+    rows = taken.where("suffix = '.json' and error is null").select("path", landing.json_records(F.col("content")).alias("rows"))
+    refused = taken.where("error is not null").select("path", "error").unionByName(rows.where("rows is null").select("path", F.lit("not_json").alias("error")))
+    return csv.select("path", "cells").unionByName(rows.select("path", F.explode("rows").alias("cells"))), refused
+
+
 def about(rows: DataFrame, competition: str | None = None, season: str | None = None) -> DataFrame:
     """Rows whose competition or path has the plain form of `competition` in it, and whose season is `season`'s in any spelling."""
     if competition:

@@ -25,6 +25,20 @@ def standings(matches: DataFrame) -> DataFrame:
     return total.withColumn("position", F.row_number().over(order).cast("long"))
 
 
+def nested(matches: DataFrame, competitions: DataFrame, teams: DataFrame) -> DataFrame:
+    """match_id and record: the match with its competition, season and teams as structs of id and name (null: unknown).
+
+    competitions: competition_id, name. teams: team_id, name. Seasons are named by their year.
+    """
+    rows = matches.join(competitions.select("competition_id", F.col("name").alias("_c")), "competition_id", "left")
+    for side in ("home", "away"):
+        rows = rows.join(teams.select(F.col("team_id").alias(f"{side}_team_id"), F.col("name").alias(f"_{side}")), f"{side}_team_id", "left")
+    part = lambda i, n, alias: F.struct(F.col(i).alias("id"), n.alias("name")).alias(alias)
+    own = [F.date_format("match_date", "yyyy-MM-dd").alias("match_date"), "status", F.col("hg").alias("home_score"), F.col("ag").alias("away_score"), F.col("hht").alias("halftime_home_score"), F.col("aht").alias("halftime_away_score")]
+    sides_ = [part("home_team_id", F.col("_home"), "home_team"), part("away_team_id", F.col("_away"), "away_team")]
+    return rows.select("match_id", F.struct(F.col("match_id").alias("id"), part("competition_id", F.col("_c"), "competition"), part("season", F.col("season").cast("string"), "season"), *sides_, *own).alias("record"))
+
+
 def match_list(matches: DataFrame, status: str | None = None, competition_id: int | None = None, since: str | None = None, until: str | None = None, newest_first: bool = True, offset: int = 0, limit: int = 50) -> DataFrame:
     """A page of matches by status, competition and dates (since <= date < until), in order of date and match_id."""
     if status is not None:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
-from pitchlake.functions import names
-from pitchlake.operators import aliases
+from pitchlake.functions import names, scores
+from pitchlake.operators import aliases, consolidate, enrich, imports, reports
+from pitchlake.plans import data_queries as data
 from pitchlake.plans import match_queries as base
 from pitchlake.sources import adapter, commits, shared
 from pitchlake.sources.commits import Once
@@ -123,3 +128,100 @@ def alias_closure(spark, d):
     known = part.where((k % 12 == 0) | (k % 15 == 3)).select(key, k.alias("entity_id"))
     decisions = part.where((k % 7 == 0) | (k % 11 == 3)).select(repository.alias("repository"), key, F.when(k % 5 != 0, k + 1_000_000).alias("entity_id"))
     return aliases.resolved(records, known, decisions)
+
+
+DIFFERS = "coalesce(i.{a} IS NOT NULL AND i.{b} IS NOT NULL AND ((s.{a} IS NOT NULL AND i.{a} <> s.{a}) OR (s.{b} IS NOT NULL AND i.{b} <> s.{b})), false)"
+
+
+@query(f"""SELECT record_id, CASE WHEN record_id % 20 = 1 THEN 'conflict' WHEN record_id % 10 = 1 THEN 'duplicate' WHEN home_team_id % 20 = 7 THEN 'resolution_conflict' WHEN differs THEN 'conflict' WHEN stored_id IS NOT NULL THEN 'matched_duplicate' ELSE 'persisted' END AS outcome FROM (
+SELECT i.record_id, i.home_team_id, s.match_id AS stored_id, s.match_id IS NOT NULL AND ({DIFFERS.format(a="hg", b="ag")} OR {DIFFERS.format(a="hht", b="aht")} OR coalesce(i.venue <> s.venue, false) OR {data.STATUS_SQL} = 'conflict') AS differs
+FROM second i LEFT JOIN (SELECT i.record_id, arg_min(s.match_id, (abs(epoch_us(s.match_date) - epoch_us(i.match_date)), s.match_id)) AS stored_id FROM second i JOIN matches s ON s.competition_id = i.competition_id AND s.season = i.season AND s.home_team_id = i.home_team_id
+  AND s.away_team_id = i.away_team_id AND abs(epoch_us(s.match_date) - epoch_us(i.match_date)) <= 86400000000 GROUP BY i.record_id) b ON b.record_id = i.record_id LEFT JOIN stored s ON s.match_id = b.stored_id)""", data.SECOND)
+def record_outcomes(spark, d):
+    told = consolidate.matched(data._second_source(spark, d), adapter.matches(spark, d))
+    about = told.select("record_id", "stored_id").join(data._stored(spark, d), F.col("match_id") == F.col("stored_id")).withColumn("match_id", F.col("record_id"))
+    found = consolidate.merged(about, told.withColumn("match_id", F.col("record_id"))).select(F.col("match_id").alias("record_id"), F.size("conflicts").alias("n_conflicts"))
+    rows = told.join(found, "record_id", "left").withColumn("is_resolved", F.col("home_team_id") % 20 != 7)
+    seen = told.where("record_id % 10 = 1").select("record_id", (F.col("record_id") % 20 == 1).alias("in_conflict"))
+    return consolidate.outcomes(rows, seen)
+
+
+@query("""SELECT match_id, '{"id":' || match_id || ',"competition":{"id":' || competition_id || ',"name":' || CASE WHEN competition_id = 3 THEN 'null' ELSE '"' || r_name || '"' END || '},"season":{"id":' || season || ',"name":"' || season || '"},"home_team":{"id":' || home_team_id || ',"name":"Team ' || home_team_id || '"},"away_team":{"id":' || away_team_id
+  || ',"name":"Team ' || away_team_id || '"},"match_date":"' || strftime(match_date, '%Y-%m-%d') || '","status":"' || status || '","home_score":' || coalesce(CAST(hg AS VARCHAR), 'null') || ',"away_score":' || coalesce(CAST(ag AS VARCHAR), 'null') || ',"halftime_home_score":' || coalesce(CAST(hht AS VARCHAR), 'null')
+  || ',"halftime_away_score":' || coalesce(CAST(aht AS VARCHAR), 'null') || '}' AS record FROM matches JOIN region ON r_regionkey = competition_id""")
+def match_records(spark, d):
+    m = adapter.matches(spark, d)
+    region = adapter.table(spark, d, "region").where("r_regionkey <> 3").select(F.col("r_regionkey").cast("long").alias("competition_id"), F.col("r_name").alias("name"))
+    ids = m.select(F.explode(F.array("home_team_id", "away_team_id")).alias("team_id")).distinct()
+    rows = reports.nested(m, region, ids.withColumn("name", F.concat(F.lit("Team "), "team_id")))
+    return rows.select("match_id", F.to_json("record", {"ignoreNullFields": "false"}).alias("record"))
+
+
+SPELLINGS = {"NATION_0": "Nation Zero", "NATION_1": "1st nation", "NATION_12": "NATION_1", "nation_2": "no such spelling"}
+
+
+@query("SELECT c_custkey, CASE n_name " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SPELLINGS.items()) + " ELSE n_name END AS team FROM customer JOIN nation ON n_nationkey = c_nationkey", None)
+def mapped_names(spark, d):
+    both = adapter.table(spark, d, "customer").join(adapter.table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    return both.select("c_custkey", names.renamed(F.col("n_name"), SPELLINGS).alias("team"))
+
+
+@query("""SELECT doc_id, md5(CASE WHEN strlen(text) > 4096 THEN '{"sha256":"' || sha256(text) || '","bytes":' || strlen(text) || '}' ELSE text END) AS payload_md5,
+  CASE WHEN doc_id % 3 = 0 THEN 'lang=xx' || CASE WHEN trim(source) <> '' THEN ',source=' || source ELSE '' END ELSE array_to_string(list_filter([CASE WHEN trim(lang) <> '' THEN 'lang=' || lang END, CASE WHEN trim(source) <> '' THEN 'source=' || source END], lambda x: x IS NOT NULL), ',') END AS metadata FROM documents""", None)
+def bounded_payloads(spark, d):
+    """Payloads of more than 4,096 bytes as a stub of their hash and size, and metadata that lack entries filled."""
+    docs = adapter.table(spark, d, "documents")
+    stored = F.when(F.col("doc_id") % 3 == 0, F.create_map(F.lit("lang"), F.lit("xx")))
+    filled = enrich.with_defaults(stored, F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source")))
+    told = F.array_join(F.array_sort(F.transform(F.map_entries(filled), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return docs.select("doc_id", F.md5(enrich.bounded(F.col("text"), 4096)).alias("payload_md5"), told.alias("metadata"))
+
+
+@query("SELECT match_id, CASE WHEN match_id % 4 <> 0 THEN hg WHEN match_id % 3 <> 0 THEN hg + 1 END AS hg, CASE WHEN match_id % 4 <> 0 THEN ag WHEN match_id % 3 <> 0 THEN ag END AS ag FROM matches")
+def canonical_scores(spark, d):
+    """Full-time scores, else those after extra time."""
+    k, rows = F.col("match_id"), adapter.matches(spark, d)
+    ft = lambda c: F.when(k % 4 != 0, F.col(c))
+    et = {"hg": F.when(k % 3 != 0, F.col("hg") + 1), "ag": F.when(k % 3 != 0, F.col("ag"))}
+    return rows.select("match_id", *[scores.canonical(ft(c), F.when(k % 4 == 0, et[c])).alias(c) for c in et])
+
+
+def _zipped(frames):
+    """Files of kind zip, two (an archive of two payloads) and broken; others as they are."""
+    for frame in frames:
+        out = []
+        for path, kind, text in frame.itertuples(index=False):
+            content = text.encode()
+            if kind in ("zip", "two"):
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w") as archive:
+                    for n in range(1 + (kind == "two")):
+                        archive.writestr(f"in/data{n}.csv", text)
+                    archive.writestr("in/readme.md", "notes")
+                content = held.getvalue()
+            out.append((path, content))
+        yield pd.DataFrame(out, columns=["path", "content"])
+
+
+UPLOADS = base.BASE + """,
+files AS (SELECT *, competition_id || '-' || season || '-' || month(match_date) || '-' || match_id // 1000 AS name, (season * 12 + month(match_date)) % 7 AS kind FROM matches)"""
+
+
+@query("""SELECT name || ['.csv', '.JSON', '.json', '.zip', '.zip', '.txt', '.json'][kind + 1] AS path, CASE kind WHEN 4 THEN 'not_one_payload' WHEN 5 THEN 'unsupported' WHEN 6 THEN 'not_json' END AS error, CASE WHEN kind < 4 THEN count(*) ELSE 0 END AS n_rows, CASE WHEN kind < 4 THEN CAST(sum(hg) AS BIGINT) END AS goals FROM files GROUP BY name, kind""", UPLOADS)
+def upload_dispatch(spark, d):
+    """Matches as uploads by competition, season and month, of a thousand ids at most: CSV, two shapes of JSON, archives of one
+    and of two payloads, a suffix that isn't taken and broken JSON, each read by its payload's reader or refused."""
+    m = adapter.matches(spark, d)
+    name = F.concat_ws("-", "competition_id", "season", F.month("match_date"), F.floor(F.col("match_id") / 1000))
+    kind = (F.col("season") * 12 + F.month("match_date")) % 7
+    suffixes, kinds = [".csv", ".JSON", ".json", ".zip", ".zip", ".txt", ".json"], ["csv", "list", "records", "zip", "two", "text", "broken"]
+    at = lambda values: F.array(*[F.lit(v) for v in values])[F.col("kind")]
+    rows = m.select(name.alias("name"), kind.cast("int").alias("kind"), F.concat_ws(",", "match_id", F.coalesce(F.col("hg").cast("string"), F.lit(""))).alias("line"), F.to_json(F.struct("match_id", "hg")).alias("object"))
+    files = rows.groupBy("name", "kind").agg(F.array_join(F.collect_list("line"), "\n").alias("lines"), F.array_join(F.collect_list("object"), ",").alias("objects"))
+    listed = F.concat(F.lit("["), F.col("objects"), F.lit("]"))
+    text = F.when(F.col("kind") == 1, listed).when(F.col("kind") == 2, F.concat(F.lit('{"records":'), listed, F.lit("}"))).when(F.col("kind") == 6, F.concat(F.lit("["), F.col("objects"))).otherwise(F.concat(F.lit("match_id,hg\n"), F.col("lines")))
+    found = files.select(F.concat("name", at(suffixes)).alias("path"), at(kinds).alias("kind"), text.alias("text")).mapInPandas(_zipped, "path string, content binary")
+    records, refused = imports.uploaded(found)
+    goals = records.select("path", F.nullif(F.col("cells")["hg"], F.lit("")).cast("long").alias("hg")).groupBy("path").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("hg").alias("goals"))
+    read = goals.select("path", F.lit(None).cast("string").alias("error"), "n_rows", "goals")
+    return read.unionByName(refused.select("path", "error", F.lit(0).cast("long").alias("n_rows"), F.lit(None).cast("long").alias("goals")))

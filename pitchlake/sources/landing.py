@@ -70,6 +70,46 @@ def members(found: DataFrame, suffixes: tuple[str, ...] = (".csv", ".json", ".tx
     return found.select("path", "content").mapInPandas(run, "path string, member string, content binary, error string")
 
 
+def payload(path: str, content: bytes, most: int) -> tuple[str | None, bytes | None, str | None]:
+    """(suffix, content, error) of an upload: a CSV or JSON file, or an archive with exactly one of them."""
+    suffix = PurePosixPath(path).suffix.lower()
+    if len(content) > most:
+        return suffix, None, "too_large"
+    if suffix in (".csv", ".json"):
+        return suffix, content, None
+    if suffix != ".zip":
+        return suffix, None, "unsupported"
+    rows = unpack(path, content, (".csv", ".json"), max_bytes=most)
+    if any(error for *_, error in rows):
+        return suffix, None, next(error for *_, error in rows if error)
+    if len(rows) != 1:
+        return suffix, None, "not_one_payload"
+    return PurePosixPath(rows[0][1]).suffix.lower(), rows[0][2], None
+
+
+def uploads(found: DataFrame, most: int = MAX_FILE) -> DataFrame:
+    """path, suffix, content, error of uploaded files (path, content): the one payload of each, or why it has none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(p, *payload(p or "", c or b"", most)) for p, c in zip(frame.path, frame.content, strict=True)]
+            yield pd.DataFrame(rows, columns=["path", "suffix", "content", "error"])
+
+    return found.select("path", "content").mapInPandas(run, "path string, suffix string, content binary, error string")
+
+
+def json_records(content: Column) -> Column:
+    """The objects of a JSON payload as maps: a list, what `records` or else `matches` lists, or one object; null if it is
+    none of these."""
+    text = F.regexp_replace(F.decode(content, "UTF-8"), "^\ufeff", "")
+    rows = "array<map<string, string>>"
+    listed = F.from_json(text, f"records {rows}, matches {rows}")
+    one = F.from_json(text, "map<string, string>")
+    named = F.map_contains_key(one, F.lit("records")) | F.map_contains_key(one, F.lit("matches"))
+    found = F.when(F.ltrim(text).startswith("["), F.from_json(text, rows)).when(named, F.coalesce(listed["records"], listed["matches"])).when(one.isNotNull(), F.array(one))
+    return F.when(~F.exists(found, lambda x: x.isNull()), found)
+
+
 def kind(path: Column) -> Column:
     """results, leagues, clubs, players or auxiliary, by a file's name and folders."""
     low = F.lower(path)
