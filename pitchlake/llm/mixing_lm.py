@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import heapq
-import zlib
-from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -54,37 +53,158 @@ def byte_code(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return length, code  # the first question's answer is the highest of `length` bits
 
 
-def symbols(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+class Words(NamedTuple):
+    """Words as places in one array of bytes, behind which eight more lie."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    lens: np.ndarray
+
+    def take(self, which: np.ndarray) -> Words:
+        return Words(self.data, self.starts[which], self.lens[which])
+
+    def numbers(self) -> np.ndarray:
+        """A hash of 64 bits of each word, eight bytes at once; xxh3 of the few that are long."""
+        eights = np.ndarray(len(self.data) - 7, "<u8", self.data, 0, (1,))
+        h = _mixed(self.lens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ eights[self.starts] & _FIRST[np.minimum(self.lens, 8)])
+        more, at = np.flatnonzero(self.lens > 8), 8
+        while len(more) and at < LONG_WORD:
+            h[more] = _mixed(h[more] ^ eights[self.starts[more] + at] & _FIRST[np.minimum(self.lens[more] - at, 8)])
+            at += 8
+            more = more[self.lens[more] > at]
+        for k in more:
+            h[k] = xxhash.xxh3_64_intdigest(self.data[self.starts[k] : self.starts[k] + self.lens[k]].tobytes())
+        return h
+
+    def ended(self) -> np.ndarray:
+        """The bytes of all words, each followed by a line end."""
+        sizes = self.lens + 1
+        ends = np.cumsum(sizes)
+        out = self.data[np.repeat(self.starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        out[ends - 1] = TEXT_END
+        return out
+
+    def list(self) -> list[bytes]:
+        data = self.data.tobytes()
+        return [data[a:b] for a, b in zip(self.starts.tolist(), (self.starts + self.lens).tolist(), strict=True)]
+
+    def by_bytes(self) -> np.ndarray:
+        """The order by the first eight bytes, in which words that begin alike lie together."""
+        eights = np.ndarray(len(self.data) - 7, "<u8", self.data, 0, (1,))
+        return np.argsort((eights[self.starts] & _FIRST[np.minimum(self.lens, 8)]).byteswap())
+
+
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def read_words(ended: bytes) -> Words:
+    """Of bytes in which each word is followed by a line end."""
+    data = np.frombuffer(ended + bytes(8), np.uint8)
+    ends = np.flatnonzero(data[:-8] == TEXT_END)
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(ends)]
+    return Words(data, starts, ends - starts)
+
+
+def listed(words: Words | list[bytes]) -> Words:
+    return words if isinstance(words, Words) else read_words(b"".join([w + b"\n" for w in words]))
+
+
+def cut(texts: list[bytes]) -> tuple[Words, np.ndarray]:
+    """The words of texts in lower case (A-Z), each text's followed by the empty word that is its end, and their number in
+    each text."""
+    data = np.frombuffer((b"\n" + b"\n".join(texts) + b"\n").lower() + bytes(8), np.uint8)
+    blank = _BLANK[data[:-8]]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    begin, end = edges[::2], edges[1::2]
+    bounds = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    n = np.diff(np.searchsorted(begin, bounds), prepend=0)
+    at = np.arange(len(begin)) + np.repeat(np.arange(len(texts)), n)
+    starts, lens = np.zeros((2, len(begin) + len(texts)), np.int64)
+    starts[at], lens[at] = begin, end - begin
+    return Words(data, starts, lens), n + 1
+
+
+def symbols(words: Words | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of words with their ends, and the length of each; the empty word is the end of a text."""
-    spelled = [w + b" " if w else b"\n" for w in words]
-    return np.frombuffer(b"".join(spelled), np.uint8).astype(np.int64), np.fromiter(map(len, spelled), np.int64, len(spelled))
+    words = listed(words)
+    sym, sizes = words.ended(), words.lens + 1
+    sym[np.cumsum(sizes)[words.lens > 0] - 1] = WORD_END
+    return sym.astype(np.int64), sizes
+
+
+class Symbols(NamedTuple):
+    """The bytes of words: the word of each, its place there, and what the predictors know before it."""
+
+    owner: np.ndarray
+    sym: np.ndarray
+    place: np.ndarray
+    contexts: list[np.ndarray]
+
+    def take(self, which: np.ndarray) -> Symbols:
+        return Symbols(self.owner[which], self.sym[which], self.place[which], [c[which] for c in self.contexts])
 
 
-def decisions(words: list[bytes], kinds: np.ndarray, length: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each binary decision: its word, its bit, a slot for each predictor, and its gate."""
+def spelled_out(words: Words | list[bytes], kinds: np.ndarray) -> Symbols:
     sym, lens = symbols(words)
-    owner = np.repeat(np.arange(len(words)), lens)
-    place = np.arange(len(sym)) - np.repeat(np.cumsum(lens) - lens, lens)
-    back = [np.where(place >= k, np.concatenate([np.zeros(k, np.int64), sym[:-k]]) if k <= len(sym) else 0, 0) for k in (1, 2, 3, 4)]
-    runs = np.cumsum((sym.astype(np.uint64) + np.uint64(1)) * _P[place % len(_P)])
-    before = np.concatenate([[np.uint64(0)], runs[:-1]])
-    prefix = before - np.repeat(before[np.cumsum(lens) - lens], lens)
-    contexts = [back[0] | back[1] << 8]
+    owner = np.repeat(np.arange(len(lens)), lens)
+    first = np.cumsum(lens) - lens
+    place = np.arange(len(sym)) - np.repeat(first, lens)
+    u = sym.astype(np.uint64)
+    back = [np.where(place >= k, np.concatenate([np.zeros(k, np.uint64), u[:-k]])[: len(u)], np.uint64(0)) for k in (1, 2, 3, 4)]
+    runs = np.cumsum((u + np.uint64(1)) * _P[place % len(_P)])
+    before = np.concatenate([[np.uint64(0)], runs[:-1]])[: len(u)]
+    prefix = before - np.repeat(before[first], lens)
+    contexts = [back[0] | back[1] << np.uint64(8)]
     for k in (2, 3):
-        contexts.append(contexts[-1] | back[k] << 8 * k)
-    contexts = [c.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) for c in contexts] + [prefix + place.astype(np.uint64)]
-    contexts.append(contexts[-1] + (kinds[owner].astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
-    sizes = length[sym]
-    at = np.repeat(np.arange(len(sym)), sizes)
-    asked = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # questions before this one
-    s = sym[at]
-    rest = length[s] - asked
-    node = ((np.int64(1) << asked) | (code[s] >> rest)).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-    slots = np.empty((len(at), len(SLOTS)), np.int64)
-    for j, b in enumerate(SLOTS):
-        h = (contexts[j][at] ^ node) * np.uint64(0x9E3779B97F4A7C15)
-        slots[:, j] = (h >> np.uint64(64 - b)).astype(np.int64) + BASES[j]
-    return owner[at], (code[s] >> (rest - 1)) & 1, slots, np.minimum(place, 7)[at]
+        contexts.append(contexts[-1] | back[k] << np.uint64(8 * k))
+    contexts = [c * np.uint64(0xD6E8FEB86659FD93) for c in contexts] + [prefix + place.astype(np.uint64)]
+    contexts.append(contexts[-1] + ((kinds.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))[owner])
+    return Symbols(owner, sym, place, contexts)
+
+
+class Questions:
+    """What is asked of each byte, one byte's questions after the other's."""
+
+    def __init__(self, length: np.ndarray, code: np.ndarray):
+        self.sizes = length
+        self.first = np.cumsum(length) - length
+        s = np.repeat(np.arange(256), length)
+        asked = np.arange(len(s)) - self.first[s]  # questions before this one
+        rest = length[s] - asked
+        self.bit = (code[s] >> (rest - 1)) & 1
+        self.node = ((np.int64(1) << asked) | (code[s] >> rest)).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+
+
+class Decisions(NamedTuple):
+    """Of each question its symbol's number, its answer and what tells its slot apart; `sizes` questions a symbol."""
+
+    sizes: np.ndarray
+    bit: np.ndarray
+    node: np.ndarray
+
+    def slots(self, j: int, context: np.ndarray) -> np.ndarray:
+        """Of predictor j, from its contexts by symbol."""
+        h = np.repeat(context, self.sizes)
+        h ^= self.node
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h >>= np.uint64(64 - SLOTS[j])
+        return h.view(np.int64) + BASES[j]
+
+
+def decisions(sym: np.ndarray, questions: Questions) -> Decisions:
+    sizes = questions.sizes[sym]
+    ends = np.cumsum(sizes)
+    at = np.repeat(questions.first[sym] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+    return Decisions(sizes, questions.bit[at], questions.node[at])
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -102,67 +222,77 @@ class Mixer:
     """Weights of predictors by gate, and by gate and bucket of the mix how often it met a 0 and a 1 there."""
 
     def __init__(self, gates: int, inputs: int, start: float = 0.3):
-        self.weights = np.full((gates, inputs), start)
-        self.refined = np.zeros((gates, BUCKETS, 2))
+        self.weights = np.full((inputs, gates), start)
+        self.refined = np.zeros((gates * BUCKETS, 2))
 
-    def learn(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, share: np.ndarray) -> None:
+    def mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        z = x[0] * self.weights[0].take(gate)
+        for k in range(1, len(x)):
+            z += x[k] * self.weights[k].take(gate)
+        return z
+
+    def learn(self, x: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, share: np.ndarray) -> None:
         """One step online: stretched chances x, answers bit, each as often as share says."""
-        z = (x * self.weights[gate]).sum(1)
-        gates = len(self.weights)
+        z = self.mixed(x, gate)
+        gates = self.weights.shape[1]
         cells = (gate * BUCKETS + _bucket(z)) * 2 + bit
         self.refined += np.bincount(cells, share, self.refined.size).reshape(self.refined.shape)
         error = (bit - _squash(z)) * share
         total = np.maximum(np.bincount(gate, share, gates), 8.0)
-        for j in range(x.shape[1]):
-            self.weights[:, j] += RATE * np.bincount(gate, error * x[:, j], gates) / total
+        for k in range(len(x)):
+            self.weights[k] += RATE * np.bincount(gate, error * x[k], gates) / total
 
-    def chance(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    def chance(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         """Of a 1: mixed, then averaged with what the mix's own record says at that level."""
-        z = (x * self.weights[gate]).sum(1)
-        level = _bucket(z)
-        fixed = (self.refined[gate, level, 1] + 2 * _squash(LEVELS[level])) / (self.refined[gate, level].sum(1) + 2)
-        return (_squash(z) + fixed) / 2
+        z = self.mixed(x, gate)
+        level = np.tile(LEVELS, self.weights.shape[1])
+        fixed = (self.refined[:, 1] + 2 * _squash(level)) / (self.refined.sum(1) + 2)
+        return (_squash(z) + fixed.take(gate * BUCKETS + _bucket(z))) / 2
 
 
-def _inputs(tables: np.ndarray, slot: np.ndarray, gate: np.ndarray, without: np.ndarray | None = None, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Stretched chances of the predictors, and the gate with how well the word so far is known (never seen, seen, often).
+def _inputs(tables: np.ndarray, slots: list[np.ndarray], place: np.ndarray, without: np.ndarray | None = None, owner: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Stretched chances of the predictors, and the gate: the place and how well the word so far is known (never seen, seen, often).
 
     without: bits of occurrences to leave out of the counts, of the words that owner numbers in order; predictors by bytes count a
     word once, so that only a word seen once is left out there.
     """
-    n = tables.view(np.uint64).ravel()[slot].view(np.float32).reshape(*slot.shape, 2)  # both counts of a slot at once
-    if without is not None and len(n):
-        own = len(SLOTS) - TOKENS
-        word = np.where(without == 1, n[:, own, 1], n[:, own, 0])
+    both, own = tables.view(np.uint64).ravel(), len(SLOTS) - TOKENS
+    counts = [both.take(s).view(np.float32).reshape(-1, 2) for s in slots]  # both counts of a slot at once
+    counts = [[n[:, 0], n[:, 1]] for n in counts]
+    if without is not None and len(place):
+        no, yes = (without == 0).astype(np.float32), without.astype(np.float32)
+        word = counts[own][0] * no + counts[own][1] * yes
         least = np.minimum.reduceat(word, np.flatnonzero(np.diff(owner, prepend=-1)))  # how often all training texts have the word
-        less = np.ones(slot.shape, np.float32)
-        less[:, :own] = np.repeat(least < 1.5, np.bincount(owner))[:, None]
-        answer = (without == 1)[:, None]
-        n[:, :, 1] -= less * answer
-        n[:, :, 0] -= less * ~answer
-        np.maximum(n, 0, out=n)
-    seen = n[:, len(SLOTS) - TOKENS].sum(1)
-    return np.log((n[:, :, 1] + np.float32(0.4)) / (n[:, :, 0] + np.float32(0.4))), gate * 3 + (seen > 0.5) + (seen > 20)
+        once = (least < 1.5).astype(np.float32).repeat(np.bincount(owner))
+        for j, n in enumerate(counts):
+            for k, less in enumerate((no, yes)):
+                n[k] = np.maximum(n[k] - (once * less if j < own else less), 0)
+    seen = counts[own][0] + counts[own][1]
+    return [np.log((yes + np.float32(0.4)) / (no + np.float32(0.4))) for no, yes in counts], place * 3 + (seen > 0.5) + (seen > 20)
 
 
-def spell_costs(words: list[bytes], kinds: np.ndarray, counts: np.ndarray, tables: np.ndarray, length: np.ndarray, code: np.ndarray, asked: np.ndarray | None = None) -> np.ndarray:
+def spell_costs(words: Words | list[bytes], kinds: np.ndarray, counts: np.ndarray, tables: np.ndarray, length: np.ndarray, code: np.ndarray, asked: np.ndarray | None = None) -> np.ndarray:
     """log10 probability of each word in a text of its kind, spelled byte by byte; of those not asked for, 0.
 
     The mixer learns online, each word as often as counts says. A decision is predicted without the occurrence that it
     belongs to: what the model gives words it has not seen counts. Then it holds still and words are scored.
     """
-    mixer, out = Mixer(GATES * 3, len(SLOTS)), np.zeros(len(words))
+    words, questions = listed(words), Questions(length, code)
+    mixer, out = Mixer(GATES * 3, len(SLOTS)), np.zeros(len(words.lens))
 
     def some(which: np.ndarray) -> Iterator[tuple]:
         for at in range(0, len(which), MINIBATCH):
             here = which[at : at + MINIBATCH]
-            yield here, *decisions([words[k] for k in here], kinds[here], length, code)
-
-    for here, owner, bit, slot, gate in some(np.flatnonzero(counts > 0)):
-        x, g = _inputs(tables, slot, gate, bit, owner)
-        mixer.learn(x, g, bit, counts[here][owner].astype(np.float64))
-    for here, owner, bit, slot, gate in some(np.arange(len(words)) if asked is None else np.flatnonzero(asked)):
-        p = mixer.chance(*_inputs(tables, slot, gate))
+            all_ = spelled_out(words.take(here), kinds[here])
+            told = decisions(all_.sym, questions)
+            slots = [told.slots(j, c) for j, c in enumerate(all_.contexts)]
+            yield here, np.repeat(all_.owner, told.sizes), told.bit, slots, np.repeat(np.minimum(all_.place, 7), told.sizes)
+
+    for here, owner, bit, slots, place in some(np.flatnonzero(counts > 0)):
+        x, gate = _inputs(tables, slots, place, bit, owner)
+        mixer.learn(x, gate, bit, counts[here].astype(np.float64)[owner])
+    for here, owner, bit, slots, place in some(np.arange(len(out)) if asked is None else np.flatnonzero(asked)):
+        p = mixer.chance(*_inputs(tables, slots, place))
         out[here] = np.bincount(owner, np.log10(np.where(bit == 1, p, 1 - p).clip(1e-9, 1)), len(here))
     return out
 
@@ -174,7 +304,7 @@ FOLLOWED = 8
 
 def _known_before(n: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Inputs and gates of that decision after n occurrences of d words."""
-    x = np.stack([np.log((n - d + 0.5) / (d + 0.5)), np.ones(len(n))], 1)
+    x = [np.log((n - d + 0.5) / (d + 0.5)), np.ones(len(n))]
     size = np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), FOLLOWED - 1)
     return x, size * 3 + (d > 1) + (d > n / 2)
 
@@ -200,47 +330,52 @@ def follow_costs(context: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, known, np.where(n > 0, 1 - np.log10(1 - p), 1.0))
 
 
-def _packed(data: bytes) -> bytes:
-    return zlib.compress(data, 1)
-
-
-def _numbers(packed) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(packed.as_py()), np.int64)
-
-
-def _spelled(words: list[bytes]) -> bytes:
-    return _packed(b"\n".join(words))
-
-
-def _read(words) -> list[bytes]:
-    return zlib.decompress(words.as_py()).split(b"\n")
+_ZSTD = pa.Codec("zstd", compression_level=1)
 
 
-def _words_of(text: str | None) -> list[bytes]:
-    return [*(text or "").encode("utf-8", "replace").lower().split(), b""]
+def _packed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True)
 
 
-def kind_of(often: Counter) -> int:
-    """The kind of a text: a hash of its most frequent word, of equally frequent ones the least."""
-    most = max(often.values())
-    return xxhash.xxh3_64_intdigest(min([w for w, n in often.items() if n == most]), 3) % KINDS
+def _unpacked(packed) -> bytes:
+    packed = packed.as_py() if isinstance(packed, pa.Scalar) else packed
+    return _ZSTD.decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True)
 
 
-class Numbers(dict):
-    """Hashes of words of 64 bits, kept for words met again."""
+def _encoded(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "replace")
 
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = xxhash.xxh3_64_intdigest(word)
-        return number
 
+def _interned(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each key its number among the distinct ones, and of these their first places."""
+    found = pa.array(keys).dictionary_encode()
+    ids = found.indices.to_numpy()
+    first = np.empty(len(found.dictionary), np.int64)
+    first[ids[::-1]] = np.arange(len(keys) - 1, -1, -1)
+    return ids, first
 
-_numbered = Numbers()
 
+def kinds_of(words: Words, numbers: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The kinds of texts, lens words each: a hash of a text's most frequent word, of equally frequent ones the least.
 
-def word_numbers(words: list[bytes]) -> np.ndarray:
-    if len(_numbered) > 400_000:
-        _numbered.clear()
-    return np.fromiter(map(_numbered.__getitem__, words), np.uint64, len(words))
+    numbers are the words' hashes, in the order of texts; each text has a word, if only its end.
+    """
+    ids, first = _interned(numbers)
+    met = np.sort(np.repeat(np.arange(len(lens)), lens) * len(first) + ids)
+    new = np.flatnonzero(np.diff(met, prepend=-1))
+    text, word, n = met[new] // len(first), met[new] % len(first), np.diff(new, append=len(met))
+    best = np.flatnonzero(n == np.maximum.reduceat(n, np.flatnonzero(np.diff(text, prepend=-1)))[text])
+    text, word = text[best], word[best]
+    some = _distinct(word)
+    spelled = words.take(first[some]).list()
+    order = sorted(range(len(some)), key=spelled.__getitem__)
+    rank = np.empty(len(first), np.int64)
+    rank[some[order]] = np.arange(len(some))
+    least = np.minimum.reduceat(rank[word], np.flatnonzero(np.diff(text, prepend=-1)))
+    kinds = np.zeros(len(some), np.int64)
+    for k in _distinct(least).tolist():
+        kinds[k] = xxhash.xxh3_64_intdigest(spelled[order[k]], 3) % KINDS
+    return kinds[least]
 
 
 def unit_keys(numbers: np.ndarray, kinds: np.ndarray) -> np.ndarray:
@@ -250,40 +385,48 @@ def unit_keys(numbers: np.ndarray, kinds: np.ndarray) -> np.ndarray:
 
 def _part_of_words(numbers: np.ndarray, parts: int) -> np.ndarray:
     """Of all units with the same word the same."""
-    return (numbers % np.uint64(parts)).astype(np.int64)
+    return (numbers % np.uint64(parts)).astype(np.min_scalar_type(parts))
 
 
-#: A unit is a word behind a head, a byte for the kind of its text.
-WORD_HEAD = 1
+CONTEXT_BITS, WORD_BITS = 40, 24
 
 
-CONTEXT_BITS, WORD_BITS = 40, 24
+def _among(numbers: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Whether each of numbers is one of few, which are sorted."""
+    out = np.zeros(len(numbers), bool)
+    if len(few):
+        heads = np.zeros(1 << 16, bool)
+        heads[few >> np.uint64(48)] = True
+        at = np.flatnonzero(heads[numbers >> np.uint64(48)])
+        out[at] = few[np.minimum(np.searchsorted(few, numbers[at]), len(few) - 1)] == numbers[at]
+    return out
 
 
-def passages_of(texts: list[list[bytes]], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per word of texts, lists of words: a key of CONTEXT_BITS for the words before it and WORD_BITS for the word, and the
-    word's hash.
+def passages_of(numbers: np.ndarray, lens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Per word of texts, lens words each, by their hashes: a key of CONTEXT_BITS for the words before it and WORD_BITS for
+    the word.
 
     The words before are two, and more while all of them are frequent (hashes, sorted), four at most; a text's start has
     none before it.
     """
-    words = []
-    for text in texts:
-        words += (b"\n", b"\n", b"\n", b"\n")
-        words += text
-    h = word_numbers(words)
-    text_words = h != word_numbers([b"\n"])
-    often = np.isin(h, frequent)
-    back = [np.concatenate([np.zeros(k, np.uint64), h[:-k]]) if len(h) > k else np.zeros(len(h), np.uint64) for k in (1, 2, 3, 4)]
-    was = [np.concatenate([np.zeros(k, bool), often[:-k]]) if len(h) > k else np.zeros(len(h), bool) for k in (1, 2, 3)]
-    third = was[0] & was[1]
-    fourth = third & was[2]
-    context = back[0] * np.uint64(0x9E3779B97F4A7C15) + back[1]
-    for on, b in ((third, back[2]), (fourth, back[3])):
-        context = np.where(on, (context ^ (context >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + b, context)
+    often, start = _among(numbers, frequent), read_words(b"\0\n").numbers()[0]
+    first = np.cumsum(lens) - lens
+
+    def before(values: np.ndarray, k: int, none) -> np.ndarray:
+        out = np.concatenate([np.full(k, none, values.dtype), values[:-k]])[: len(values)]
+        for j in range(k):
+            out[first[lens > j] + j] = none
+        return out
+
+    third = before(often, 1, False) & before(often, 2, False)
+    fourth = third & before(often, 3, False)
+    context = before(numbers, 1, start) * np.uint64(0x9E3779B97F4A7C15) + before(numbers, 2, start)
+    for on, k in ((third, 3), (fourth, 4)):
+        at = np.flatnonzero(on)
+        c = context[at]
+        context[at] = (c ^ (c >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + before(numbers, k, start)[at]
     context = (context ^ (context >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    h = h[text_words]
-    return context[text_words] >> np.uint64(WORD_BITS) << np.uint64(WORD_BITS) | h >> np.uint64(64 - WORD_BITS), h
+    return context >> np.uint64(WORD_BITS) << np.uint64(WORD_BITS) | numbers >> np.uint64(64 - WORD_BITS)
 
 
 def _distinct(keys: np.ndarray) -> np.ndarray:
@@ -303,72 +446,102 @@ def _planes(numbers: np.ndarray) -> bytes:
 
 
 def _from_planes(packed) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed.as_py()), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
-
+    return np.ascontiguousarray(np.frombuffer(_unpacked(packed), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
-def _split(units: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """The words and the kinds of units."""
-    return [u[WORD_HEAD:] for u in units], np.fromiter((u[0] for u in units), np.int64, len(units))
-
-
-def _gathered(parts: int):
-    """Of each block: its distinct units by part, and by unit twice its count in training texts, with 1 more if a text that
-    is held out has it."""
 
-    def flush(block: int, of_kind: dict[tuple[int, bool], Counter]) -> pa.RecordBatch:
-        found: dict[bytes, int] = {}
-        for (kind, train), words in of_kind.items():
-            tail = b" %c" % kind  # no word has a blank
-            for w, n in words.items():
-                unit = w + tail
-                found[unit] = found.get(unit, 0) + (2 * n if train else 1)
-        units = sorted(found)  # equal words take no room
-        lot = _part_of_words(word_numbers([u[:-2] for u in units]), parts).tolist()
-        by: dict[int, list[bytes]] = {}
-        for u, part in zip(units, lot, strict=True):
-            by.setdefault(part, []).append(u)
-        rows = []
-        for part, us in by.items():
-            counts = np.fromiter(map(found.__getitem__, us), np.int64, len(us))
-            rows.append((block, part, _spelled([u[:-2] for u in us]), _packed(bytes([u[-1] for u in us])), _planes(counts)))
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "part", "words", "heads", "counts"])
+def _by_block(flush):
+    """Batches of rows by _block, put together: flush gets a block, its encoded texts and whether they are of training."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[int, bool], Counter] = {}
+        texts: list[bytes] = []
+        train: list[bool] = []
         current = None
         for batch in batches:
-            for block, text, train in zip(batch.column("_block").to_pylist(), batch.column("text"), batch.column("_train").to_pylist(), strict=True):
+            for block, text, k in zip(batch.column("_block").to_pylist(), batch.column("text").to_pylist(), batch.column("_train").to_pylist(), strict=True):
                 if block != current:
-                    if found:
-                        yield flush(current, found)
-                    found, current = {}, block
-                words = _words_of(text.as_py())
-                found.setdefault((kind_of(Counter(words)), train), Counter()).update(words)
-        if found:
-            yield flush(current, found)
+                    if texts:
+                        yield flush(current, texts, train)
+                    texts, train, current = [], [], block
+                texts.append(_encoded(text))
+                train.append(k)
+        if texts:
+            yield flush(current, texts, train)
 
     return run
 
 
-GATHERED = "block long, part long, words binary, heads binary, counts binary"
+#: A unit is a word and a kind of text that has it. Words in an order that puts those together which begin alike, how many
+#: units each has, the units' kinds and counts.
+UNITS = ("words", "per", "heads", "counts")
+BINARY = ", ".join(f"{c} binary" for c in UNITS)
+
+
+def _told_units(words: Words, word: np.ndarray, kinds: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+    """Of units in the order of words, each the word of a number and a kind of text."""
+    per = np.bincount(word, minlength=len(words.lens))
+    return _packed(words.ended().tobytes()), _packed(per.astype(np.uint8).tobytes()), _packed(kinds.astype(np.uint8).tobytes()), _planes(counts)
 
 
-def _units(words, heads) -> list[bytes]:
-    """The units of a row."""
-    words, heads = _read(words), zlib.decompress(heads.as_py())
-    return [heads[k : k + 1] + w for k, w in enumerate(words)]
+def _read_units(*columns) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of rows one after the other, and of units the number of their word, kinds and counts."""
+    words, per, heads = (b"".join([_unpacked(x) for x in c]) for c in columns[:3])
+    counts = [_from_planes(x).astype(np.int64) for x in columns[3]]
+    per = np.frombuffer(per, np.uint8)
+    return read_words(words), np.repeat(np.arange(len(per)), per), np.frombuffer(heads, np.uint8), np.concatenate([np.zeros(0, np.int64), *counts])
+
+
+def _gathered(parts: int):
+    """Of each block: its distinct units by part, and by unit twice its count in training texts, with 1 more if a text that
+    is held out has it."""
+
+    def flush(block: int, texts: list[bytes], train: list[bool]) -> pa.RecordBatch:
+        words, lens = cut(texts)
+        numbers = words.numbers()
+        kinds, learnt = np.repeat(kinds_of(words, numbers, lens), lens), np.repeat(train, lens)
+        ids, first = _interned(unit_keys(numbers, kinds))
+        counts = 2 * np.bincount(ids, learnt, len(first)).astype(np.int64)
+        counts[_distinct(ids[~learnt])] += 1
+        word, of = _interned(numbers[first])
+        own = words.take(first[of])
+        part = _part_of_words(numbers[first[of]], parts)
+        order = own.by_bytes()
+        order = order[np.argsort(part[order], kind="stable")]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        word = rank[word]
+        by_word = np.argsort(word)
+        word, heads, counts = word[by_word], kinds[first][by_word], counts[by_word]
+        part = part[order]
+        edges = np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1))
+        rows = []
+        for a, b in zip(edges, [*edges[1:], len(part)], strict=True):
+            c, d = np.searchsorted(word, (a, b))
+            rows.append((block, int(part[a]), *_told_units(own.take(order[a:b]), word[c:d] - a, heads[c:d], counts[c:d])))
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "part", *UNITS])
+
+    return _by_block(flush)
+
+
+GATHERED = f"block long, part long, {BINARY}"
 
 
 def _passages(lots: int, frequent: np.ndarray):
     """Of each block: its distinct passages by part, and how often its training texts have them."""
 
-    def flush(block: int, texts: list, train: list[bool]) -> pa.RecordBatch:
-        texts = [_words_of(t) for t in texts]
-        keys, _ = passages_of(texts, frequent)
-        learnt = np.sort(keys[np.repeat(train, [len(ws) for ws in texts])])
-        keys = _distinct(keys)
-        counts = np.diff(np.searchsorted(learnt, keys), append=len(learnt))
+    def flush(block: int, texts: list[bytes], train: list[bool]) -> pa.RecordBatch:
+        words, lens = cut(texts)
+        keys = passages_of(words.numbers(), lens, frequent)
+        learnt = np.repeat(train, lens)
+        asked = _distinct(keys[~learnt])
+        learnt = np.sort(keys[learnt])
+        first = np.flatnonzero(np.concatenate([[True], learnt[1:] != learnt[:-1]])[: len(learnt)])
+        keys, counts = learnt[first], np.diff(first, append=len(learnt))
+        at = np.searchsorted(keys, asked)
+        if len(keys):
+            new = keys[np.minimum(at, len(keys) - 1)] != asked
+            at, asked = at[new], asked[new]
+        keys, counts = np.insert(keys, at, asked), np.insert(counts, at, 0)
         part = _part_of(keys, lots)
         edges = np.flatnonzero(np.diff(part, prepend=-1))
         rows = []
@@ -377,42 +550,38 @@ def _passages(lots: int, frequent: np.ndarray):
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "part", "keys", "counts"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: list = []
-        train: list[bool] = []
-        current = None
-        for batch in batches:
-            for block, text, k in zip(batch.column("_block").to_pylist(), batch.column("text").to_pylist(), batch.column("_train").to_pylist(), strict=True):
-                if block != current:
-                    if texts:
-                        yield flush(current, texts, train)
-                    texts, train, current = [], [], block
-                texts.append(text)
-                train.append(k)
-        if texts:
-            yield flush(current, texts, train)
-
-    return run
+    return _by_block(flush)
 
 
 PASSAGES = "block long, part long, keys binary, counts binary"
 
 
-def _merged(rows: pa.Table) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, dict[int, np.ndarray]]:
-    """The place of each unit of a part, its count in all training texts, whether texts held out have it, and the places of
-    each block's units."""
-    place: dict[bytes, int] = {}
-    lists: dict[int, list] = {}
-    found = []
-    for block, words, heads, counts in zip(rows.column("block").to_pylist(), *[rows.column(c) for c in ("words", "heads", "counts")], strict=True):
-        at = np.fromiter((place.setdefault(u, len(place)) for u in _units(words, heads)), np.int64)
-        lists.setdefault(block, []).append(at)
-        found.append((at, _from_planes(counts).astype(np.int64)))
-    total, asked = np.zeros(len(place), np.int64), np.zeros(len(place), bool)
-    for at, counts in found:
-        np.add.at(total, at, counts >> 1)
-        asked[at[counts & 1 == 1]] = True
-    return place, total, asked, {block: np.concatenate(x) for block, x in lists.items()}
+class Merged(NamedTuple):
+    """The units of a part: words, the number of each unit's word, kinds, counts in all training texts, whether texts held
+    out have it, the words' hashes, and the places of each block's units."""
+
+    words: Words
+    word: np.ndarray
+    kinds: np.ndarray
+    total: np.ndarray
+    asked: np.ndarray
+    numbers: np.ndarray
+    blocks: dict[int, np.ndarray]
+
+
+def _merged(rows: pa.Table) -> Merged:
+    columns = [rows.column(c) for c in UNITS]
+    words, word, kinds, counts = _read_units(*columns)
+    numbers = words.numbers()
+    ids, first = _interned(unit_keys(numbers[word], kinds))
+    asked = np.zeros(len(first), bool)
+    asked[ids[counts & 1 == 1]] = True
+    own, of = _interned(numbers)
+    blocks: dict[int, list] = {}
+    for block, at in zip(rows.column("block").to_pylist(), np.split(ids, np.cumsum([len(_unpacked(h)) for h in columns[2]])[:-1]), strict=True):
+        blocks.setdefault(block, []).append(at)
+    total = np.bincount(ids, counts >> 1, len(first)).astype(np.int64)
+    return Merged(words.take(of), own[word[first]], kinds[first], total, asked, numbers[of], {b: np.concatenate(x) for b, x in blocks.items()})
 
 
 TOLD = "block long, part long, counts binary, costs binary"
@@ -425,39 +594,29 @@ def _told(part: int, blocks: list[tuple[int, bytes | None, bytes]]) -> pa.Table:
     return pa.table({n: pa.array(c, k) for n, c, k in zip(("block", "part", "counts", "costs"), zip(*rows, strict=True), kinds, strict=True)})
 
 
-def _by_word(place: dict[bytes, int], total: np.ndarray) -> dict[bytes, int]:
-    """Counts of words over all kinds of text."""
-    by: dict[bytes, int] = {}
-    for unit, k in place.items():
-        by[unit[WORD_HEAD:]] = by.get(unit[WORD_HEAD:], 0) + int(total[k])
-    return by
-
-
 def _vocabulary(rows: pa.Table) -> pa.Table:
     """Of one part: words by kind of text seen in training, their counts, sums, and the bytes that spell them."""
-    place, total, _, _ = _merged(rows)
-    units = sorted((u for u, k in place.items() if total[k]), key=lambda u: (u[WORD_HEAD:], u))
-    counts = np.fromiter((total[place[u]] for u in units), np.int64, len(units))
-    words = _split(units)[0]
+    own = _merged(rows)
+    by_word = np.bincount(own.word, own.total, len(own.numbers))
+    order = own.words.by_bytes()
+    order = order[by_word[order] > 0]
+    words, by_word = own.words.take(order), by_word[order]
+    rank = np.empty(len(own.numbers), np.int64)
+    rank[order] = np.arange(len(order))
+    units = np.flatnonzero(own.total)
+    units = units[np.argsort(rank[own.word[units]])]
     sym, lens = symbols(words)
-    bytes_ = np.bincount(sym, np.repeat(counts, lens), 256) if len(units) else np.zeros(256)
-    cols = {"part": pa.array([rows.column("part")[0].as_py()]), "words": pa.array([_spelled(words)], pa.binary()), "heads": pa.array([_packed(b"".join([u[:WORD_HEAD] for u in units]))], pa.binary()), "counts": pa.array([_packed(counts.tobytes())], pa.binary())}
-    return pa.table(cols | {"n": [int(counts.sum())], "v": [len(set(words))], "spelling": pa.array([bytes_.tolist()], pa.list_(pa.float64()))})
-
-
-def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """Units and counts of rows of the vocabulary."""
-    for words, heads, counts in zip(*[batch.column(c) for c in ("words", "heads", "counts")], strict=True):
-        n = _numbers(counts)
-        yield (_units(words, heads) if len(n) else []), n
+    told = _told_units(words, rank[own.word[units]], own.kinds[units], own.total[units])
+    cols = {"part": pa.array([rows.column("part")[0].as_py()])} | {c: pa.array([x], pa.binary()) for c, x in zip(UNITS, told, strict=True)}
+    return pa.table(cols | {"n": [int(own.total.sum())], "v": [len(order)], "spelling": pa.array([np.bincount(sym, np.repeat(by_word, lens), 256).tolist()], pa.list_(pa.float64()))})
 
 
 def _often(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for units, counts in _unpacked(batch):
-                found = _by_word({u: k for k, u in enumerate(units)}, counts)
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, c in found.items() if c >= least], pa.binary())], ["word"])
+            words, word, _, counts = _read_units(*[batch.column(c) for c in UNITS])
+            found = words.numbers()[np.bincount(word, counts, len(words.lens)) >= least]
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["number"])
 
     return run
 
@@ -466,12 +625,19 @@ def _often(least: float):
 PIECE = 1 << 19
 
 
-def add_words(tables: np.ndarray, words: list[bytes], kinds: np.ndarray, once: np.ndarray, counts: np.ndarray, length: np.ndarray, code: np.ndarray) -> None:
-    """Count the decisions of words: by bytes those of `once`, by the word so far as often as the words occur."""
-    owner, bit, slot, _ = decisions(words, kinds, length, code)
-    share = np.repeat(once[owner][:, None], len(SLOTS), 1).astype(np.float32)
-    share[:, -TOKENS:] = counts[owner][:, None]
-    np.add.at(tables, (2 * slot + bit[:, None]).ravel(), share.ravel())
+def add_words(tables: np.ndarray, words: Words | list[bytes], kinds: np.ndarray, once: np.ndarray, counts: np.ndarray, length: np.ndarray, code: np.ndarray) -> None:
+    """Count the decisions of words: by bytes those of `once`, by the word so far as often as the words occur. Words that
+    begin alike share those decisions, which are added up before."""
+    all_, questions = spelled_out(words, kinds), Questions(length, code)
+    own = len(SLOTS) - TOKENS
+    for js in (range(own + 1), range(own + 1, len(SLOTS))):
+        ids, first = _interned(_mixed(all_.contexts[js[-1]]) + all_.sym.astype(np.uint64))
+        some = all_.take(first)
+        told = decisions(some.sym, questions)
+        for share, which in ((once, [j for j in js if j < own]), (counts, [j for j in js if j >= own])):
+            share = np.repeat(np.bincount(ids, share[all_.owner], len(first)).astype(np.float32), told.sizes)
+            for j in which:
+                np.add.at(tables, 2 * told.slots(j, some.contexts[j]) + told.bit, share)
 
 
 def _counted(length: np.ndarray, code: np.ndarray):
@@ -479,13 +645,12 @@ def _counted(length: np.ndarray, code: np.ndarray):
         tables = np.zeros(2 * int(BASES[-1]), np.float32)
         any_rows = False
         for batch in batches:
-            for units, counts in _unpacked(batch):
-                words, kinds = _split(units)
-                once = np.fromiter((k == 0 or words[k - 1] != w for k, w in enumerate(words)), np.float32, len(words))
-                for at in range(0, len(words), 16 * MINIBATCH):
-                    any_rows = True
-                    here = slice(at, at + 16 * MINIBATCH)
-                    add_words(tables, words[here], kinds[here], once[here], counts[here], length, code)
+            words, word, kinds, counts = _read_units(*[batch.column(c) for c in UNITS])
+            once = np.diff(word, prepend=-1) != 0
+            for at in range(0, len(word), 16 * MINIBATCH):
+                any_rows = True
+                here = slice(at, at + 16 * MINIBATCH)
+                add_words(tables, words.take(word[here]), kinds[here], once[here], counts[here], length, code)
         if any_rows:
             for at in range(0, len(tables), PIECE):
                 piece = tables[at : at + PIECE]
@@ -496,7 +661,7 @@ def _counted(length: np.ndarray, code: np.ndarray):
 
 
 def _summed(rows: pa.Table) -> pa.Table:
-    piece = sum(np.frombuffer(zlib.decompress(x.as_py()), np.float32).astype(np.float64) for x in rows.column("held"))
+    piece = sum(np.frombuffer(_unpacked(x), np.float32).astype(np.float64) for x in rows.column("held"))
     return pa.table({"at": rows.column("at")[:1], "held": pa.array([_packed(piece.astype(np.float32).tobytes())], pa.binary())})
 
 
@@ -504,17 +669,16 @@ def _known(tables, length: np.ndarray, code: np.ndarray):
     """Of one part: how often all training texts have the words of each block, and what it costs to spell them."""
 
     def run(rows: pa.Table) -> pa.Table:
-        place, total, asked, blocks = _merged(rows)
-        by = _by_word(place, total)
-        words, kinds = _split(list(place))
-        counts = np.fromiter(map(by.__getitem__, words), np.int64, len(words))
-        hashes = unit_keys(word_numbers(words), kinds)
-        order = np.argsort(hashes)
-        cost = np.empty(len(words), np.float32)
-        cost[order] = spell_costs([words[k] for k in order], kinds[order], total[order], tables.value, length, code, asked[order])
+        own = _merged(rows)
+        counts = np.bincount(own.word, own.total, len(own.numbers)).astype(np.int64)[own.word]
+        order = np.argsort(unit_keys(own.numbers[own.word], own.kinds))
+        cost = spell_costs(own.words.take(own.word[order]), own.kinds[order], own.total[order], tables.value, length, code, own.asked[order]).astype(np.float32)
+        counts = counts[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
         told = []
-        for block, at in blocks.items():
-            at = at[np.unique(hashes[at], return_index=True)[1]]
+        for block, at in own.blocks.items():
+            at = _distinct(rank[at])
             told.append((block, _planes(counts[at]), _packed(cost[at].tobytes())))
         return _told(rows.column("part")[0].as_py(), told)
 
@@ -542,48 +706,46 @@ def _followed(rows: pa.Table) -> pa.Table:
 def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with their texts packed: all of them are shuffled to their blocks."""
     for batch in batches:
-        texts = [None if t is None else _packed(t.encode()) for t in batch.column("text").to_pylist()]
+        texts = [None if t is None else _packed(_encoded(t)) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_train"), batch.column("_block"), pa.array(texts, pa.binary())], ["doc_id", "_train", "_block", "packed"])
 
 
 SENT = "doc_id long, _train boolean, _block long, packed binary"
 
 
-def _spread(keys: np.ndarray, told: list[tuple], part_of=None) -> list[np.ndarray]:
-    """Of each key the values that the parts told of this block's, a part's number first; part_of: the parts of keys by their
-    places, where parts aren't ranges of keys."""
-    by_key = np.argsort(keys)
-    new = np.concatenate([[True], np.diff(keys[by_key]) != 0])
-    back = np.empty(len(keys), np.int64)
-    back[by_key] = np.cumsum(new) - 1
-    order = np.argsort(part_of(by_key[new]), kind="stable") if part_of else slice(None)
-    out = []
-    for values in list(zip(*sorted(told, key=lambda t: t[0]), strict=True))[1:]:
-        own = np.empty(np.count_nonzero(new), values[0].dtype)
-        own[order] = np.concatenate(values)
-        out.append(own[back])
-    return out
-
-
 def _scored(n: int, v: int, parts: int, lots: int, frequent: np.ndarray):
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
         spelled, followed = [], []
         for part, counts, costs in zip(known.column("part").to_pylist(), known.column("counts"), known.column("costs"), strict=True):
             if counts.is_valid:
-                spelled.append((part, _from_planes(counts).astype(np.int64), np.frombuffer(zlib.decompress(costs.as_py()), np.float32)))
+                spelled.append((part, _from_planes(counts).astype(np.int64), np.frombuffer(_unpacked(costs), np.float32)))
             else:
-                followed.append((part, np.frombuffer(zlib.decompress(costs.as_py()), np.float32)))
-        texts = [_words_of(zlib.decompress(t).decode() if t else None) for t in docs.column("packed").to_pylist()]
-        lens = np.fromiter(map(len, texts), np.int64, len(texts))
-        kinds = np.repeat(np.fromiter((kind_of(Counter(ws)) for ws in texts), np.int64, len(texts)), lens)
-        keys, numbers = passages_of(texts, frequent)
-        count, spell = _spread(unit_keys(numbers, kinds), spelled, lambda at: _part_of_words(numbers[at], parts))
-        (follow,) = _spread(keys, followed)
-        spell, follow = spell.astype(np.float64), follow.astype(np.float64)
+                followed.append((part, np.frombuffer(_unpacked(costs), np.float32)))
+        words, lens = cut([_unpacked(t) if t else b"" for t in docs.column("packed").to_pylist()])
+        numbers = words.numbers()
+        # Parts tell of units in the order of their hashes.
+        units = unit_keys(numbers, np.repeat(kinds_of(words, numbers, lens), lens))
+        ids, first = _interned(units)
+        order = np.argsort(units[first])
+        order = order[np.argsort(_part_of_words(numbers[first[order]], parts), kind="stable")]
+        of_unit = []
+        for values in list(zip(*sorted(spelled, key=lambda t: t[0]), strict=True))[1:]:
+            own = np.empty(len(order), values[0].dtype)
+            own[order] = np.concatenate(values)
+            of_unit.append(own)
+        count, spell = of_unit
+        # They tell of passages in the order of keys, of which they are ranges.
+        keys = passages_of(numbers, lens, frequent)
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        follow = np.empty(len(keys))
+        follow[order] = np.repeat(np.concatenate([costs for _, costs in sorted(followed, key=lambda t: t[0])]), np.diff(new, append=len(keys)))
+        base, seen = np.log10((count + 1.0) / (n + 1.0 * (v + 1)))[ids], (count > 0).astype(np.int64)[ids]
+        spell = spell.astype(np.float64)[ids]
         cost = np.where(follow <= 0, follow, 1 - follow + spell)
         starts = np.cumsum(lens) - lens
-        sums = [np.add.reduceat(x, starts) for x in ((count > 0).astype(np.int64), np.log10((count + 1.0) / (n + 1.0 * (v + 1))), cost)]
-        sums.append(np.fromiter((sum(map(len, ws)) + len(ws) for ws in texts), np.int64, len(texts)))
+        sums = [np.add.reduceat(x, starts) for x in (seen, base, cost, words.lens + 1)]
         sums[2] -= np.log10(KINDS)  # a text's kind is told first
         out = docs.select(["doc_id", "_train"])
         for name, c in zip(("n_tokens", "n_known", "base_score", "score", "_bytes"), (lens, *sums), strict=True):
@@ -626,17 +788,17 @@ def score(docs: DataFrame, held_out_of: int = 7, held_out: int = 2) -> DataFrame
     chars = int(docs.agg(F.sum(F.length("text"))).first()[0] or 0)
     parts, lots = max(1, chars // PART_CHARS), max(1, chars // PASSAGE_CHARS)
     blocks = stash(byte_batches(rows, _gathered(parts), GATHERED), "blocks")
-    vocabulary = stash(blocks.groupBy("part").applyInArrow(_vocabulary, "part long, words binary, heads binary, counts binary, n long, v long, spelling array<double>"), "vocabulary")
+    vocabulary = stash(blocks.groupBy("part").applyInArrow(_vocabulary, f"part long, {BINARY}, n long, v long, spelling array<double>"), "vocabulary")
     sums = vocabulary.agg(F.sum("n").alias("n"), F.sum("v").alias("v"), *[F.sum(F.col("spelling")[k]).alias(f"b{k}") for k in range(256)]).first()
     n, v = int(sums["n"] or 0), int(sums["v"] or 0)
     length, code = byte_code(np.array([sums[f"b{k}"] or 0.0 for k in range(256)]))
-    frequent = vocabulary.select("words", "heads", "counts").mapInArrow(_often(n / FREQUENT), "word binary").collect()  # FREQUENT at most
-    frequent = np.sort(np.fromiter((xxhash.xxh3_64_intdigest(r.word) for r in frequent), np.uint64, len(frequent)))
+    frequent = vocabulary.select(*UNITS).mapInArrow(_often(n / FREQUENT), "number long").collect()  # FREQUENT at most
+    frequent = np.sort(np.fromiter((r.number for r in frequent), np.int64, len(frequent)).view(np.uint64))
     tasks = int(np.clip(parts // 8, 1, 256))  # each brings a table of fixed size
-    counted = vocabulary.select("words", "heads", "counts").repartition(tasks).mapInArrow(_counted(length, code), "at long, held binary")
+    counted = vocabulary.select(*UNITS).repartition(tasks).mapInArrow(_counted(length, code), "at long, held binary")
     tables = np.zeros(2 * int(BASES[-1]), np.float32)
     for row in counted.groupBy("at").applyInArrow(_summed, "at long, held binary").toLocalIterator():  # the model: of fixed size
-        piece = np.frombuffer(zlib.decompress(row.held), np.float32)
+        piece = np.frombuffer(_unpacked(row.held), np.float32)
         tables[row.at : row.at + len(piece)] = piece
     held = spark.sparkContext.broadcast(tables.reshape(-1, 2))
     found = byte_batches(rows, _passages(lots, frequent), PASSAGES)
