@@ -2,7 +2,7 @@
 
 import math
 import random
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,3 +179,16 @@ def test_snapshots_of_one_time_have_an_order(spark):
     for given in (rows, rows[::-1]):
         got = live.newest(spark.createDataFrame(given, live.SNAPSHOT)).collect()
         assert [(r.hg, r.ag) for r in got] == [(1, 0)]
+
+
+def test_unavailable_players_once_and_without_a_shuffle_of_pairs(spark):
+    r = random.Random(3)
+    day = lambda n: None if n is None else date(2024, 1, 1) + timedelta(days=n)
+    games = [(k, r.randrange(400), *r.sample(range(4), 2)) for k in range(120)]
+    absences = [(r.randrange(12), r.choice([0, 1, 2, 3, None]), r.choice([None, *[r.randrange(-50, 400)] * 6]), r.choice([None, *[r.randrange(450)] * 6]), r.random() < 0.8) for _ in range(60)]
+    m = spark.createDataFrame([(k, day(n), h, a) for k, n, h, a in games], "match_id long, match_date date, home_team_id long, away_team_id long")
+    found = players.unavailable(m, spark.createDataFrame([(p, t, day(a), day(b), x) for p, t, a, b, x in absences], "player_id long, team_id long, starts date, ends date, active boolean"))
+    got = sorted((x.match_id, x.player_id) for x in found.collect())
+    assert got == sorted({(k, p) for k, n, h, w in games for p, t, a, b, x in absences if x and t in (h, w) and (a is None or a <= n) and (b is None or n <= b)})
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "Join" in plan and "Exchange" not in plan[: plan.index("Join")] and "Aggregate" not in plan[: plan.index("Join")]
