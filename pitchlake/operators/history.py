@@ -77,43 +77,66 @@ def league_priors(matches: DataFrame) -> DataFrame:
     }).drop("_home", "_away")
 
 
-def side_features(sides: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
+def _decayed_lags(metric: str) -> Column:
+    """decayed_mean() of a metric whose values n places back are columns (_<metric>_n)."""
+    places = [F.col(f"_{metric}_{k}") for k in reversed(range(10))]
+    total = weight = F.lit(0.0)
+    for x in places:
+        total, weight = total * DECAY + F.coalesce(x, F.lit(0)), weight * DECAY + F.when(x.isNull(), 0).otherwise(1)
+    return total / F.nullif(weight, F.lit(0.0))
+
+
+def side_features(sides: DataFrame, only: tuple[str, ...] | None = None, complete: bool = True) -> DataFrame:
     """Per match and side: history_matches, days_rest, known share, means of the last 3, 5 and 10, decayed means.
 
-    only: the names of the means wanted, all by default; what isn't asked for isn't planned. A mean is null without a known
-    value. Means come from running sums, decayed means fold the list of the last ten; both are made once per finished row.
+    only: the names of the means wanted, all by default; complete: whether data_completeness is. What isn't asked for isn't
+    planned or read. A mean is null without a known value. Means come from running sums, decayed means from the last ten
+    values; both are made once per finished row. All windows are within one shuffle by team.
     """
     wanted = lambda name: only is None or name in only
     keys = ["competition_id", "team_id"]
     decayed = [m for m in DECAYED if wanted(f"{m}_recency_weighted_10")]
     averaged = [(m, n) for m in METRICS for n in (3, 5, 10) if wanted(f"{m}_avg_{n}")]
-    summed = list(dict.fromkeys([*COMPLETENESS, *[m for m, _ in averaged]]))
-    rows = sides.select("match_id", "competition_id", "match_date", "venue", "team_id", "status", *METRICS).withColumn("_done", F.col("status") == "finished")
+    summed = list(dict.fromkeys([*(COMPLETENESS if complete else ()), *[m for m, _ in averaged]]))
+    places = sorted({n for _, n in averaged} | ({10} if complete else set()))
+    told_of = ["match_id", "competition_id", "match_date", "venue", "team_id"]
+    rows = sides.select(*told_of, (F.col("status") == "finished").alias("_done"), *dict.fromkeys([*summed, *decayed])).repartition(*keys)
     # Finished rows: running sums, and those of n rows before, give the sums of the last n.
     order = Window.partitionBy(*keys, "_done").orderBy(micros(), "match_id", F.col("venue").desc())
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Sums and counts of all metrics are one array each: expressions stay short enough to be compiled.
-    lists = {"_s": F.array(*[F.coalesce(F.sum(m).over(upto), F.lit(0)).cast("double") for m in summed]), "_n": F.array(*[F.count(m).over(upto).cast("double") for m in summed])}
-    rows = rows.withColumns({"_seq": F.row_number().over(order), **lists})
+    lists = {"_s": F.array(*[F.coalesce(F.sum(m).over(upto), F.lit(0)).cast("double") for m in summed]), "_n": F.array(*[F.count(m).over(upto).cast("double") for m in summed])} if summed else {}
+    rows = rows.withColumns({"_seq": F.row_number().over(order), **lists, **{f"_{m}_{k}": F.lag(m, k).over(order) if k else F.col(m) for m in decayed for k in range(10)}})
+    rows = rows.select(*told_of, "_done", "_seq", *lists, *[_decayed_lags(m).alias(f"_decayed_{m}") for m in decayed])
     zeros = F.array_repeat(F.lit(0.0), len(summed))
-    rows = rows.withColumns({f"{k}{n}": F.coalesce(F.lag(k, n).over(order), zeros) for k in lists for n in (3, 5, 10)} | ({"_list": F.collect_list(F.struct(*decayed)).over(order.rowsBetween(-9, 0))} if decayed else {}))
-    rows = rows.withColumns({f"{k}{n}": F.zip_with(k, f"{k}{n}", lambda now, then: now - then) for k in lists for n in (3, 5, 10)})
+    rows = rows.withColumns({f"{k}{n}": F.coalesce(F.lag(k, n).over(order), zeros) for k in lists for n in places})
+    rows = rows.withColumns({f"{k}{n}": F.zip_with(k, f"{k}{n}", lambda now, then: now - then) for k in lists for n in places})
     means = {n: F.zip_with(f"_s{n}", f"_n{n}", lambda total, count: F.when(count > 0, total / count)) for n in {n for _, n in averaged}}
-    known = sum(F.get("_n10", summed.index(m)) for m in COMPLETENESS)
-    told = F.struct(F.col("_seq").alias("seq"), F.col("match_date").alias("day"), known.alias("known"), *[c.alias(f"avg_{n}") for n, c in means.items()], *[decayed_mean(m, "_list").alias(m) for m in decayed])
+    known = [sum(F.get("_n10", summed.index(m)) for m in COMPLETENESS).alias("known")] if complete else []
+    told = F.struct(F.col("_seq").alias("seq"), F.col("match_date").alias("day"), *known, *[c.alias(f"avg_{n}") for n, c in means.items()], *[F.col(f"_decayed_{m}").alias(m) for m in decayed])
     # Each row sees the last of the finished rows before its kickoff; the greatest seq is the last.
     before = Window.partitionBy(*keys).orderBy(micros()).rangeBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_told", F.when(F.col("_done"), told)).withColumn("_seen", F.max("_told").over(before))
+    rows = rows.select(*told_of, F.when(F.col("_done"), told).alias("_told")).withColumn("_seen", F.max("_told").over(before))
     seen = F.col("_seen")
     games = F.least(seen["seq"], F.lit(10))
     rest = (micros() - F.unix_micros(seen["day"].cast("timestamp"))) / 86_400_000_000.0
-    share = F.coalesce(seen["known"] / (games * len(COMPLETENESS)), F.lit(0.0))
+    share = [F.coalesce(seen["known"] / (games * len(COMPLETENESS)), F.lit(0.0)).alias("data_completeness")] if complete else []
     return rows.select(
-        "match_id", "competition_id", "match_date", "venue", "team_id", F.coalesce(seen["seq"], F.lit(0)).cast("long").alias("history_matches"), rest.alias("days_rest"), seen["day"].alias("history_max_date"),
-        share.alias("data_completeness"), *[F.get(seen[f"avg_{n}"], summed.index(m)).alias(f"{m}_avg_{n}") for m, n in averaged], *[seen[m].alias(f"{m}_recency_weighted_10") for m in decayed],
+        *told_of, F.coalesce(seen["seq"], F.lit(0)).cast("long").alias("history_matches"), rest.alias("days_rest"), seen["day"].alias("history_max_date"), *share,
+        *[F.get(seen[f"avg_{n}"], summed.index(m)).alias(f"{m}_avg_{n}") for m, n in averaged], *[seen[m].alias(f"{m}_recency_weighted_10") for m in decayed],
     )
 
 
+def wide_features(matches: DataFrame, sides: DataFrame, only: tuple[str, ...] | None = None, complete: bool = False) -> DataFrame:
+    """One row per match: league priors, and side_features() as home_ and away_ columns."""
+    features = side_features(sides, only, complete)
+    names = [c for c in features.columns if c not in ("match_id", "competition_id", "match_date", "venue", "team_id")]
+    pick = [F.max(F.when(F.col("venue") == v, F.col(c))).alias(f"{v}_{c}") for v in ("home", "away") for c in names]
+    return league_priors(matches).join(features.groupBy("match_id").agg(*pick), "match_id")
+
+
+#: The means that goal rates are made of.
+RATED = ("goals_for_recency_weighted_10", "goals_against_recency_weighted_10")
 #: The means that strengths, rates and tails are made of.
 CORE = ("goals_for_avg_5", "goals_against_avg_5", "goals_for_recency_weighted_10", "goals_against_recency_weighted_10", "cards_avg_10", "corners_avg_10")
 
@@ -123,10 +146,7 @@ def match_features(matches: DataFrame, sides: DataFrame, only: tuple[str, ...] |
 
     only: as in side_features(), CORE at least.
     """
-    features = side_features(sides, None if only is None else tuple({*CORE, *only}))
-    names = [c for c in features.columns if c not in ("match_id", "competition_id", "match_date", "venue", "team_id")]
-    pick = [F.max(F.when(F.col("venue") == v, F.col(c))).alias(f"{v}_{c}") for v in ("home", "away") for c in names]
-    wide = league_priors(matches).join(features.groupBy("match_id").agg(*pick), "match_id")
+    wide = wide_features(matches, sides, None if only is None else tuple({*CORE, *only}), True)
     base = F.when(F.col("league_team_goals_avg") > 0, F.col("league_team_goals_avg"))
     for v in ("home", "away"):
         wide = wide.withColumn(f"{v}_attack_strength", F.col(f"{v}_goals_for_avg_5") / base)

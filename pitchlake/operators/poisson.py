@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -55,31 +56,36 @@ def with_pmfs(rates: DataFrame) -> DataFrame:
 def markets(rates: DataFrame) -> DataFrame:
     """match_id, rates and the probabilities of results, totals, both teams scoring, clean sheets and the first goal.
 
-    Goals of the sides are independent, so each market is a sum of products over one side's array: no score is exploded.
+    Goals of the sides are independent, so each market is a sum of products of the sides' chances: no score is exploded. The
+    chances are plain columns, made in steps that the next one uses several times: in arrays, a lambda that names one has it
+    made anew for each of its elements.
     """
-    rows = with_pmfs(rates)
-    goals = F.sequence(F.lit(0), F.lit(MAX_GOALS))
-    home = F.col("ph")
-    less = lambda i: _sum(F.slice("pa", 1, i))  # noqa: E731  P(away < i)
-    home_win = _sum(F.transform(goals, lambda i: home[i] * less(i)))
-    draw = _sum(F.transform(goals, lambda i: home[i] * F.col("pa")[i]))
-    none = F.col("ph")[0] * F.col("pa")[0]
-    rows = rows.withColumns({"home_win": home_win, "draw": draw, "_none": none})
+    goals = range(MAX_GOALS + 1)
+    sides = {"h": F.col("lambda_home"), "a": F.col("lambda_away")}
+    rows = rates.withColumns({f"_{s}{k}": F.exp(-rate) * F.pow(rate, F.lit(k)) / math.factorial(k) for s, rate in sides.items() for k in goals})
+    rows = rows.withColumns({f"_{s}": reduce(lambda x, y: x + y, [F.col(f"_{s}{k}") for k in goals]) for s in sides})
+    rows = rows.withColumns({f"_{s}{k}": F.col(f"_{s}{k}") / F.col(f"_{s}") for s in sides for k in goals})
+    home, away = ([F.col(f"_{s}{k}") for k in goals] for s in sides)
+    rows = rows.withColumns({f"_less{k}": reduce(lambda x, y: x + y, away[:k], F.lit(0.0)) for k in range(MAX_GOALS + 2)})
+    added = lambda terms: reduce(lambda x, y: x + y, terms, F.lit(0.0))
+    less = [F.col(f"_less{k}") for k in range(MAX_GOALS + 2)]  # P(away < k)
+    none = home[0] * away[0]
+    rows = rows.withColumns({"home_win": added(home[i] * less[i] for i in goals), "draw": added(home[i] * away[i] for i in goals), "_none": none})
     rows = rows.withColumn("away_win", 1 - F.col("home_win") - F.col("draw"))
     for line in GOAL_LINES:
-        most = F.lit(int(line) + 1)
-        under = _sum(F.transform(goals, lambda i: home[i] * less(F.greatest(F.lit(0), most - i))))  # noqa: B023
-        rows = rows.withColumn(f"over_{str(line).replace('.', '_')}", 1 - under)
+        most = int(line) + 1
+        rows = rows.withColumn(f"over_{str(line).replace('.', '_')}", 1 - added(home[i] * less[max(0, most - i)] for i in goals))
     share = F.when(F.col("lambda_home") + F.col("lambda_away") > 0, F.col("lambda_home") / (F.col("lambda_home") + F.col("lambda_away"))).otherwise(0.0)
     rows = rows.withColumns({
         "over_0_5": 1 - F.col("_none"),
-        "both_teams_score": (1 - F.col("ph")[0]) * (1 - F.col("pa")[0]),
-        "home_clean_sheet": F.col("pa")[0],
-        "away_clean_sheet": F.col("ph")[0],
-        "either_clean_sheet": F.col("ph")[0] + F.col("pa")[0] - F.col("_none"),
+        "both_teams_score": (1 - home[0]) * (1 - away[0]),
+        "home_clean_sheet": away[0],
+        "away_clean_sheet": home[0],
+        "either_clean_sheet": home[0] + away[0] - F.col("_none"),
         "first_goal_home": (1 - F.col("_none")) * share,
         "no_goal": F.col("_none"),
-    }).drop("_none")
+    })
+    rows = rows.drop("_none", *[f"_{s}" for s in sides], *[f"_{s}{k}" for s in sides for k in goals], *[f"_less{k}" for k in range(MAX_GOALS + 2)])
     return rows.withColumns({m: F.round(m, 12) for m in MARKETS})  # equal chances tie
 
 

@@ -344,21 +344,21 @@ def _told(rows):
 def glm_goals(spark, d):
     from pitchlake.operators import models
 
-    return models.goal_model_report(base._features(spark, d, GOAL_FEATURES))
+    return models.goal_model_report(base._wide(spark, d, GOAL_FEATURES))
 
 
 @query()
 def linear_factors(spark, d):
     from pitchlake.operators import models
 
-    return _told(models.linear_factors(base._features(spark, d, GOAL_FEATURES)))
+    return _told(models.linear_factors(base._wide(spark, d, GOAL_FEATURES)))
 
 
 @query()
 def tree_factors(spark, d):
     from pitchlake.operators import models
 
-    return _told(models.tree_factors(base._features(spark, d, GOAL_FEATURES)))
+    return _told(models.tree_factors(base._wide(spark, d, GOAL_FEATURES)))
 
 
 IMPACT_SQL = """CASE WHEN {x} >= {high} THEN 'high' WHEN {x} >= {medium} THEN 'medium' ELSE 'low' END || CASE WHEN {up} THEN '_positive' ELSE '_negative' END"""
@@ -434,7 +434,7 @@ def request_windows(spark, d):
 
 @query("SELECT CAST(least(floor(home_win * 10), 9) AS BIGINT) AS bin, count(*) AS n, round(avg(home_win), 6) AS confidence, round(avg(CAST(hg > ag AS INT)), 6) AS frequency FROM markets JOIN matches USING (match_id) WHERE hg IS NOT NULL GROUP BY 1", base.RATES)
 def calibration_bins(spark, d):
-    rows = poisson.markets(base._rates(spark, d)).where("hg is not null")
+    rows = poisson.markets(base._goal_rates(spark, d).where("hg is not null"))
     out = evaluation.calibration(rows, "home_win", F.col("hg") > F.col("ag"))
     return out.select("bin", "n", F.round("confidence", 6).alias("confidence"), F.round("frequency", 6).alias("frequency"))
 

@@ -44,6 +44,18 @@ def _features(spark: SparkSession, d: str, only: tuple[str, ...] | None = histor
     return history.match_features(full, side_rows.sides(full), only)
 
 
+def _wide(spark: SparkSession, d: str, only: tuple[str, ...]) -> DataFrame:
+    """League priors and no other features than those named."""
+    full = _full(spark, d)
+    return history.wide_features(full, side_rows.sides(full), only)
+
+
+def _goal_rates(spark: SparkSession, d: str) -> DataFrame:
+    """_rates() without what only other events need."""
+    matches = _matches(spark, d)
+    return poisson.with_rates(history.wide_features(matches, side_rows.sides(matches), history.RATED))
+
+
 def _rates(spark: SparkSession, d: str) -> DataFrame:
     return poisson.with_rates(_features(spark, d))
 
@@ -232,7 +244,7 @@ def result_metrics(spark, d):
 @query("""SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(n * abs(c - f)) / sum(n), 6) AS ece
 FROM (SELECT count(*) AS n, avg(over_2_5) AS c, avg(CAST(hg + ag > 2.5 AS INT)) AS f FROM markets JOIN matches USING (match_id) WHERE hg IS NOT NULL GROUP BY least(floor(over_2_5 * 10), 9))""", RATES)
 def calibration_error(spark, d):
-    rows = poisson.markets(_rates(spark, d)).where("hg is not null")
+    rows = poisson.markets(_goal_rates(spark, d).where("hg is not null"))
     return _rounded(evaluation.calibration_error(rows, "over_2_5", F.col("hg") + F.col("ag") > 2.5), ["n"], ["ece"])
 
 

@@ -155,7 +155,7 @@ def recent_grades(spark, d):
 def cards_model(spark, d):
     from pitchlake.operators import models
 
-    features = base._features(spark, d, ("cards_avg_5", "cards_avg_10"))
+    features = base._wide(spark, d, ("cards_avg_5", "cards_avg_10"))
     return models.cards_report(features, grading.actual_totals(adapter.team_statistics(spark, d)))
 
 

@@ -192,3 +192,29 @@ def test_unavailable_players_once_and_without_a_shuffle_of_pairs(spark):
     assert got == sorted({(k, p) for k, n, h, w in games for p, t, a, b, x in absences if x and t in (h, w) and (a is None or a <= n) and (b is None or n <= b)})
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert "Join" in plan and "Exchange" not in plan[: plan.index("Join")] and "Aggregate" not in plan[: plan.index("Join")]
+
+
+def test_markets_are_plain_columns(spark):
+    rates = [(0, 1.3, 0.9), (1, 0.0, 2.5), (2, 19.0, 0.2)]
+    rows = poisson.markets(spark.createDataFrame(rates, "match_id long, lambda_home double, lambda_away double"))
+    assert rows.columns == ["match_id", "lambda_home", "lambda_away", *rows.columns[3:]] and set(rows.columns[3:]) == set(poisson.MARKETS)
+    assert "lambdafunction" not in rows._jdf.queryExecution().executedPlan().toString()
+    for x in rows.collect():
+        p, q = ([v / sum(raw) for v in raw] for raw in ([math.exp(-r) * r**k / math.factorial(k) for k in range(9)] for r in (x.lambda_home, x.lambda_away)))
+        assert abs(x.home_win - sum(p[i] * q[j] for i in range(9) for j in range(i))) < 1e-9
+        assert abs(x.over_2_5 - sum(p[i] * q[j] for i in range(9) for j in range(9) if i + j > 2)) < 1e-9
+
+
+def test_lean_features_equal_the_full_ones(spark):
+    m = spark.createDataFrame(schedule(11), SCHEMA)
+    full = sides.sides(m).withColumns({c: F.lit(None).cast("long") for c in ("shots", "shots_on_target", "corners", "cards", "fouls")})
+    names = [f"{v}_{c}" for v in ("home", "away") for c in history.RATED]
+    lean = history.wide_features(m, sides.sides(m), history.RATED)
+    assert not [c for c in lean.columns if "_avg_" in c and not c.startswith("league")] and "home_data_completeness" not in lean.columns
+    assert {tuple(r) for r in lean.select("match_id", *names).collect()} == {tuple(r) for r in history.match_features(m, full).select("match_id", *names).collect()}
+
+
+def test_team_windows_share_one_shuffle(spark):
+    m = spark.createDataFrame(schedule(12), SCHEMA)
+    plan = history.side_features(sides.sides(m), history.RATED, False)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 1
