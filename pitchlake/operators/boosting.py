@@ -1,30 +1,34 @@
 """Boosted trees with Poisson loss: second-order splits over histograms, one aggregation a level for all targets.
 
 A feature is cut into at most `bins` bins at its quantiles, so that a row is one byte a feature, with a bin of its own for
-unknown values. Each level is one job: tasks sum gradients and hessians by (target, node, feature, bin), the partial sums are
-shuffled by that key, and the driver sees nodes x features x bins sums, a number that parameters fix and rows don't. Sums are
-whole numbers (units of 2**-24), so that they don't depend on how rows are partitioned. Margins are kept with the rows, which
-are checkpointed every `EVERY` trees; between, a task adds the trees since.
+unknown values. Rows are arrays of a block each, with their margins, and stay with the executors (in memory, or on disk where
+that is short). Each level is one job of one stage: tasks sum gradients and hessians by (target, node, feature, bin), and the
+driver adds up what tasks give, nodes x features x bins sums, a number that parameters fix and rows don't; where tasks are many
+these sums are added among executors first. Sums are whole numbers (units of 2**-24), so that they don't depend on how rows are
+partitioned. A tree's values are added to the margins once, as the next tree begins; blocks are checkpointed every `EVERY` trees.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchlake.sources.shared import settled
 
-#: Trees between two checkpoints of the margins, and the unit of summed gradients.
-EVERY, UNIT = 20, 2**24
-#: A task takes this many rows at least, since a level is a job; rows that fit one task need no shuffle.
-TASK_ROWS = 100_000
+#: Trees between two checkpoints of the blocks, and the unit of summed gradients.
+EVERY, UNIT = 50, 2**24
+#: A task takes this many rows at least, since a level is a job, and four times as many once each core has a task; sums of more
+#: than so many tasks are added among executors.
+TASK_ROWS, DIRECT = 25_000, 64
 #: The byte of an unknown value.
 UNKNOWN = 255
 
@@ -78,18 +82,24 @@ class Forest:
         return Forest(d["names"], d["cuts"], d["base"], {t: [Tree(**x) for x in xs] for t, xs in d["trees"].items()})
 
 
-def _children(tree: Tree, bins: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """The nodes one level below; rows whose path has ended stay."""
-    f = np.asarray(tree.feature)[node]
-    b = bins[np.arange(len(bins)), np.maximum(f, 0)]
-    left = np.where(b == UNKNOWN, np.asarray(tree.unknown_left)[node], b <= np.asarray(tree.cut)[node])
-    return np.where(f >= 0, 2 * node + 1 - left, node)
+def _steps(tree: Tree) -> tuple[np.ndarray, np.ndarray]:
+    """By node the feature to look at, and by node and byte the node one level below; ended paths stay."""
+    feature, byte, node = np.asarray(tree.feature), np.arange(UNKNOWN + 1), np.arange(len(tree.feature))[:, None]
+    left = np.where(byte == UNKNOWN, np.asarray(tree.unknown_left)[:, None], byte <= np.asarray(tree.cut)[:, None])
+    return np.maximum(feature, 0), np.where(feature[:, None] >= 0, 2 * node + 1 - left, node).ravel()
+
+
+def _children(steps: tuple[np.ndarray, np.ndarray], bins: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """The nodes one level below."""
+    feature, below = steps
+    return below[node * (UNKNOWN + 1) + bins[feature[node], np.arange(len(node))]]
 
 
 def _nodes(tree: Tree, bins: np.ndarray, levels: int) -> np.ndarray:
-    node = np.ones(len(bins), dtype=np.int64)
+    node = np.ones(bins.shape[1], dtype=np.int64)
+    steps = _steps(tree) if levels else None
     for _ in range(levels):
-        node = _children(tree, bins, node)
+        node = _children(steps, bins, node)
     return node
 
 
@@ -99,30 +109,38 @@ def _margins(trees: list[Tree], bins: np.ndarray, margin: np.ndarray, depth: int
     return margin
 
 
-def _matrix(batch: pa.RecordBatch, name: str, width: int, kind) -> np.ndarray:
-    flat = b"".join(batch.column(name).to_pylist()) if kind is np.uint8 else batch.column(name).flatten().to_numpy(zero_copy_only=False)
-    return np.frombuffer(flat, dtype=kind).reshape(-1, width) if kind is np.uint8 else np.asarray(flat, dtype=kind).reshape(-1, width)
+@dataclass
+class Block:
+    """Rows: bins (feature, row), targets and margins (row, target)."""
+
+    bins: np.ndarray
+    y: np.ndarray
+    margin: np.ndarray
+
+
+def _forward(block: Block, trees: list[list[Tree]], depth: int) -> Block:
+    """The block with the trees of each target added to its margins."""
+    return Block(block.bins, block.y, np.column_stack([_margins(own, block.bins, block.margin[:, t], depth) for t, own in enumerate(trees)]))
 
 
-def histograms(batches: Iterator[pa.RecordBatch], added: list[list[Tree]], growing: list[Tree], level: int, width: int, s: Settings) -> Iterator[pa.RecordBatch]:
-    """target, node, slot (feature * 256 + bin), g, h of a task's rows at nodes of the level; sums, not rows, leave it."""
-    first, n = 2**level, 2**level
-    sums = [np.zeros((2, n * width * 256), dtype=np.int64) for _ in growing]
-    for batch in batches:
-        bins = _matrix(batch, "bins", width, np.uint8)
-        targets, margins = (_matrix(batch, c, len(growing), np.float64) for c in ("y", "margin"))
+def histograms(blocks: Iterator[Block], growing: list[Tree], level: int, width: int, s: Settings) -> np.ndarray:
+    """Sums of gradients and hessians (target, g or h, node of the level, feature, bin; the last bin is that of unknown values)
+    over a task's rows at nodes of the level."""
+    first, wide = 2**level, s.bins + 1
+    sums = np.zeros((len(growing), 2, width, (first + 1) * wide), dtype=np.int64)
+    for block in blocks:
+        bins = np.minimum(block.bins, s.bins)
         for t, tree in enumerate(growing):
-            rate = np.exp(_margins(added[t], bins, margins[:, t], s.depth))
-            g = np.rint((rate - targets[:, t]) * UNIT)
+            rate = np.exp(block.margin[:, t])
+            g = np.rint((rate - block.y[:, t]) * UNIT)
             h = np.rint(rate * math.exp(s.damp) * UNIT)
-            node = _nodes(tree, bins, level)
-            live = node >= first
-            at = ((node[live] - first)[:, None] * width + np.arange(width)) * 256 + bins[live]
-            for k, v in enumerate((g, h)):
-                sums[t][k] += np.bincount(at.ravel(), np.repeat(v[live], width), len(sums[t][k])).astype(np.int64)
-    for t, (g, h) in enumerate(sums):
-        at = np.flatnonzero(h)
-        yield pa.record_batch({"target": np.full(len(at), t, dtype=np.int32), "node": (first + at // (width * 256)).astype(np.int32), "slot": (at % (width * 256)).astype(np.int32), "g": g[at], "h": h[at]})
+            node = _nodes(tree, block.bins, level) - first
+            start = np.where(node >= 0, node, first) * wide  # paths that ended above count behind the last node
+            for f in range(width):
+                at = start + bins[f]
+                for k, v in enumerate((g, h)):
+                    sums[t, k, f] += np.bincount(at, v, sums.shape[3]).astype(np.int64)
+    return sums.reshape(len(growing), 2, width, first + 1, wide)[:, :, :, :first].swapaxes(2, 3)
 
 
 def _shrunk(g, s: Settings):
@@ -178,10 +196,11 @@ def quantile_cuts(rows: DataFrame, names: list[str], bins: int) -> list[list[flo
 
 
 def _binned(columns: list[pa.Array], cuts: list[list[float]]) -> np.ndarray:
-    out = np.empty((len(columns[0]), len(cuts)), dtype=np.uint8)
+    """(feature, row)"""
+    out = np.empty((len(cuts), len(columns[0])), dtype=np.uint8)
     for k, (column, cut) in enumerate(zip(columns, cuts, strict=True)):
         x = column.cast(pa.float64()).to_numpy(zero_copy_only=False)
-        out[:, k] = np.where(np.isnan(x), UNKNOWN, np.searchsorted(np.asarray(cut), x, side="left"))
+        out[k] = np.where(np.isnan(x), UNKNOWN, np.searchsorted(np.asarray(cut), x, side="left"))
     return out
 
 
@@ -200,60 +219,58 @@ def fit(rows: DataFrame, names: list[str], targets: list[str], settings: Setting
     if start[targets[0]] is None:
         return forest
 
-    cuts, width = forest.cuts, len(names)
+    cuts, width, first = forest.cuts, len(names), np.asarray(list(base.values()))
 
     def prepared(batches):
         for batch in batches:
-            bins = _binned([batch.column(c) for c in names], cuts)
             y = np.column_stack([batch.column(t).to_numpy(zero_copy_only=False) for t in targets])
-            margin = [list(base.values())] * len(y)
-            yield pa.record_batch({"bins": [b.tobytes() for b in bins], "y": pa.array(y.tolist(), pa.list_(pa.float64())), "margin": pa.array(margin, pa.list_(pa.float64()))})
+            yield pa.record_batch({"block": [pickle.dumps((_binned([batch.column(c) for c in names], cuts), y))]})
 
-    schema = "bins binary, y array<double>, margin array<double>"
-    tasks = start["_n"] // TASK_ROWS + 1
-    data = settled(rows.mapInArrow(prepared, schema)).coalesce(tasks)
-    done = 0
+    tasks = min(start["_n"] // TASK_ROWS + 1, max(rows.sparkSession.sparkContext.defaultParallelism, start["_n"] // (4 * TASK_ROWS) + 1))
+    told = settled(rows.mapInArrow(prepared, "block binary")).coalesce(tasks).rdd
+
+    def read(row) -> Block:
+        bins, y = pickle.loads(row["block"])
+        return Block(bins, y, np.tile(first, (len(y), 1)))
+
+    blocks = told.map(read).persist(StorageLevel.MEMORY_AND_DISK)
     for k in range(s.rounds):
-        growing = [Tree.empty(s.depth) for _ in targets]
-        added = [forest.trees[t][done:] for t in targets]
+        growing, before = [Tree.empty(s.depth) for _ in targets], None
+        if k:
+            before, blocks = blocks, _moved(blocks, [forest.trees[t][-1:] for t in targets], s.depth)
+            if k % EVERY == 0:
+                blocks.checkpoint()
         for level in range(s.depth):
-            if not _grow(data, added, growing, level, width, s):
+            more = _grow(blocks, growing, level, width, s)
+            if before is not None:
+                before.unpersist()
+                before = None
+            if not more:
                 break
         for t, tree in zip(targets, growing, strict=True):
             forest.trees[t].append(tree)
-        if (k + 1) % EVERY == 0 and k + 1 < s.rounds:
-            data = settled(data.mapInArrow(_forward([forest.trees[t][done:] for t in targets], width, s.depth), schema)).coalesce(tasks)
-            done = k + 1
+    blocks.unpersist()
     return forest
 
 
-def _forward(trees: list[list[Tree]], width: int, depth: int):
-    """A function that adds the trees to the margins of its batches."""
-
-    def forward(batches):
-        for batch in batches:
-            bins, margins = _matrix(batch, "bins", width, np.uint8), _matrix(batch, "margin", len(trees), np.float64)
-            new = np.column_stack([_margins(own, bins, margins[:, t], depth) for t, own in enumerate(trees)])
-            yield pa.record_batch({"bins": batch.column("bins"), "y": batch.column("y"), "margin": pa.array(new.tolist(), pa.list_(pa.float64()))})
-
-    return forward
+def _moved(blocks: RDD, trees: list[list[Tree]], depth: int) -> RDD:
+    return blocks.map(lambda block: _forward(block, trees, depth)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _grow(data: DataFrame, added: list[list[Tree]], growing: list[Tree], level: int, width: int, s: Settings) -> bool:
+def _grow(blocks: RDD, growing: list[Tree], level: int, width: int, s: Settings) -> bool:
     """Split the nodes of a level where that gains; whether any was."""
 
-    def task(batches):
-        return histograms(batches, added, growing, level, width, s)
+    def task(own):
+        yield histograms(own, growing, level, width, s)
 
-    sums = data.mapInArrow(task, "target int, node int, slot int, g bigint, h bigint").groupBy("target", "node", "slot").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
-    target, node, slot, g, h = (sums.column(c).to_numpy() for c in ("target", "node", "slot", "g", "h"))
+    found = blocks.mapPartitions(task).treeReduce(np.add, 1 if blocks.getNumPartitions() <= DIRECT else 2)
     before = [sum(f >= 0 for f in tree.feature) for tree in growing]
-    for t, tree in enumerate(growing):
-        for n in np.unique(node[target == t]):
-            at = (target == t) & (node == n)
-            dense = np.zeros((2, width * 256), dtype=np.int64)
-            dense[0, slot[at]], dense[1, slot[at]] = g[at], h[at]
-            _split(tree, int(n), dense[0].reshape(width, 256), dense[1].reshape(width, 256), s)
+    for tree, sums in zip(growing, found, strict=True):
+        for node in range(2**level):
+            if sums[1, node].any():
+                full = np.zeros((2, width, UNKNOWN + 1), dtype=np.int64)
+                full[:, :, : s.bins], full[:, :, UNKNOWN] = sums[:, node, :, : s.bins], sums[:, node, :, s.bins]
+                _split(tree, 2**level + node, full[0], full[1], s)
     return before != [sum(f >= 0 for f in tree.feature) for tree in growing]
 
 
@@ -270,7 +287,7 @@ def rates(forest: Forest, target: str) -> Column:
         import pandas as pd
 
         bins = _binned([pa.array(features[c], from_pandas=True) for c in features.columns], cuts)
-        margin = np.full(len(bins), base)
+        margin = np.full(bins.shape[1], base)
         return pd.Series(np.exp(_margins(trees, bins, margin, _depth(trees[0])) if trees else margin))
 
     return rate(F.struct(*[F.col(c).cast("double").alias(c) for c in forest.names]))
@@ -289,13 +306,13 @@ def contributions(forest: Forest, target: str) -> Column:
         import pandas as pd
 
         bins = _binned([pa.array(features[c], from_pandas=True) for c in features.columns], cuts)
-        rows = np.arange(len(bins))
-        out = np.zeros((len(bins), width + 1))
+        rows = np.arange(bins.shape[1])
+        out = np.zeros((len(rows), width + 1))
         out[:, width] = base + sum(tree.value[1] for tree in trees)
         for tree in trees:
-            value, feature, node = np.asarray(tree.value), np.asarray(tree.feature), np.ones(len(bins), dtype=np.int64)
+            value, feature, node, steps = np.asarray(tree.value), np.asarray(tree.feature), np.ones(len(rows), dtype=np.int64), _steps(tree)
             for _ in range(_depth(tree)):
-                child = _children(tree, bins, node)
+                child = _children(steps, bins, node)
                 out[rows, np.maximum(feature[node], 0)] += value[child] - value[node]
                 node = child
         return pd.Series(list(out))

@@ -136,3 +136,24 @@ def test_impact_words(spark):
     assert got[1] == ("medium_negative", "high_negative", "high_positive", "medium_negative", "high_positive")
     assert got[2] == ("low_positive", "neutral", "neutral", "low_positive", "low_positive")
     assert got[3] == (None,) * 5
+
+
+def test_a_level_is_one_job_of_one_stage(spark, given):
+    context = spark.sparkContext
+    context.setJobGroup("levels", "levels of trees")
+    try:
+        boosting.fit(given[2], NAMES, ["y", "z"], SMALL)
+    finally:
+        context.setJobGroup("", "")
+    jobs = [context.statusTracker().getJobInfo(k) for k in context.statusTracker().getJobIdsForGroup("levels")]
+    levels = SMALL.rounds * SMALL.depth
+    assert levels <= sum(len(j.stageIds) == 1 for j in jobs) and len(jobs) <= levels + 12
+
+
+def test_transposed_walk_equals_a_plain_one():
+    r = np.random.default_rng(2)
+    bins = r.choice([0, 3, 7, boosting.UNKNOWN], size=(2, 50)).astype(np.uint8)
+    tree = boosting.Tree([-1, 0, 1, -1, *[-1] * 4], [0, 3, 0, *[0] * 5], [False, True, False, *[False] * 5], [0.0] * 8, [0.0] * 8)
+    for k, node in enumerate(boosting._nodes(tree, bins, 2)):
+        a, b = (int(x) for x in bins[:, k])
+        assert node == ((4 if b <= 0 else 5) if a <= 3 or a == boosting.UNKNOWN else 3)
