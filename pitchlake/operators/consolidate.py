@@ -18,12 +18,23 @@ def new_records(incoming: DataFrame, stored: DataFrame, keys: list[str]) -> Data
 
 def matched(incoming: DataFrame, stored: DataFrame, days: int = 1) -> DataFrame:
     """incoming with stored_id: the stored match of the same competition, season and teams whose date is at most `days`
-    away, the nearest one, then the least id."""
+    away, the nearest one, then the least id.
+
+    Stored matches of a moment are one, by their least id. They and incoming are put in order of time together, and a row sees
+    the last stored moment up to its own and the first one after it, by a pass in each direction: no pairs are made.
+    """
     keys = ["competition_id", "season", "home_team_id", "away_team_id"]
-    own = stored.select(*keys, F.col("match_id").alias("_stored"), F.col("match_date").alias("_date"))
-    gap = F.abs(F.unix_micros(F.col("match_date").cast("timestamp")) - F.unix_micros(F.col("_date").cast("timestamp"))) / 86_400_000_000
-    near = incoming.join(own, keys).where(gap <= days).groupBy("record_id").agg(F.min(F.struct(gap.alias("g"), "_stored")).alias("best"))
-    return incoming.join(near.select("record_id", F.col("best._stored").alias("stored_id")), "record_id", "left")
+    moment = F.unix_micros(F.col("match_date").cast("timestamp"))
+    own = stored.groupBy(*keys, moment.alias("_at")).agg(F.min("match_id").alias("_stored")).dropna(subset=[*keys, "_at"])
+    both = incoming.withColumns({"_at": moment, "_asks": F.lit(True)}).unionByName(own.withColumn("_asks", F.lit(False)), allowMissingColumns=True)
+    told = F.when(~F.col("_asks"), F.struct("_at", "_stored"))
+    # Of one moment, stored ones come first in one direction and last in the other.
+    by = Window.partitionBy(*keys)
+    upto, after = (by.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow) for order in (("_at", "_asks"), (F.desc("_at"), F.desc("_asks"))))
+    rows = both.withColumn("_told", told).withColumns({"_upto": F.last("_told", True).over(upto), "_after": F.last("_told", True).over(after)}).where("_asks")
+    near = lambda c: F.struct(F.abs(F.col("_at") - F.col(f"{c}._at")).alias("g"), F.col(f"{c}._stored").alias("s"))
+    found = [F.when(near(c)["g"] <= days * 86_400_000_000, near(c)) for c in ("_upto", "_after")]
+    return rows.select(*[F.col(c) for c in incoming.columns], F.least(*found)["s"].alias("stored_id"))
 
 
 def _pair(incoming: tuple[Column, Column], stored: tuple[Column, Column]) -> Column:
@@ -50,7 +61,19 @@ def merged(stored: DataFrame, incoming: DataFrame, scalars: tuple[str, ...] = ("
     filled; half a pair is an error and changes nothing. Scalars are filled if null, else conflict. incoming has one row a
     match.
     """
-    both = stored.alias("s").join(incoming.alias("i"), "match_id")
+    return stored.alias("s").join(incoming.alias("i"), "match_id").select("match_id", *_merge(scalars))
+
+
+def compared(records: DataFrame, stored: DataFrame, scalars: tuple[str, ...] = ("venue",)) -> DataFrame:
+    """records (stored_id, ...) with n_conflicts, the number of conflicts that merged() finds between each and the stored match
+    it is about; null where it is about none."""
+    both = records.alias("i").join(stored.alias("s"), F.col("i.stored_id") == F.col("s.match_id"), "left")
+    *_, conflicts, _ = _merge(scalars)
+    return both.select("i.*", F.when(F.col("s.match_id").isNotNull(), F.size(conflicts)).alias("n_conflicts"))
+
+
+def _merge(scalars: tuple[str, ...]) -> list[Column]:
+    """The columns of merged() over pairs of a stored match (s) and an incoming one (i)."""
     s, i = (lambda c: F.col(f"s.{c}")), (lambda c: F.col(f"i.{c}"))
     out, found, halves = [], [], []
 
@@ -70,7 +93,7 @@ def merged(stored: DataFrame, incoming: DataFrame, scalars: tuple[str, ...] = ("
     out.append(F.when(status == "conflict", s("status")).otherwise(status).alias("status"))
     found.append(conflict("status", "status", status == "conflict"))
     keep = lambda *c: F.filter(F.array(*c), lambda x: x.isNotNull())
-    return both.select("match_id", *out, keep(*found).alias("conflicts"), keep(*halves).alias("half_pairs"))
+    return [*out, keep(*found).alias("conflicts"), keep(*halves).alias("half_pairs")]
 
 
 def outcomes(records: DataFrame, seen: DataFrame) -> DataFrame:

@@ -1,8 +1,12 @@
 """Results, conflicts, counters and models that are entered, decided or saved: cases at the edges."""
 
+import random
+from datetime import datetime, timedelta
+
 import pytest
+from pyspark.sql import functions as F
 
-from pitchlake.operators import decisions, grading, models, registry
+from pitchlake.operators import consolidate, decisions, grading, models, registry
 
 MATCH = "match_id long, hg long, ag long, hht long, aht long, status string, venue string"
 
@@ -92,3 +96,27 @@ def test_homonyms(spark):
     asked = [(1, "a", 5), (2, "a", 9), (3, "a", None), (4, "b", 5), (5, "b", 6), (6, "c", None), (7, "d", 1), (8, "e", 1), (9, None, 5)]
     got = {r.record_id: (r.resolution, r.player_id) for r in enrich.homonyms(spark.createDataFrame(asked, "record_id long, name string, birth_date int"), known).collect()}
     assert got == {1: ("matched", 1), 2: ("matched", 3), 3: ("ambiguous", None), 4: ("ambiguous", None), 5: ("new", None), 6: ("matched", 6), 7: ("ambiguous", None), 8: ("new", None), 9: ("new", None)}
+
+
+def test_date_bands_against_all_pairs(spark):
+    r = random.Random(6)
+    at = lambda: datetime(2024, 1, 1) + timedelta(hours=12 * r.randrange(30))
+    key = lambda: (r.choice([1, 2, None]), 2024, r.randrange(2), 7)
+    stored, told = [(k, *key(), r.choice([None, *[at()] * 9])) for k in range(80)], [(k, *key(), r.choice([None, *[at()] * 9])) for k in range(80)]
+    schema = "{} long, competition_id long, season long, home_team_id long, away_team_id long, match_date timestamp_ntz"
+    for days in (1, 3):
+        found = consolidate.matched(spark.createDataFrame(told, schema.format("record_id")), spark.createDataFrame(stored, schema.format("match_id")), days)
+        want = {}
+        for k, *own, day in told:
+            gaps = [(abs(other - day), n) for n, *its, other in stored if None not in (*own, day, other) and own == its and abs(other - day) <= timedelta(days=days)]
+            want[k] = min(gaps)[1] if gaps else None
+        assert {x.record_id: x.stored_id for x in found.collect()} == want and any(want.values())
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_compared_counts_what_merged_finds(spark):
+    schema = "match_id long, hg int, ag int, hht int, aht int, venue string, status string"
+    stored = spark.createDataFrame([(1, 1, 0, None, None, "a", "finished"), (2, None, None, 0, 0, None, "live")], schema)
+    told = spark.createDataFrame([(1, 2, 1, 0, 0, "b", "postponed"), (2, 1, 1, 0, 0, "c", "finished"), (3, 1, 1, 0, 0, "c", "finished")], schema)
+    got = {x.match_id: x.n_conflicts for x in consolidate.compared(told.withColumn("stored_id", F.when(F.col("match_id") < 3, F.col("match_id"))), stored).collect()}
+    assert got == {x.match_id: len(x.conflicts) for x in consolidate.merged(stored, told).collect()} | {3: None} and got[1] == 4
