@@ -138,11 +138,10 @@ SELECT i.record_id, i.home_team_id, s.match_id AS stored_id, s.match_id IS NOT N
 FROM second i LEFT JOIN (SELECT i.record_id, arg_min(s.match_id, (abs(epoch_us(s.match_date) - epoch_us(i.match_date)), s.match_id)) AS stored_id FROM second i JOIN matches s ON s.competition_id = i.competition_id AND s.season = i.season AND s.home_team_id = i.home_team_id
   AND s.away_team_id = i.away_team_id AND abs(epoch_us(s.match_date) - epoch_us(i.match_date)) <= 86400000000 GROUP BY i.record_id) b ON b.record_id = i.record_id LEFT JOIN stored s ON s.match_id = b.stored_id)""", data.SECOND)
 def record_outcomes(spark, d):
-    told = consolidate.matched(data._second_source(spark, d), adapter.matches(spark, d))
-    about = told.select("record_id", "stored_id").join(data._stored(spark, d), F.col("match_id") == F.col("stored_id")).withColumn("match_id", F.col("record_id"))
-    found = consolidate.merged(about, told.withColumn("match_id", F.col("record_id"))).select(F.col("match_id").alias("record_id"), F.size("conflicts").alias("n_conflicts"))
-    rows = told.join(found, "record_id", "left").withColumn("is_resolved", F.col("home_team_id") % 20 != 7)
-    seen = told.where("record_id % 10 = 1").select("record_id", (F.col("record_id") % 20 == 1).alias("in_conflict"))
+    second = data._second_source(spark, d)
+    told = consolidate.matched(second, adapter.matches(spark, d))
+    rows = consolidate.compared(told, data._stored(spark, d)).withColumn("is_resolved", F.col("home_team_id") % 20 != 7)
+    seen = second.where("record_id % 10 = 1").select("record_id", (F.col("record_id") % 20 == 1).alias("in_conflict"))
     return consolidate.outcomes(rows, seen)
 
 
