@@ -13,16 +13,17 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round gives a key the least label of the records it is in, and then that label's own label, so that rounds grow
     with the logarithm of the longest chain. A frequent key or a long record is summed before it is shuffled. Labels are
-    checkpointed each round.
+    checkpointed each round. Joins are by sorted partitions: tables of names that look small enough to be broadcast would all
+    pass the driver.
     """
     links = settled(links.where("record_id is not null and key is not null").distinct())
     labels = links.select("key", F.col("key").alias("label")).distinct()
     while True:
-        least = links.join(labels, "key").groupBy("record_id").agg(F.min("label").alias("label"))
-        near = links.join(least, "record_id").groupBy("key").agg(F.min("label").alias("label"))
+        least = links.join(labels.hint("merge"), "key").groupBy("record_id").agg(F.min("label").alias("label"))
+        near = links.join(least.hint("merge"), "record_id").groupBy("key").agg(F.min("label").alias("label"))
         far = near.select(F.col("key").alias("label"), F.col("label").alias("_far"))
-        after = near.join(far, "label").select("key", F.least("label", "_far"))
-        after = after.toDF("key", "new").join(labels, "key").select("key", F.col("new").alias("label"), (F.col("new") < F.col("label")).alias("_moved"))
+        after = near.join(far.hint("merge"), "label").select("key", F.least("label", "_far"))
+        after = after.toDF("key", "new").join(labels.hint("merge"), "key").select("key", F.col("new").alias("label"), (F.col("new") < F.col("label")).alias("_moved"))
         after = settled(after)
         labels = after.drop("_moved")
         if after.where("_moved").isEmpty():
@@ -47,10 +48,10 @@ def resolved(records: DataFrame, known: DataFrame, decisions: DataFrame) -> Data
     uses = records.select("record_id", "repository", F.explode("keys").alias("key")).where("key <> ''")
     groups = components(uses.select("record_id", "key"))
     chosen = decisions.withColumnsRenamed({"repository": "_repository", "key": "_key", "entity_id": "_entity"})
-    decided = _entities(decisions.join(groups, "key"), "decided")
-    stored = _entities(known.join(groups, "key"), "stored")
-    names = uses.select("repository", "key").distinct().join(groups, "key").join(decided, "component", "left").join(stored, "component", "left")
-    names = names.join(chosen, F.col("repository").eqNullSafe(F.col("_repository")) & (F.col("key") == F.col("_key")), "left")
+    decided = _entities(decisions.join(groups.hint("merge"), "key"), "decided")
+    stored = _entities(known.join(groups.hint("merge"), "key"), "stored")
+    names = uses.select("repository", "key").distinct().join(groups.hint("merge"), "key").join(decided.hint("merge"), "component", "left").join(stored.hint("merge"), "component", "left")
+    names = names.join(chosen.hint("merge"), F.col("repository").eqNullSafe(F.col("_repository")) & (F.col("key") == F.col("_key")), "left")
     kind = (
         F.when(F.col("_key").isNotNull(), F.when(F.col("_entity").isNotNull(), "decided").otherwise("rejected"))
         .when(F.col("has_decided"), F.when(F.col("decided").isNotNull(), "by_decision").otherwise("contradiction"))

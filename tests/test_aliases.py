@@ -67,3 +67,9 @@ def test_empty_tables(spark):
     assert aliases.resolved(*none).count() == 0
     one = spark.createDataFrame([(1, None, ["x"]), (2, "a", None), (3, "a", [])], RECORDS)
     assert [tuple(r) for r in aliases.resolved(one, *none[1:]).collect()] == [(None, "x", "x", "new", None)]
+
+
+def test_no_table_of_names_passes_the_driver(spark):
+    records = spark.createDataFrame([(1, "a", ["x", "y"]), (2, "b", ["y", "z"])], RECORDS)
+    found = aliases.resolved(records, spark.createDataFrame([("x", 1)], KNOWN), spark.createDataFrame([("b", "z", 2)], DECISIONS))
+    assert found.count() == 4 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
