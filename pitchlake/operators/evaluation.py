@@ -74,9 +74,11 @@ def chronological_split(rows: DataFrame, date: str = "match_date", train: float
 
 def holdout(rows: DataFrame, date: str = "match_date", share: float = 0.2) -> DataFrame:
     """rows with split: validation for the last share of timestamps, one at least, else train."""
-    ranked = _ranked(rows, date)
+    days = _ranked(rows.select(date).distinct(), date)
     last = F.greatest(F.lit(1), F.floor(F.col("groups") * share))
-    return ranked.withColumn("split", F.when(F.col("g") >= F.col("groups") - last, "validation").otherwise("train")).drop("g", "groups")
+    first = days.where(F.col("g") >= F.col("groups") - last).agg(F.min(date).alias("_first"))  # one row
+    told = rows.where(F.col(date).isNotNull()).join(F.broadcast(first), F.lit(True))
+    return told.withColumn("split", F.when(F.col(date) >= F.col("_first"), "validation").otherwise("train")).drop("_first")
 
 
 def walk_forward(rows: DataFrame, initial: int, test: int, step: int, date: str = "match_date") -> DataFrame:

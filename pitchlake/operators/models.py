@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pitchlake.operators import boosting, impacts
 from pitchlake.operators.evaluation import count_metrics, deviance, holdout
 from pitchlake.operators.history import micros
+from pitchlake.sources.shared import written
 
 MIN_ROWS = 30
 #: Boosted trees, their size and the share of each that is added.
@@ -121,8 +122,10 @@ def tree_factors(features: DataFrame, settings: boosting.Settings = TREES, n: in
 
 
 def _held(rows: DataFrame, learner, names: list[str]) -> DataFrame:
-    """The last fifth of timestamps as a model sees it that is fitted on those before: median imputation, then the learner."""
-    rows = holdout(rows)
+    """The last fifth of timestamps as a model sees it that is fitted on those before: median imputation, then the learner.
+
+    The rows are written once, as each step of a fit reads them anew."""
+    rows = holdout(written(rows, "held"))
     filled = [f"{c}__filled" for c in names]
     stages = [Imputer(strategy="median", inputCols=names, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features"), learner]
     return Pipeline(stages=stages).fit(rows.where("split = 'train'")).transform(rows.where("split = 'validation'"))
@@ -156,7 +159,7 @@ def scorer_report(appearances: DataFrame) -> DataFrame:
     """n, brier, log_loss, base_brier of a logistic model of who scores, on the last fifth of timestamps; base_brier is that
     of the share that scores there."""
     names = ["games", "goals_avg", "minutes_avg", "cards_avg"]
-    held = _held(scorer_rows(appearances), LogisticRegression(labelCol="scored", maxIter=100), names)
+    held = _held(scorer_rows(appearances).drop("match_id", "player_id"), LogisticRegression(labelCol="scored", maxIter=100), names)
     p = F.least(F.greatest(vector_to_array("probability")[1], F.lit(1e-15)), F.lit(1 - 1e-15))
     y = F.col("scored")
     share = F.avg(y)

@@ -120,3 +120,14 @@ def test_compared_counts_what_merged_finds(spark):
     told = spark.createDataFrame([(1, 2, 1, 0, 0, "b", "postponed"), (2, 1, 1, 0, 0, "c", "finished"), (3, 1, 1, 0, 0, "c", "finished")], schema)
     got = {x.match_id: x.n_conflicts for x in consolidate.compared(told.withColumn("stored_id", F.when(F.col("match_id") < 3, F.col("match_id"))), stored).collect()}
     assert got == {x.match_id: len(x.conflicts) for x in consolidate.merged(stored, told).collect()} | {3: None} and got[1] == 4
+
+
+def test_a_fit_reads_rows_that_are_written_once(spark, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+
+    made = []
+    monkeypatch.setattr(models, "written", lambda rows, name, f=models.written: made.append(f(rows, name)) or made[-1])
+    rows = spark.createDataFrame([(datetime(2024, 1, 1) + timedelta(days=k), float(k % 2), float(k % 5)) for k in range(40)], "match_date timestamp_ntz, scored double, a double")
+    held = models._held(rows, LogisticRegression(labelCol="scored"), ["a"])
+    assert held.count() == 8 and len(made) == 1 and held.agg(F.min("match_date")).first()[0] == datetime(2024, 2, 2)
+    assert "FileScan parquet" in held._jdf.queryExecution().executedPlan().toString() and "Scan ExistingRDD" not in held._jdf.queryExecution().executedPlan().toString()
