@@ -43,3 +43,9 @@ def test_query(spark, db, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns[0] == "competition_id"
+
+
+@pytest.mark.parametrize("name", ["calibration_bins", "calibration_error"])
+def test_calibration_reads_goals_only(spark, name):
+    plan = __spark_entry__.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "l_returnflag" in plan and "l_quantity" not in plan and "lambdafunction" not in plan
